@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linededup, media, oracles, pii, toxicity
-from .shared import written
+from . import decontaminate, jaccard, langid, linededup, media, oracles, pii, tokenids, toxicity
+from .shared import arrow_rows, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def id_crc(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary"))
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    frames = tokenids.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    with arrow_rows(spark, 1):
+        return written(tokenids.read(frames, with_ids=False), "token-counts")
+
+
 def op2_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = written(media.store_texts(table(spark, sf_dir, "documents")), "media")
     described = media.describe(kept.select("digest", "form"))
@@ -81,5 +89,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op8_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op8_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = oracles.ORACLES
