@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as X
+from .bloom import bloom, in_bloom
 from .components import components
 from .shared import batch_rows, columns, schema, written
 
@@ -196,49 +197,18 @@ def _pairs(postings: DataFrame, percent: int, crowd: int) -> DataFrame:
     return postings.groupBy("fragment").applyInArrow(work, kind)
 
 
-def _bloom(names: DataFrame, most: int) -> tuple[np.ndarray, int]:
-    """A bitmap in which two bits stand for each class; its size is bounded by `most` bits."""
-    bits = 1 << 16
-    count = names.count()
-    while bits < min(most, 16 * count):
-        bits *= 2
-    kind = schema("part int, bitmap binary")
-
-    def work(batches):
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            values = batch.column(0).to_numpy().view(_U)
-            out[(values % _U(bits)).astype(np.int64)] = True
-            out[(X.mix(values) % _U(bits)).astype(np.int64)] = True
-        parts = np.split(np.packbits(out), 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], kind.names)
-
-    def join(table: pa.Table) -> pa.Table:
-        out = np.zeros(bits // 128, np.uint8)
-        for part in table.column("bitmap"):
-            out |= np.frombuffer(zstandard.decompress(part.as_py()), np.uint8)
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "bitmap": pa.array([out.tobytes()], pa.binary())})
-
-    rows = sorted(names.mapInArrow(work, kind).groupBy("part").applyInArrow(join, kind).collect(), key=lambda r: r.part)
-    return np.frombuffer(b"".join(bytes(r.bitmap) for r in rows), np.uint8) if rows else np.zeros(bits // 8, np.uint8), bits
-
-
 def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: int) -> DataFrame:
     """The pairs whose sets are similar enough: partial overlaps by fragment, summed per pair."""
-    bitmap, bits = _bloom(pairs.select("a").union(pairs.select("b")).distinct(), BLOOM)
+    bitmap, bits = bloom(pairs.select("a").union(pairs.select("b")).distinct(), BLOOM)
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     kind = schema("class long, segment int, size long, part binary")
 
     def cut(batches):
-        def has(at):
-            return (shared.value[at >> 3] >> (7 - (at & 7))) & 1 > 0
-
         for batch in batches:
             for piece in X.pieces(batch, "text"):
                 values, ends = _sets(piece, k)
                 names, _ = _digests(values, ends)
-                raw = names.view(_U)
-                take = has((raw % _U(bits)).astype(np.int64)) & has((X.mix(raw) % _U(bits)).astype(np.int64)) & (np.diff(ends) > 0)
+                take = in_bloom(shared.value, bits, names.view(_U)) & (np.diff(ends) > 0)
                 rows, seen = [], set()
                 for i in np.flatnonzero(take):
                     if names[i] in seen:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linededup, media, oracles, pii, tokenids, toxicity
+from . import decontaminate, jaccard, langid, linededup, media, oracles, pieces, pii, repeats, tokenids, toxicity
 from .shared import arrow_rows, written
 
 
@@ -70,6 +70,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -82,6 +87,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, number of pieces, CRC-32 of their ids as little-endian 32-bit integers, SHA-256 of what they decode to."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_digests(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model))
+
+
+def piece_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=id_crc() % 4 != 2)
@@ -89,5 +106,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op8_decontamination, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_repeated_strings, op8_decontamination, op9_sentence_pieces, op10_language_id)}
 ORACLES: dict[str, str] = oracles.ORACLES
