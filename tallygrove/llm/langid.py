@@ -21,6 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import batch_rows, columns, schema
 from .textcols import mix
@@ -137,16 +138,17 @@ def _score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray
     return labels, best
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of df: its id, `lang_pred` and `score`, the posterior probability."""
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of df: its id, the columns in `keep`, `lang_pred` and `score`, the posterior probability."""
     spark = df.sparkSession
     batch_rows(spark)
     shared = spark.sparkContext.broadcast(model)
+    picked = df.select(df[id_col].cast("long").alias(id_col), df[text_col].cast("string").alias("_text"), *keep)
+    kind = T.StructType([f for f in picked.schema.fields if f.name != "_text"] + schema("lang_pred string, score double").fields)
 
     def work(batches):
         for batch in batches:
             labels, best = _score(batch.column(1).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(best, pa.float64())], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(labels, pa.string()), pa.array(best, pa.float64())], kind.names)
 
-    picked = columns(df, **{id_col: "long", text_col: "string"})
-    return picked.mapInArrow(work, schema(f"{id_col} long, lang_pred string, score double"))
+    return picked.mapInArrow(work, kind)
