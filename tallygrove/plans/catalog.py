@@ -1,7 +1,551 @@
-"""Every query of the engine with the SQL it is held against."""
+"""Every query of the engine with the SQL it is held against. Names begin with the operators' ids."""
 
 from __future__ import annotations
 
-FLAGSHIP = "F_listing_page"
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import extract as X
+from ..functions import patterns as P
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import chunking, ingest, limits, listing, metrics, retrieval
+from ..operators.listing import Filters
+from ..sources import files
+from . import standins as S
+
+FLAGSHIP = "F04_F05_O02_O03_salary_page"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+ORDERS_NOW, EVENTS_NOW = dt.datetime(2001, 8, 2), dt.datetime(2024, 1, 31)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _listing(name: str, filters: Filters, condition: str, columns: str = "id, title, company") -> None:
+    """A listing predicate over the whole table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return listing.filtered(S.listings(spark, sf_dir), filters).select(*columns.split(", "))
+
+    query(f"WITH {S.LISTINGS} SELECT {columns} FROM listings WHERE {condition}", name)(run)
+
+
+_listing("F01_search_like", Filters(search=" URG_nt "), "lower(title) LIKE '%urg_nt%' OR lower(company) LIKE '%urg_nt%'")
+_listing("F01_search_company", Filters(search="mach%ry"), "lower(title) LIKE '%mach%ry%' OR lower(company) LIKE '%mach%ry%'")
+_listing("F02_X19_skills", Filters(skills=("HIGH", "2")), "array_to_string(required_skills, ',') ILIKE '%high%' AND array_to_string(required_skills, ',') ILIKE '%2%'")
+_listing("F03_visa_only", Filters(visa_only=True), "visa_sponsorship = true", "id, visa_sponsorship")
+_listing("F04_min_salary", Filters(salary_min=90_000), "salary_min IS NOT NULL AND salary_min >= 90000", "id, salary_min")
+_listing("F05_max_salary", Filters(salary_max=120_000), "salary_max IS NULL OR salary_max <= 120000", "id, salary_max")
+_listing("F06_work_modes", Filters(work_modes=("F", "P")), "work_mode IN ('F', 'P')", "id, work_mode")
+_listing("F07_levels", Filters(experience_levels=("building", "machinery")), "experience_level IN ('building', 'machinery')", "id, experience_level")
+_listing("F08_recency", Filters(date_posted="7d", now=ORDERS_NOW), "posted_at >= TIMESTAMP '2001-08-02' - INTERVAL 7 DAY", "id")
+_listing("F08_recency_unknown_period", Filters(date_posted="quarter", now=ORDERS_NOW), "posted_at >= TIMESTAMP '2001-08-02' - INTERVAL 30 DAY", "id")
+_listing("F09_seasons", Filters(seasons=("Summer 1995", "fall_1996")), "lower(start_date_text) LIKE '%summer 1995%' OR lower(start_date_text) LIKE '%fall_1996%'", "id, start_date_text")
+
+ALL = Filters(search="-", salary_min=30_000, salary_max=250_000, work_modes=("F", "P"), date_posted="any")
+ALL_SQL = "(lower(title) LIKE '%-%' OR lower(company) LIKE '%-%') AND salary_min >= 30000 AND (salary_max IS NULL OR salary_max <= 250000) AND work_mode IN ('F', 'P')"
+
+
+@query(f"WITH {S.LISTINGS} SELECT id, company, salary_min, salary_max FROM listings WHERE {ALL_SQL} ORDER BY salary_max DESC NULLS LAST, salary_min DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40")
+def F04_F05_O02_O03_salary_page(spark, sf_dir):
+    return listing.page_of(S.listings(spark, sf_dir), ALL, "salary", 3, 20).select("id", "company", "salary_min", "salary_max")
+
+
+@query(f"WITH {S.LISTINGS} SELECT id, title, company FROM listings ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 50 OFFSET 50")
+def O01_O03_newest_page(spark, sf_dir):
+    return listing.page_of(S.listings(spark, sf_dir), Filters(), "relevant", 2, 50).select("id", "title", "company")
+
+
+@query(f"WITH {S.LISTINGS} SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS total_pages FROM listings WHERE {ALL_SQL}")
+def A01_A02_J12_totals(spark, sf_dir):
+    return listing.totals(S.listings(spark, sf_dir), ALL)
+
+
+@query(f"WITH {S.LISTINGS} SELECT id, title, company, coalesce(required_skills, []) AS required_skills, strftime(posted_at, '%Y-%m-%dT%H:%M:%S') AS posted_at FROM listings")
+def P01_list_projection(spark, sf_dir):
+    return listing.shaped(S.listings(spark, sf_dir)).select("id", "title", "company", "required_skills", "posted_at")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 7")
+def S10_by_id(spark, sf_dir):
+    return S.table(spark, sf_dir, "orders").where(F.col("o_orderkey") == 7)
+
+
+@query("SELECT o_orderkey FROM orders")
+def S09_pruned_scan(spark, sf_dir):
+    return S.table(spark, sf_dir, "orders").select("o_orderkey")
+
+
+@query("SELECT * FROM nation")
+def S08_table_scan(spark, sf_dir):
+    return S.table(spark, sf_dir, "nation")
+
+
+@query(f"WITH {S.LISTINGS} SELECT id FROM listings WHERE NOT (source_job_id LIKE 'job-1%')")
+def F11_not_like(spark, sf_dir):
+    return S.listings(spark, sf_dir).where(~F.col("source_job_id").like("job-1%")).select("id")
+
+
+# --- ingest -------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1")
+def K01_O11_first_wins(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").withColumn("key", F.concat_ws("|", "user_id", "event_type"))
+    return ingest.first_wins(e, "key", "event_id").select("user_id", "event_id", "event_type")
+
+
+_BATCH = "batch AS (SELECT *, CASE WHEN event_type = 'click' THEN '' ELSE CAST(user_id AS VARCHAR) END AS source_job_id FROM events), stored AS (SELECT CAST(c_custkey AS VARCHAR) AS source_job_id FROM customer WHERE c_acctbal < 0)"
+
+
+def _batch(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").withColumn("source_job_id", F.when(F.col("event_type") == "click", "").otherwise(F.col("user_id").cast("string")))
+    stored = S.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("source_job_id"))
+    return e, ingest.insert_if_absent(e, stored, "event_id")
+
+
+_INSERTED = f"WITH {_BATCH}, inserted AS (SELECT source_job_id, min(event_id) AS event_id FROM batch WHERE source_job_id <> '' AND source_job_id NOT IN (SELECT source_job_id FROM stored) GROUP BY 1)"
+
+
+@query(f"{_INSERTED} SELECT source_job_id, event_id FROM inserted")
+def K01_J06_F13_insert_if_absent(spark, sf_dir):
+    return _batch(spark, sf_dir)[1].select("source_job_id", "event_id")
+
+
+@query(f"{_INSERTED} SELECT (SELECT count(*) FROM inserted) AS saved, (SELECT count(*) FROM batch) - (SELECT count(*) FROM inserted) AS skipped")
+def K01_insert_counts(spark, sf_dir):
+    batch, inserted = _batch(spark, sf_dir)
+    return ingest.insert_counts(batch, inserted)
+
+
+@query("SELECT doc_id, substr(text, 1, 100) AS city, substr(source, 1, 100) AS state FROM documents")
+def K02_clip(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("city"), F.col("source").alias("state"))
+    return ingest.clipped(d)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE ts END AS at FROM events")
+def K03_lenient_timestamp(spark, sf_dir):
+    said = F.when(F.col("event_type") == "click", "soon").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    return S.table(spark, sf_dir, "events").select("event_id", ingest.iso_timestamp(said).cast("timestamp_ntz").alias("at"))
+
+
+_LEVEL = f"CASE WHEN regexp_matches(lower(title), '{P.whole_words(P.INTERN)}') THEN 'intern' WHEN regexp_matches(lower(title), '{P.whole_words(P.SENIOR)}') THEN 'senior' WHEN regexp_matches(lower(title), '{P.whole_words(P.ENTRY)}') THEN 'entry' ELSE 'mid' END"
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def J05_K08_semi(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"))
+    return ingest.cascaded(o, S.table(spark, sf_dir, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "id"), "job_id").select("id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def K07_U03_delete_by_ids(spark, sf_dir):
+    gone = S.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return ingest.deleted(S.table(spark, sf_dir, "orders"), gone, "o_custkey").select("o_orderkey")
+
+
+_OLD = "old AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'x' ELSE sha256(text) END AS h FROM documents WHERE lang <> 'es')"
+
+
+@query(f"WITH {_OLD} SELECT d.doc_id AS job_id FROM documents d LEFT JOIN old USING (doc_id) WHERE sha256(d.text) IS DISTINCT FROM old.h")
+def J07_C13_stale_by_hash(spark, sf_dir):
+    from ..operators import index
+
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "lang", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    old = d.where("lang <> 'es'").withColumn("content_hash", F.when(F.col("lang") == "de", "x").otherwise(F.col("content_hash")))
+    return index.stale(d, old).select("job_id")
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN c_custkey IS NULL THEN o_totalprice ELSE 0.0 END AS v FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) ON o_custkey = c_custkey")
+def K05_K06_upsert(spark, sf_dir):
+    old = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey"), F.col("o_totalprice").alias("v"))
+    new = old.join(S.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").withColumn("v", F.lit(0.0))
+    return ingest.upserted(old, new.select("k", "o_custkey", "v"), "k").select("k", "v")
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT source FROM documents UNION ALL SELECT event_type FROM events) GROUP BY 1")
+def A07_U01_source_counts(spark, sf_dir):
+    return ingest.source_counts(S.table(spark, sf_dir, "documents").select("source").unionByName(S.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"))))
+
+
+@query(f"WITH {S.POSTINGS}, r AS (SELECT {_LEVEL} AS new, CASE lang WHEN 'en' THEN 'mid' WHEN 'de' THEN 'senior' END AS old FROM postings) SELECT count(*) FILTER (new IS DISTINCT FROM old) AS updated, count(*) FILTER (new IS NOT DISTINCT FROM old) AS unchanged, count(*) AS total FROM r")
+def K04_A08_reparse_counts(spark, sf_dir):
+    p = S.postings(spark, sf_dir).withColumn("old", F.when(F.col("lang") == "en", "mid").when(F.col("lang") == "de", "senior"))
+    return ingest.reparse_counts(p.withColumn("changed", ~X.experience_level(F.col("title")).eqNullSafe(F.col("old"))))
+
+
+# --- extraction over whole documents ---------------------------------------------------------
+
+
+@query(f"WITH {S.POSTINGS} SELECT id, {_LEVEL} AS level FROM postings")
+def X09_X14_level(spark, sf_dir):
+    return S.postings(spark, sf_dir).select("id", X.experience_level(F.col("title")).alias("level"))
+
+
+@query(f"WITH {S.POSTINGS} SELECT id, CASE WHEN regexp_matches(lower(title), '{P.whole_words(P.INTERN)}') THEN 'INTERN' WHEN lang = 'de' THEN 'CONTRACT' ELSE 'FULLTIME' END AS job_type FROM postings")
+def X10_job_type(spark, sf_dir):
+    types = F.when(F.col("lang") == "de", F.array(F.lit("CONTRACTOR"))).otherwise(F.array().cast("array<string>"))
+    return S.postings(spark, sf_dir).select("id", X.job_type(F.col("title"), types).alias("job_type"))
+
+
+def _contains_any(column: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{p}')" for p in phrases) + ")"
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN {_contains_any('lower(t)', P.VISA_NO)} THEN false WHEN {_contains_any('lower(t)', P.VISA_YES)} THEN true END AS visa FROM (SELECT doc_id, text, text || CASE lang WHEN 'fr' THEN ' We sponsor.' WHEN 'de' THEN ' No visa; we sponsor.' ELSE '' END AS t FROM documents)")
+def X13_visa(spark, sf_dir):
+    said = F.concat("text", F.when(F.col("lang") == "fr", " We sponsor.").when(F.col("lang") == "de", " No visa; we sponsor.").otherwise(""))
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.visa(said).alias("visa"))
+
+
+_MODE_TEXT = "text || CASE lang WHEN 'fr' THEN ' Hybrid role, 3 days in the office' WHEN 'de' THEN ' must be on-site' WHEN 'es' THEN ' 100 % remote' ELSE '' END"
+_MODE = f"CASE WHEN regexp_matches(d, '{P.REMOTE}') THEN 'remote' WHEN regexp_matches(d, '{'|'.join(P.ONSITE)}') THEN 'onsite' WHEN regexp_matches(d, '{'|'.join(P.HYBRID)}') THEN 'hybrid' WHEN contains(d, 'remote') THEN 'remote' ELSE 'onsite' END"
+
+
+@query(f"SELECT doc_id, {_MODE} AS mode FROM (SELECT doc_id, lower({_MODE_TEXT}) AS d FROM documents)")
+def X12_work_mode(spark, sf_dir):
+    said = F.concat("text", F.when(F.col("lang") == "fr", " Hybrid role, 3 days in the office").when(F.col("lang") == "de", " must be on-site").when(F.col("lang") == "es", " 100 % remote").otherwise(""))
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.work_mode(F.lit(False), said).alias("mode"))
+
+
+_SKILL_TEXT = "text || ' Python, C++ and the R language; AWS/docker, JavaScript ' || source"
+_SKILLS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{P.skill_pattern(s)}') THEN '{s}' END" for s in P.SKILLS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string({_SKILLS}, ',') AS skills FROM (SELECT doc_id, lower({_SKILL_TEXT}) AS t FROM documents)")
+def X08_skills(spark, sf_dir):
+    said = F.concat("text", F.lit(" Python, C++ and the R language; AWS/docker, JavaScript "), "source")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.skills(said), ",").alias("skills"))
+
+
+@query(f"SELECT p_partkey, {_contains_any('lower(p_name || p_type)', P.CS_KEYWORDS + ('st',))} AS cs FROM part")
+def F12_substring_any(spark, sf_dir):
+    return S.table(spark, sf_dir, "part").select("p_partkey", (X.is_cs_title(F.concat("p_name", "p_type")) | F.lower(F.concat("p_name", "p_type")).contains("st")).alias("cs"))
+
+
+_PAY = "text || ' pays $' || CAST(50 + length(text) % 100 AS VARCHAR) || 'K to $' || CAST(160 + length(text) % 90 AS VARCHAR) || 'k per ' || CASE lang WHEN 'en' THEN 'year' ELSE 'hour' END"
+
+
+def _sql_amount(pattern: str, group: int, k: int) -> str:
+    value = f"TRY_CAST(replace(regexp_extract(t, '{pattern}', {group}), ',', '') AS DOUBLE)"
+    return f"CASE WHEN regexp_extract(t, '{pattern}', {k}) <> '' AND {value} < 1000 THEN {value} * 1000 ELSE {value} END"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, {_sql_amount(X.DOLLAR_RANGE, 1, 2)} AS a, {_sql_amount(X.DOLLAR_RANGE, 3, 4)} AS b, CASE WHEN contains(lower(t), 'year') OR contains(lower(t), 'annual') OR contains(lower(t), '/yr') THEN 'YEAR' WHEN contains(lower(t), 'hour') THEN 'HOUR' END AS p FROM (SELECT doc_id, {_PAY} AS t FROM documents)) SELECT doc_id, a AS low, b AS high, p AS period FROM s WHERE a BETWEEN 10000 AND 1000000 AND a <= b AND b <= 1000000"
+)
+def X03_salary_range(spark, sf_dir):
+    d = S.table(spark, sf_dir, "documents")
+    n = F.length("text")
+    said = F.concat("text", F.lit(" pays $"), (50 + n % 100).cast("string"), F.lit("K to $"), (160 + n % 90).cast("string"), F.lit("k per "), F.when(F.col("lang") == "en", "year").otherwise("hour"))
+    pay = X.salary(said)
+    return d.select("doc_id", pay["min"].alias("low"), pay["max"].alias("high"), pay["period"].alias("period")).where("high IS NOT NULL")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey < 9 THEN 'Ann Arbor' WHEN c_nationkey < 18 THEN 'Salt Lake City' END AS city, CASE WHEN c_nationkey < 9 THEN 'MI' WHEN c_nationkey < 18 THEN 'UT' END AS state FROM customer")
+def X01_city_state(spark, sf_dir):
+    said = F.when(F.col("c_nationkey") < 9, "Engineer in Ann Arbor, MI (full time)").when(F.col("c_nationkey") < 18, "Engineer - Salt Lake City UT").otherwise("Engineer in Some Place, ZZ")
+    place = X.city_state(F.concat(said, F.lit(" "), F.col("c_custkey").cast("string")))
+    return S.table(spark, sf_dir, "customer").select("c_custkey", place["city"].alias("city"), place["state"].alias("state"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Fall ' || (2000 + o_orderkey % 90 + 10) WHEN 'O' THEN 'Summer ' || (2010 + o_orderkey % 80) ELSE 'Winter' END AS start FROM orders")
+def X11_start_date(spark, sf_dir):
+    k = F.col("o_orderkey")
+    year = F.when(F.col("o_orderstatus") == "F", 2010 + k % 90).otherwise(2010 + k % 80).cast("string")
+    title = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Intern, AUTUMN of "), year)).when(F.col("o_orderstatus") == "O", F.concat(F.lit("("), year, F.lit(" summer) role"))).otherwise("winter Cohort")
+    return S.table(spark, sf_dir, "orders").select("o_orderkey", X.start_date(title, F.lit("")).alias("start"))
+
+
+@query(
+    r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<li[^>]*>', chr(10) || '- ', 'gi'), '</(p|div|h[1-6])>', chr(10) || chr(10), 'gi'), '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM pages"
+)
+def X15_tags_to_text(spark, sf_dir):
+    return S.table(spark, sf_dir, "pages").select("page_id", T.tags_to_text(F.col("html")).alias("body"))
+
+
+@query()
+def X15_html_to_text(spark, sf_dir):
+    return S.table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("body"))
+
+
+@query(r"SELECT page_id, array_to_string(list_reverse(list_reverse(string_split(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '.'))[1:2]), '.') AS domain FROM pages")
+def X16_domain(spark, sf_dir):
+    return S.table(spark, sf_dir, "pages").select("page_id", X.domain(F.col("url")).alias("domain"))
+
+
+@query("SELECT event_id, epoch_ms(CAST(floor(epoch_us(ts) / 1000) AS BIGINT)) AS at FROM events")
+def X17_epoch_millis(spark, sf_dir):
+    ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    return S.table(spark, sf_dir, "events").select("event_id", F.timestamp_millis(ms).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN '10.0.0.1' WHEN 'view' THEN 'peer' ELSE 'unknown' END AS ip FROM events")
+def T05_client_ip(spark, sf_dir):
+    kind = F.col("event_type")
+    forwarded, peer = F.when(kind == "click", " 10.0.0.1 , 10.0.0.2"), F.when(kind.isin("click", "view"), "peer")
+    return S.table(spark, sf_dir, "events").select("event_id", X.client_ip(forwarded, peer).alias("ip"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 75 THEN 'strong' WHEN value >= 50 THEN 'moderate' ELSE 'weak' END AS band FROM events")
+def X24_score_band(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").select("event_id", X.score_band(F.col("value")).alias("band"))
+
+
+@query()
+def X05_X06_X07_sections(spark, sf_dir):
+    said = F.concat(F.lit("Key responsibilities:\n"), F.regexp_replace("text", r"\. ", "\n- "), F.lit("\nBenefits\n"), F.col("source"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", X.sections(said).alias("s")).select("doc_id", "s.*")
+
+
+# --- passages ----------------------------------------------------------------------------------
+
+_CLEAN = r"regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]+', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g')"
+
+
+@query(
+    rf"WITH p AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(p, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS key FROM (SELECT doc_id, unnest(string_split({_CLEAN}, chr(10))) AS p FROM documents) WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) >= 12) SELECT key, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 3"
+)
+def A03_C05_template_paragraphs(spark, sf_dir):
+    return chunking.template_paragraphs(S.table(spark, sf_dir, "documents"), "text", 3, "\n", unescape=False)
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 40")
+def C02_F18_word_count(spark, sf_dir):
+    return S.table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n")).where("n >= 40")
+
+
+@query(rf"SELECT doc_id, regexp_matches(text, '(?i){P.BOILERPLATE}') AS legal FROM documents")
+def C07_boilerplate(spark, sf_dir):
+    return S.table(spark, sf_dir, "documents").select("doc_id", T.is_boilerplate(F.col("text")).alias("legal"))
+
+
+@query(
+    rf"WITH {S.LISTINGS} SELECT id, title || ' at ' || company || '. Level: ' || experience_level || '. Work mode: ' || work_mode || coalesce('. Salary: ' || CASE WHEN salary_min IS NULL AND salary_max IS NULL THEN NULL ELSE coalesce('$' || format('{{:,}}', CAST(trunc(salary_min) AS BIGINT)), '?') || '–' || coalesce('$' || format('{{:,}}', CAST(trunc(salary_max) AS BIGINT)), '?') || ' per year' END, '') || CASE visa_sponsorship WHEN true THEN '. Visa sponsorship: yes' WHEN false THEN '. Visa sponsorship: no' ELSE '' END || '. Start: ' || start_date_text || '.' || CASE WHEN len(required_skills) > 0 THEN ' Skills: ' || array_to_string(required_skills[1:25], ', ') || '.' ELSE '' END AS profile FROM listings"
+)
+def C11_profile_text(spark, sf_dir):
+    rows = S.listings(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("job_type", "city", "state", "country", "salary_period")})
+    return rows.select("id", T.profile_text(F.col).alias("profile"))
+
+
+@query()
+def X20_job_context(spark, sf_dir):
+    rows = S.listings(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("job_type", "city", "state", "salary_period", "description")})
+    return rows.select("id", T.job_context(F.col).alias("context"))
+
+
+@query()
+def C08_C09_C10_C12_chunk_documents(spark, sf_dir):
+    p = S.postings(spark, sf_dir)
+    p = p.withColumn("description", F.replace("description", F.lit("\n"), F.lit("\n\n")))
+    p = p.withColumns({c: F.lit(None).cast("string") for c in ("experience_level", "job_type", "work_mode", "city", "state", "country", "salary_period", "start_date_text")})
+    p = p.withColumns({c: F.lit(None).cast("double") for c in ("salary_min", "salary_max")}).withColumn("visa_sponsorship", F.lit(None).cast("boolean"))
+    p = p.withColumns({c: F.lit(None).cast("array<string>") for c in ("responsibilities", "qualifications", "benefits", "required_skills")})
+    return chunking.chunked(p, chunking.template_paragraphs(p))
+
+
+@query(
+    r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents) SELECT doc_id, array_to_string(ws[i + 1 : i + 200], ' ') AS body FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 40, 1), 160)) AS i FROM w)"
+)
+def C15_fixed_windows(spark, sf_dir):
+    words = F.filter(F.split("text", r"(?U)\s+", -1), lambda w: w != "")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.fixed_windows(words)).alias("body"))
+
+
+@query("SELECT source, sha256('sections-v1' || chr(0) || 'm' || chr(0) || string_agg(text, chr(0) ORDER BY doc_id)) AS content_hash, CAST(count(*) AS INTEGER) AS n_chunks FROM documents GROUP BY 1")
+def C13_content_hash(spark, sf_dir):
+    from ..operators import index
+
+    d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    return index.hashes(d, "m").withColumnRenamed("job_id", "source")
+
+
+# --- retrieval -----------------------------------------------------------------------------------
+
+
+def _probe(spark, sf_dir):
+    """One stated vector to search with: that of the smallest id."""
+    return S.table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()[0]
+
+
+_PROBE = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
+_COS = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])), 4)"
+
+
+@query(f"SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 20")
+def E03_E05_O04_dense_topk(spark, sf_dir):
+    e = S.passages(spark, sf_dir).select("id", F.round(V.cosine(F.col("embedding"), V.literal(_probe(spark, sf_dir))), 4).alias("score"))
+    return e.orderBy(F.desc("score"), "id").limit(20)
+
+
+@query(
+    "WITH c AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY 1) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM c JOIN n USING (label)"
+)
+def A06_centroid_by_label(spark, sf_dir):
+    means = V.mean_vectors(S.table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(
+    f"WITH me AS (SELECT embedding AS v, label AS l FROM embeddings ORDER BY vec_id LIMIT 1), near AS (SELECT vec_id, label, {_COS} AS s FROM embeddings, me WHERE label <> l AND vec_id <> (SELECT min(vec_id) FROM embeddings)), top AS (SELECT * FROM near ORDER BY s DESC, vec_id LIMIT 30), once AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS n FROM top) SELECT vec_id AS id, s AS similarity FROM once WHERE n = 1 ORDER BY s DESC, vec_id LIMIT 6"
+)
+def J03_J04_J09_F17_O10_E11_similar(spark, sf_dir):
+    e = S.passages(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    jobs = e.select("id", F.lit("role").alias("title"), "company")
+    first = e.agg(F.min("id")).first()[0]
+    me = e.where(F.col("id") == first).select("embedding", "company").first()
+    near = e.where((F.col("id") != first) & (F.col("company") != me.company)).select("id", "company", F.round(V.cosine(F.col("embedding"), V.literal(me.embedding)), 4).alias("similarity"))
+    near = near.orderBy(F.desc("similarity"), "id").limit(30).join(jobs.select("id", "title"), "id")
+    key = Window.partitionBy(F.lower("title"), "company").orderBy(F.desc("similarity"), "id")
+    return near.withColumn("n", F.row_number().over(key)).where("n = 1").orderBy(F.desc("similarity"), "id").limit(6).select("id", "similarity")
+
+
+@query()
+def E11_P04_similar_postings(spark, sf_dir):
+    e = S.passages(spark, sf_dir)
+    jobs = e.select("id", F.concat(F.lit("role "), F.col("id").cast("string")).alias("title"), "company", F.lit("Austin").alias("city"), F.lit("").alias("state"))
+    return retrieval.similar(e.select("job_id", F.col("embedding").cast("array<double>").alias("embedding")), jobs, e.agg(F.min("id")).first()[0])
+
+
+_TERMS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + "))"
+QUESTION = "The worthless tion hand reer de la pathetic thand, enre and anan"
+_ASKED = f"asked AS (SELECT DISTINCT unnest({_TERMS}) AS term FROM (SELECT '{QUESTION}' AS text))"
+_INDEX = f"inverted AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL)"
+_LEXICAL = f"lexical AS (SELECT id, round(sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685) / (SELECT count(*) FROM asked), 6) AS score FROM inverted JOIN asked USING (term) GROUP BY 1)"
+
+
+@query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL} SELECT id, score FROM lexical ORDER BY score DESC, id LIMIT 50")
+def E06_F16_A04_O05_lexical_topk(spark, sf_dir):
+    return retrieval.lexical_topk(retrieval.postings(S.table(spark, sf_dir, "documents"), "doc_id", "text"), QUESTION, 50)
+
+
+_DENSE = f"dense AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 50)"
+_FUSE = """ranked AS (SELECT id, 1 AS l, row_number() OVER (ORDER BY score DESC, id) AS r FROM dense UNION ALL SELECT id, 2, row_number() OVER (ORDER BY score DESC, id) FROM (SELECT * FROM lexical ORDER BY score DESC, id LIMIT 50)),
+fused AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score, min(l * 1000 + r) AS seen FROM ranked GROUP BY 1)"""
+
+
+def _fused(spark, sf_dir):
+    e = S.passages(spark, sf_dir).select("id", F.round(V.cosine(F.col("embedding"), V.literal(_probe(spark, sf_dir))), 4).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    return retrieval.fused(retrieval.ranked(e, 1), retrieval.ranked(E06_F16_A04_O05_lexical_topk(spark, sf_dir), 2))
+
+
+@query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL}, {_DENSE}, {_FUSE} SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 12) DESC, seen) AS rank FROM fused")
+def E07_A05_J11_U02_O06_O07_rrf_fuse(spark, sf_dir):
+    return _fused(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL}, {_DENSE}, {_FUSE} SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, seen LIMIT 10")
+def E08_O08_hybrid_topk(spark, sf_dir):
+    return _fused(spark, sf_dir).where("rank <= 10").select("id", F.round("score", 9).alias("score"))
+
+
+_GREEDY = """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rk, user_id, event_type AS body, event_id FROM (SELECT * FROM events ORDER BY value DESC, event_id LIMIT 60)),
+walk(rk, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(u BIGINT, b VARCHAR, e BIGINT)[]) UNION ALL
+  SELECT r.rk, CASE WHEN len(taken) < 8 AND len(list_filter(taken, lambda t: t.u = r.user_id)) < 2 AND len(list_filter(taken, lambda t: t.b = r.body || '/' || r.user_id % 7)) = 0
+    THEN list_append(taken, {'u': r.user_id, 'b': r.body || '/' || r.user_id % 7, 'e': r.event_id}) ELSE taken END FROM walk JOIN r ON r.rk = walk.rk + 1)
+SELECT unnest(list_transform(taken, lambda t: t.e)) AS event_id FROM (SELECT taken FROM walk ORDER BY rk DESC LIMIT 1)"""
+
+
+@query(_GREEDY)
+def E10_O09_diversify(spark, sf_dir):
+    top = S.table(spark, sf_dir, "events").orderBy(F.desc("value"), "event_id").limit(60)
+    body = F.concat_ws("/", "event_type", (F.col("user_id") % 7).cast("string"))
+    hits = top.select("event_id", F.col("user_id").alias("job_id"), body.alias("body"), (-F.col("value")).alias("rank"))
+    return retrieval.diversified(hits, by=("rank", "event_id")).select("event_id")
+
+
+# --- evaluation ------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q, ql, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS s FROM q JOIN embeddings ON vec_id <> q),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM s), f AS (SELECT q.q, min(r) AS r FROM q LEFT JOIN k ON k.q = q.q AND k.r <= 10 AND k.label = k.ql GROUP BY 1)
+SELECT round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 3) AS hit_1, round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 3) AS hit_5, round(avg(CASE WHEN r <= 10 THEN 1 ELSE 0 END), 3) AS hit_10, round(avg(coalesce(1.0 / r, 0)), 3) AS mrr_10, count(*) AS n FROM f"""
+)
+def V01_V02_O12_O13_O16_A09_hit_mrr(spark, sf_dir):
+    """The queries are the vectors whose id is divisible by 20, against all."""
+    e = S.table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding", F.col("label").alias("ql"))
+    top = V.bulk_topk(asked, e, "q", "vec_id", "embedding", 11).where("q <> vec_id").join(e.select("vec_id", "label"), "vec_id").join(asked.select("q", "ql"), "q")
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 6)), "vec_id")
+    lists = top.withColumn("r", F.row_number().over(order)).where("r <= 10").groupBy("q").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "vec_id"))), lambda s: s["vec_id"]).alias("ranking"), F.collect_list(F.when(F.col("label") == F.col("ql"), F.col("vec_id"))).alias("gold")
+    )
+    return metrics.hit_mrr(lists)
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN ' [2] and [1, 3][2]' WHEN turn % 3 = 1 THEN ' [7]' ELSE '' END AS t FROM conversations)
+SELECT conv_id, turn, array_to_string(CASE turn % 3 WHEN 0 THEN [2, 1, 3] WHEN 1 THEN [7] ELSE [] END, ',') AS cited, array_to_string(CASE turn % 3 WHEN 1 THEN [7] ELSE [] END, ',') AS invalid,
+  CASE turn % 3 WHEN 0 THEN 'answered' ELSE 'ungrounded' END AS status FROM a"""
+)
+def L02_L04_L06_U06_citations(spark, sf_dir):
+    c = S.table(spark, sf_dir, "conversations")
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " [2] and [1, 3][2]").when(F.col("turn") % 3 == 1, " [7]").otherwise(""))
+    c = c.withColumn("answer", said)
+    numbers, n = T.cited(F.col("answer")), F.lit(5)
+    return c.select(
+        "conv_id", "turn", F.array_join(numbers.cast("array<string>"), ",").alias("cited"), F.array_join(T.out_of_range(numbers, n).cast("array<string>"), ",").alias("invalid"), T.answer_status(F.col("answer"), n, F.lit(None)).alias("status")
+    )
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def X21_json_rescue(spark, sf_dir):
+    wrapped = F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_type") == "view", F.concat(F.lit("Here: "), F.col("props"), F.lit(" done"))).otherwise(F.col("props"))
+    return S.table(spark, sf_dir, "events").select("event_id", F.get_json_object(T.rescued_json(wrapped), "$.k").cast("int").alias("k"))
+
+
+@query(
+    "WITH l AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS mean, median(value) AS med, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT event_type, round(mean, 6) AS mean, round(med, 6) AS median, v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER) + 1] AS p95, v[CAST(round_even(0.99 * (len(v) - 1), 0) AS INTEGER) + 1] AS p99, lo AS min, hi AS max FROM l"
+)
+def A11_A12_A13_latency_report(spark, sf_dir):
+    out = metrics.latency_report(S.table(spark, sf_dir, "events"), "value", ("event_type",))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("SELECT event_type, round(100.0 * avg(CASE WHEN value > 50 THEN 1 ELSE 0 END), 1) AS pct FROM events GROUP BY 1")
+def A10_percentage(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").groupBy("event_type").agg(metrics.percentage(F.col("value") > 50).alias("pct"))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def A14_distinct(spark, sf_dir):
+    return S.table(spark, sf_dir, "events").select("user_id").distinct()
+
+
+# --- limits ---------------------------------------------------------------------------------------------
+
+
+def _limit_sql(limit: int, seconds: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w(user_id, r, event_id, start, n) AS (SELECT user_id, r, event_id, us, CAST(1 AS BIGINT) FROM e WHERE r = 1 UNION ALL
+  SELECT e.user_id, e.r, e.event_id, CASE WHEN e.us >= w.start + {seconds}000000 THEN e.us ELSE w.start END, CASE WHEN e.us >= w.start + {seconds}000000 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+SELECT event_id, user_id, n <= {limit} AS allowed FROM w"""
+
+
+@query(_limit_sql(5, 129_600))
+def T03_rate_limit(spark, sf_dir):
+    return limits.fixed_window(S.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5, 129_600).select("event_id", "user_id", "allowed")
+
+
+@query(_limit_sql(1, 86_400))
+def T04_cooldown(spark, sf_dir):
+    return limits.cooldown(S.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "allowed")
+
+
+@query()
+def S12_synthetic(spark, sf_dir):
+    return files.synthetic(spark, 1000)
