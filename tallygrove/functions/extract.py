@@ -54,7 +54,7 @@ def location(city: Column, state: Column, country: Column, place: Column, title:
     null = F.lit(None).cast("string")
     given = [_nonempty(F.coalesce(c, F.lit(""))) for c in (city, state, country)]
     trimmed = F.trim(F.coalesce(place, F.lit("")))
-    parts = F.transform(F.split(trimmed, ",", -1), F.trim)
+    parts = F.transform(F.split(trimmed, ",", -1), lambda x: F.trim(x))
     head = F.substring(F.coalesce(description, F.lit("")), 1, 600)
     found = F.coalesce(city_state(F.coalesce(title, F.lit(""))), _place(head, LABELLED_PLACE, upper=True), city_state(head))
     return F.coalesce(
