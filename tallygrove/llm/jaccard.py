@@ -5,9 +5,10 @@ only classes are compared. Shingles have one global order: by how common they ar
 over all documents), then by hash. Fragments cut that order by hash range.
 
 1. Discovery. Two sets of a Jaccard similarity of t or more share a shingle among their first n - ceil(t n) + 1. These go,
-   packed, to their fragment; a fragment pairs up the classes that share a shingle there, bounds the pairs by size, counts
-   each pair once, and the pairs of all fragments are summed. A shingle of over `crowd` classes isn't paired out: each class
-   is paired with the first one, and after the links so found have been merged, only classes of different components that
+   packed, to their fragment; a fragment pairs up the classes that share a shingle there, bounds the pairs by size and by the
+   shingle's position, and counts what each pair shares; the counts of all fragments are summed, and pairs that can't reach t
+   any more are out. A shingle of over `crowd` classes isn't paired out: each class
+   is paired with one of them, and after the links so found have been merged, only classes of different components that
    share such a shingle are paired. So a group of near copies costs its size and not its square, and no link is lost.
 2. Verification. The sets of the classes in pairs are cut into the fragments of the order, partial overlaps are counted
    fragment by fragment, and summed per pair; the sum decides.
@@ -90,7 +91,8 @@ def _scan(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _levels(parts: DataFrame, total: int) -> np.ndarray:
-    """How common the shingles of each cell are: 0 up to four times the mean cell, then one more for each doubling."""
+    """How common the shingles of each cell are: 0 if it holds no more than chance puts into a cell, else 1, and one more for
+    each doubling of the surplus."""
 
     def add(table: pa.Table) -> pa.Table:
         out = np.zeros(SKETCH // SKETCH_PARTS, np.uint64)
@@ -99,16 +101,19 @@ def _levels(parts: DataFrame, total: int) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "counts": pa.array([np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     levels = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
-    least = max(8.0, 4 * total / SKETCH)
+    mean = total / SKETCH
+    least = max(8.0, 6 * mean**0.5)
     for row in parts.groupBy("part").applyInArrow(add, schema("part int, counts binary")).collect():
         counts = np.frombuffer(bytes(row.counts), np.uint32)
-        levels[row.part] = np.where(counts > least, np.log2(np.maximum(counts, 1) / least).astype(np.int64) + 1, 0)
+        surplus = np.maximum(counts - mean, 1)
+        levels[row.part] = np.where(surplus > least, np.log2(surplus / least).astype(np.int64) + 1, 0)
     return levels.ravel()
 
 
 def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent: int) -> DataFrame:
-    """For each batch and fragment, packed: shingles, the places of their classes in a list, and that list with sizes."""
-    kind = schema("fragment int, shingles binary, places binary, classes binary, sizes binary")
+    """For each batch and fragment, packed: shingles, the places of their classes in a list, their positions in their sets'
+    order, and that list with sizes."""
+    kind = schema("fragment int, shingles binary, places binary, positions binary, classes binary, sizes binary")
     shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches):
@@ -130,67 +135,86 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
                 start = np.zeros(len(n), np.int64)
                 np.cumsum((n * take)[:-1], out=start[1:])
                 prefix = n - -(-percent * n // 100) + 1
-                keep = np.arange(len(values)) - start[owner] < prefix[owner]
-                values, owner = values[keep], owner[keep]
+                position = np.arange(len(values)) - start[owner]
+                keep = position < prefix[owner]
+                values, owner, position = values[keep], owner[keep], position[keep].astype(np.int32)
                 where = ((values >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
-                values, owner, where = values[order], owner[order], where[order]
+                values, owner, where, position = values[order], owner[order], where[order], position[order]
                 cuts = np.searchsorted(where, np.arange(fragments + 1))
                 rows = []
                 for f in np.flatnonzero(np.diff(cuts)):
                     own, place = np.unique(owner[cuts[f] : cuts[f + 1]], return_inverse=True)
-                    rows.append((int(f), values[cuts[f] : cuts[f + 1]].tobytes(), place.astype(np.uint32).tobytes(), names[own].tobytes(), n[own].astype(np.int32).tobytes()))
-                kinds = (pa.int32(), *[pa.binary()] * 4)
+                    rows.append((int(f), values[cuts[f] : cuts[f + 1]].tobytes(), place.astype(np.uint32).tobytes(), position[cuts[f] : cuts[f + 1]].tobytes(), names[own].tobytes(), n[own].astype(np.int32).tobytes()))
+                kinds = (pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], kind.names)
 
     return df.mapInArrow(work, kind)
 
 
 def _pairs(postings: DataFrame, percent: int, crowd: int) -> DataFrame:
-    """kind 0: pairs a < b and how many shingles they share in a fragment. kind 1: shingle, class and size of crowded shingles."""
-    kind = schema("kind int, a long, b long, n long")
+    """kind 0: pairs a < b, how many shingles they share in a fragment, how many of these may be the first that they share,
+    and their sizes. kind 1: shingle, class, size (as n) and position (as firsts) of crowded shingles."""
+    kind = schema("kind int, a long, b long, n long, firsts long, size_a int, size_b int")
 
-    def near(small, large):
-        return 100 * np.minimum(small, large) >= percent * np.maximum(small, large)
+    def near(i, j, size, position):
+        """If the shingle is the first that two sets share, they can't share more than what follows it in either."""
+        both = size[i] + size[j]
+        least = -(-percent * both // (100 + percent))
+        fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        return fits, fits & (size[i] - position[i] >= least) & (size[j] - position[j] >= least)
 
     def work(table: pa.Table) -> pa.Table:
         read = lambda name, t: [np.frombuffer(v.as_py(), t) for v in table.column(name)]
         classes, sizes, places = read("classes", np.int64), read("sizes", np.int32), read("places", np.uint32)
-        shingles = np.concatenate(read("shingles", _U))
+        shingles, position = np.concatenate(read("shingles", _U)), np.concatenate(read("positions", np.int32)).astype(np.int64)
         names = np.concatenate([c[p] for c, p in zip(classes, places)])
-        size = np.concatenate([s[p] for s, p in zip(sizes, places)])
+        size = np.concatenate([s[p] for s, p in zip(sizes, places)]).astype(np.int64)
         order = np.lexsort((names, shingles))
-        shingles, names, size = shingles[order], names[order], size[order]
+        shingles, names, size, position = shingles[order], names[order], size[order], position[order]
         new = np.ones(len(shingles), bool)
         new[1:] = (shingles[1:] != shingles[:-1]) | (names[1:] != names[:-1])
-        shingles, names, size = shingles[new], names[new], size[new]
+        shingles, names, size, position = shingles[new], names[new], size[new], position[new]
         begin = np.flatnonzero(np.r_[True, shingles[1:] != shingles[:-1]])
         many = np.diff(np.r_[begin, len(shingles)])
         run = np.repeat(np.arange(len(begin)), many)
         crowded = many[run] > crowd
-        left, right = [], []
+        left, right, firsts = [], [], []  # rows of pairs
         small = np.flatnonzero((many[run] > 1) & ~crowded)
         for step in range(1, crowd):
             i = small[small + step < len(run)]
             small = i = i[run[i] == run[i + step]]
             if not len(i):
                 break
-            i = i[near(size[i], size[i + step])]
-            left.append(names[i])
-            right.append(names[i + step])
+            fits, first = near(i, i + step, size, position)
+            left.append(i[fits])
+            right.append(i[fits] + step)
+            firsts.append(first[fits])
+        # A crowd's head is the class in which the shingle comes earliest: the one with the fewest shingles of its own.
         i = np.flatnonzero(crowded)
-        head = begin[run[i]]
-        ok = (head != i) & near(size[head], size[i])
-        left, right = np.concatenate([*left, names[head[ok]]]), np.concatenate([*right, names[i[ok]]])
-        order = np.lexsort((right, left))
-        left, right = left[order], right[order]
-        first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])]) if len(left) else np.zeros(0, np.int64)
-        shared = np.diff(np.r_[first, len(left)])
+        ranked = i[np.lexsort((names[i], position[i], run[i]))]
+        heads = np.zeros(len(begin), np.int64)
+        heads[run[ranked[::-1]]] = ranked[::-1]
+        head = heads[run[i]]
+        first = near(head, i, size, position)[1] & (head != i)
+        left.append(np.minimum(head, i)[first])
+        right.append(np.maximum(head, i)[first])
+        firsts.append(np.ones(int(first.sum()), bool))
+        left, right, firsts = np.concatenate(left), np.concatenate(right), np.concatenate(firsts)
+        order = np.lexsort((names[right], names[left]))
+        left, right, firsts = left[order], right[order], firsts[order]
+        a, b = names[left], names[right]
+        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        shared = np.diff(np.r_[at, len(a)])
+        starts = np.add.reduceat(firsts.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
         columns = (
-            np.r_[np.zeros(len(first), np.int32), np.ones(len(i), np.int32)].astype(np.int32),
-            np.r_[left[first], shingles[i].view(np.int64)],
-            np.r_[right[first], names[i]],
+            np.r_[np.zeros(len(at), np.int32), np.ones(len(i), np.int32)].astype(np.int32),
+            np.r_[a[at], shingles[i].view(np.int64)],
+            np.r_[b[at], names[i]],
             np.r_[shared, size[i]].astype(np.int64),
+            np.r_[starts, position[i]].astype(np.int64),
+            np.r_[size[left[at]], size[i]].astype(np.int32),
+            np.r_[size[right[at]], size[i]].astype(np.int32),
         )
         return pa.table(dict(zip(kind.names, columns)))
 
@@ -249,19 +273,29 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     total = members.agg(F.sum("n")).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, -(-total // (4 * fragment_shingles)))
     found = written(_pairs(_postings(df, _levels(parts, total), fragments, k, percent), percent, crowd), "pairs")
-    pairs = written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    pairs = found.where("kind = 0").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).where("firsts > 0")
+    # What two sets share is what their prefixes share and at most what is left of the one whose prefix ends first. Crowded
+    # shingles that both may have aren't all in the counts.
+    crowds = written(found.where("kind = 1").groupBy("b").agg(F.count(F.lit(1)).alias("k")), "crowds")
+    for c in "ab":
+        pairs = pairs.join(crowds.select(F.col("b").alias(c), F.col("k").alias(f"k_{c}")), c, "left")
+    least = f"ceil(({percent} * (size_a + size_b)) / (100 + {percent}))"
+    some = "n + least(coalesce(k_a, 0), coalesce(k_b, 0))"
+    pairs = written(pairs.where(f"{some} + ceil({percent} * greatest(size_a, size_b) / 100) - 1 >= {least}").select("a", "b"), "pairs")
     links = written(_verified(df, pairs, k, percent, SEGMENTS), "links")
     crowded = found.where("kind = 1")
     if crowded.isEmpty():
         return members, links
     labels = components(links)
-    named = crowded.join(labels, crowded["b"] == labels["node"], "left").select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("n").alias("size"), F.coalesce("label", "b").alias("label"))
+    named = crowded.join(labels, crowded["b"] == labels["node"], "left")
+    named = named.select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("n").alias("size"), F.col("firsts").alias("position"), F.coalesce("label", "b").alias("label"))
     named = written(named, "crowds")
     mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
     named = named.join(mixed, "shingle", "left_semi")
-    other = named.select("shingle", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    near = 100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b")
-    more = named.join(other, "shingle").where((F.col("class") < F.col("b")) & (F.col("label") != F.col("label_b")) & near)
+    other = named.toDF("shingle", *(f"{c}_b" for c in ("class", "size", "position", "label")))
+    least = f"ceil({percent} * (size + size_b) / (100 + {percent}))"
+    near = f"class < class_b AND label != label_b AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b) AND size - position >= {least} AND size_b - position_b >= {least}"
+    more = named.join(other, "shingle").where(near).withColumnRenamed("class_b", "b")
     more = more.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more, "pairs")
     if more.isEmpty():

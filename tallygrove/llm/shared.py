@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = No
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
+    # Shuffle files go when the driver's JVM finds their owners unused, which could be long after.
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
