@@ -71,6 +71,10 @@ def _features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarra
     return X.distinct_in_documents((hashes % np.uint64(buckets)).astype(np.int64), before * len(found))
 
 
+def _term_buckets(term: str, buckets: int) -> np.ndarray:
+    return _features(*X.utf8(pa.array([term])), buckets)[0]
+
+
 def _word_bucket(word: str, buckets: int) -> int:
     data = X.LOWER[np.frombuffer(word.encode(), np.uint8)]
     return int(X.span_hash(X.prefix_hash(data), np.array([0]), np.array([len(data)]))[0] % np.uint64(buckets))
@@ -98,33 +102,34 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, sets, ridge
     value = scale[flat]
     share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
 
-    held, pairs = np.zeros(d), {}
+    # A change of text by terms changes all their features, stems too: +1 for what comes, -1 for what goes.
+    changes: list[tuple[float, list[int], list[int]]] = []
     for terms in sets:
-        spots = [int(place[_word_bucket(t, buckets)]) for t in terms]
-        for i in spots:
-            if i < 0:
+        spots = [[int(p) for p in place[_term_buckets(t, buckets)] if p >= 0] for t in terms]
+        for i, mine in enumerate(spots):
+            if not mine:
                 continue
-            held[i] += counterfactual  # the term put into a text that lacks it
-            for j in spots:
-                if j < 0:  # swapped for a term without a weight
-                    held[i] += counterfactual * have[used[i]] / n
-                elif j != i:  # swapped for another term, in as many texts as hold it
-                    pairs[i, j] = pairs.get((i, j), 0.0) + counterfactual * have[used[i]] / n
-    left, right = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    swap = np.array(list(pairs.values()))
+            changes.append((counterfactual, mine, []))  # the term put into a text that lacks it
+            texts = have[_word_bucket(terms[i], buckets)]
+            # swapped for every other one, in as many texts as hold it
+            changes += [(counterfactual * texts / n, mine, other) for j, other in enumerate(spots) if j != i and texts]
+    weight = np.array([c[0] for c in changes])
+    row = np.array([r for r, (_, plus, minus) in enumerate(changes) for _ in plus + minus], np.int64)
+    spot = np.array([i for _, plus, minus in changes for i in plus + minus], np.int64)
+    sign = np.array([s for _, plus, minus in changes for s in [1.0] * len(plus) + [-1.0] * len(minus)])
 
     def loss(w, bias):
         z = np.bincount(owner, w[flat] * value, n) + bias
-        real = w * scale
-        change = real[left] - real[right]
-        return share @ (np.logaddexp(0, z) - labels * z) + ridge / 2 * (w @ w) + (held * real) @ real / 2 + (swap * change) @ change / 2, z, change
+        change = np.bincount(row, sign * (w * scale)[spot], len(changes)) if len(changes) else weight
+        return share @ (np.logaddexp(0, z) - labels * z) + ridge / 2 * (w @ w) + (weight * change) @ change / 2, z, change
 
     w, bias, ahead, ahead_bias, t, curve = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0, 1.0
     for _ in range(steps):
         now, z, change = loss(ahead, ahead_bias)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share
-        slope = np.bincount(flat, error[owner] * value, d) + ridge * ahead + held * ahead * scale**2
-        slope += scale * (np.bincount(left, swap * change, d) - np.bincount(right, swap * change, d))
+        slope = np.bincount(flat, error[owner] * value, d) + ridge * ahead
+        if len(changes):
+            slope += scale * np.bincount(spot, sign * (weight * change)[row], d)
         slope_bias = error.sum()
         for _ in range(30):
             new, new_bias = ahead - slope / curve, ahead_bias - slope_bias / curve
