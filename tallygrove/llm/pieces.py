@@ -30,18 +30,18 @@ from pyspark.sql import functions as F
 from .shared import batch_rows, columns, schema, written
 
 SPACE = "▁"
-CHUNK = 16_384
+CHUNK = 65_536
 MOST_WORDS = 300_000
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 NEVER = -(1 << 62)
 #: Model files mark pieces that are not to be chosen with a score far below all others. Such a piece is out, but a single
 #: character keeps its piece, at the score of one without any.
 LEAST_SCORE = -1e6
-_SHIFT = 33
+_SHIFT = 30
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _FORCED = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 #: The second term of a cut, by its place in its word; a word's begin has none.
-_CUTS = [0, *(int(x) for x in np.random.default_rng(7).integers(1, 1 << 16, 4095))]
+_CUTS = [0, *(int(x) for x in np.random.default_rng(7).integers(1, 1 << 14, 4095))]
 
 
 def _fields(data: bytes):
