@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"TGRC"
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 1024, 8192
 MOST_ID = (1 << 16) - 1
 _U = np.uint64
 _TOP, _BOTTOM, _ALL = _U(1 << 48), _U(1 << 40), _U(0xFFFFFFFF)
@@ -29,80 +29,97 @@ STANDINGS = 4
 REFRESH = 32
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values.take(at, mode="clip")  # without the checks that cost as much as the reading
+
+
 class _Model:
     def __init__(self, lanes: int) -> None:
         self.lane = np.arange(lanes)
+        self.row = self.lane * (PARTS + 1)
+        self.base = [self.lane * size for size in (ORDER1, ORDER2)]
+        self.stand = self.lane * (STANDINGS + 1)
         self.ids = [np.zeros(lanes * size, np.uint16) for size in (ORDER1, ORDER2)]
         self.standing = [np.zeros(lanes * size, np.uint8) for size in (ORDER1, ORDER2)]
+        # A standing of 0 is an empty place; its trust stays 0.
         self.trust = [np.full(lanes * (STANDINGS + 1), 1 << 14, np.int64) for _ in range(2)]
-        self.counts = np.ones((lanes, PARTS), np.int64)
+        for trust in self.trust:
+            trust[self.stand] = 0
+        self.counts = np.ones(lanes * PARTS, np.int64)
+        self.count_row = self.lane * PARTS
         self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.bounds = np.zeros((lanes, PARTS + 1), np.int64)
+        self.mixed = np.zeros(lanes, np.int64)
         self.step = 0
 
     def predict(self) -> None:
         """Sets the predicted ids and the shares of orders 2 and 1 and of the rest, of 2**32."""
         if self.step % REFRESH == 0:
-            np.cumsum(self.counts, axis=1, out=self.bounds[:, 1:])
-            self.bounds[:, 1:] = (self.bounds[:, 1:] << 16) // self.bounds[:, -1:]
-            self.flat = self.bounds.ravel().astype(_U)
-        self.slot = (
-            self.lane * ORDER1 + ((self.last * 40503 >> 5) & (ORDER1 - 1)),
-            self.lane * ORDER2 + (((self.last * 40503 + self.before * 60493) >> 5) & (ORDER2 - 1)),
-        )
-        self.said = [ids[s] for ids, s in zip(self.ids, self.slot)]
-        self.now = [st[s] for st, s in zip(self.standing, self.slot)]
-        self.at = [self.lane * (STANDINGS + 1) + now for now in self.now]
-        p1, p2 = (np.where(now > 0, trust[at], 0) for now, trust, at in zip(self.now, self.trust, self.at))
+            bounds = np.zeros((len(self.lane), PARTS + 1), np.int64)
+            np.cumsum(self.counts.reshape(-1, PARTS), axis=1, out=bounds[:, 1:])
+            self.flat = ((bounds << 16) // bounds[:, -1:]).ravel().astype(_U)
+        now = self.last * 40503
+        self.slot = ((now >> 5 & (ORDER1 - 1)) + self.base[0], (now + self.mixed >> 5 & (ORDER2 - 1)) + self.base[1])
+        self.mixed = self.last * 60493
+        self.said = [_take(ids, s) for ids, s in zip(self.ids, self.slot)]
+        self.now = [_take(st, s) for st, s in zip(self.standing, self.slot)]
+        self.at = [self.stand + n for n in self.now]
+        self.trusted = [_take(t, at) for t, at in zip(self.trust, self.at)]
+        p1, p2 = self.trusted
         p1 = np.where((self.said[0] == self.said[1]) & (p2 > 0), 0, p1)
         self.share2 = p2.astype(_U) << _16
         rest = _U(1 << 32) - self.share2
         self.share1 = rest * p1.astype(_U) >> _16
         self.rest = rest - self.share1
+        self.both = self.share2 + self.share1
 
     def learn(self, ids: np.ndarray) -> None:
         for k in range(2):
-            right = self.said[k] == ids
-            trust = self.trust[k][self.at[k]]
-            self.trust[k][self.at[k]] = trust + (np.where(right, 48_000 - trust, 600 - trust) >> 4)
-            now = self.now[k]
-            self.standing[k][self.slot[k]] = np.where(right & (now > 0), np.minimum(now + 1, STANDINGS), 1)
+            right, now, trust = self.said[k] == ids, self.now[k], self.trusted[k]
+            held = now > 0
+            change = (np.where(right, 48_000, 600) - trust) >> 4
+            self.trust[k][self.at[k]] = trust + change * held
+            self.standing[k][self.slot[k]] = np.where(right & held, np.minimum(now + 1, STANDINGS), 1)
             self.ids[k][self.slot[k]] = ids
-        self.counts[self.lane, ids >> PART_BITS] += 1
-        self.before, self.last = self.last, ids.astype(np.int64)
+        self.counts[self.count_row + (ids >> PART_BITS)] += 1
+        self.last = ids
         self.step += 1
 
+    def _part(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.row + part
+        low = self.rest * _take(self.flat, at) >> _16
+        return low, (self.rest * _take(self.flat, at + 1) >> _16) - low
+
+    def _span(self, ids, hit2, hit1, low, wide):
+        inner = (ids & ((1 << PART_BITS) - 1)).astype(_U)
+        a = wide * inner
+        b = a + wide >> _U(PART_BITS)
+        a = a >> _U(PART_BITS)
+        begin = np.where(hit2, _U(0), np.where(hit1, self.share2, self.both + low + a))
+        return begin, np.where(hit2, self.share2, np.where(hit1, self.share1, b - a))
+
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the ids' shares."""
         hit2 = (self.share2 > 0) & (self.said[1] == ids)
         hit1 = ~hit2 & (self.share1 > 0) & (self.said[0] == ids)
-        part = self.lane * (PARTS + 1) + (ids >> PART_BITS)
-        low = self.rest * self.flat[part] >> _16
-        wide = (self.rest * self.flat[part + 1] >> _16) - low
-        inner = (ids & ((1 << PART_BITS) - 1)).astype(_U)
-        a = wide * inner >> _U(PART_BITS)
-        b = wide * (inner + _U(1)) >> _U(PART_BITS)
-        begin = np.where(hit2, _U(0), np.where(hit1, self.share2, self.share2 + self.share1 + low + a))
-        return begin, np.where(hit2, self.share2, np.where(hit1, self.share1, b - a))
+        return self._span(ids, hit2, hit1, *self._part(ids >> PART_BITS))
 
-    def find(self, target: np.ndarray) -> np.ndarray:
-        """The ids whose shares hold the target."""
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose shares hold the target, and begin and size of these."""
         hit2 = target < self.share2
-        hit1 = ~hit2 & (target < self.share2 + self.share1)
-        left = np.where(hit2 | hit1, _U(0), target - self.share2 - self.share1)
-        part = np.zeros(len(target), np.int64)
-        row = self.lane * (PARTS + 1)
+        hit = target < self.both
+        left = np.where(hit, _U(0), target - self.both) + _U(1)
+        # The last part that begins at or before the target: bounds up to this quotient do.
+        most = ((left << _16) - _U(1)) // self.rest
+        part = self.row.copy()
         step = PARTS >> 1
         while step:
-            ahead = self.rest * self.flat[row + part + step] >> _16 <= left
-            part += np.where(ahead, step, 0)
+            part += (_take(self.flat, part + step) <= most) * step
             step >>= 1
-        low = self.rest * self.flat[row + part] >> _16
-        wide = (self.rest * self.flat[row + part + 1] >> _16) - low
-        inner = (((left - low + _U(1)) << _U(PART_BITS)) - _U(1)) // wide
-        ids = (part << PART_BITS) + np.minimum(inner, _U((1 << PART_BITS) - 1)).astype(np.int64)
-        return np.where(hit2, self.said[1], np.where(hit1, self.said[0], ids)).astype(np.int64)
+        part -= self.row
+        low, wide = self._part(part)
+        inner = np.minimum((((left - low) << _U(PART_BITS)) - _U(1)) // wide, _U((1 << PART_BITS) - 1)).astype(np.int64)
+        ids = np.where(hit2, self.said[1], np.where(hit, self.said[0], (part << PART_BITS) + inner))
+        return ids, *self._span(ids, hit2, hit & ~hit2, low, wide)
 
 
 def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -122,14 +139,15 @@ def _lengths(n: int) -> np.ndarray:
 
 def encode(ids: np.ndarray) -> bytes:
     """A frame of at most LANES * BLOCK ids, each at most MOST_ID."""
-    ids = np.ascontiguousarray(ids, dtype=np.int64)
+    ids = np.ascontiguousarray(ids)
     if len(ids) > LANES * BLOCK or (len(ids) and not 0 <= ids.min() <= ids.max() <= MOST_ID):
         raise ValueError("too many ids for a frame, or an id out of range")
     lengths = _lengths(len(ids))
     lanes = len(lengths)
-    table = np.zeros((lanes, BLOCK), np.int64)
+    table = np.zeros((lanes, BLOCK), np.uint16)
     table.ravel()[: len(ids)] = ids
     columns = np.ascontiguousarray(table.T)
+    del table
     model = _Model(lanes)
     low, size = np.zeros(lanes, _U), np.full(lanes, _U(2**64 - 1))
     out = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
@@ -140,7 +158,7 @@ def encode(ids: np.ndarray) -> bytes:
         if lanes == 1 and step == lengths[0]:
             break
         model.predict()
-        now = columns[step]
+        now = columns[step].astype(np.int64)
         begin, wide = model.span(now)
         unit = size >> _32
         low = low + unit * begin
@@ -188,13 +206,12 @@ def decode(frame: bytes) -> np.ndarray:
         at += 1
     model = _Model(lanes)
     low, size = np.zeros(lanes, _U), np.full(lanes, _U(2**64 - 1))
-    out = np.zeros((BLOCK, lanes), np.int64)
+    out = np.zeros((BLOCK, lanes), np.uint16)
     for step in range(int(lengths.max()) if lanes else 0):
         model.predict()
         unit = size >> _32
-        now = model.find(np.minimum((value - low) // np.maximum(unit, _U(1)), _ALL))
+        now, begin, wide = model.find(np.minimum((value - low) // unit, _ALL))
         out[step] = now
-        begin, wide = model.span(now)
         low = low + unit * begin
         size = unit * wide
         ready = _settled(low, size)

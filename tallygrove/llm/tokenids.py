@@ -6,7 +6,9 @@ container has the coded ids, the documents' ids and their lengths in the frame.
 sequence follows from the frames' sizes alone.
 
 The library is called on distinct words: white space never enters a token and always ends a word, and a word's ids don't
-depend on its neighbours; a text with characters on which Python and the library could differ goes to it whole.
+depend on its neighbours. A word of Latin letters with marks behind goes to the library's merges as what its normaliser and
+pre-tokeniser would make of it: letters in lower case, and marks, each in the byte alphabet. Any other word goes to the whole
+tokeniser, and a text with characters on which Python and the library could differ goes there whole.
 
 Defined results: a null or empty text has the end id alone; null ids come first; rows that repeat an id follow one another
 in the order of their ids' bytes; other columns are left behind; an empty table gives an empty table.
@@ -29,11 +31,11 @@ from .shared import batch_rows, columns, schema, written
 END_ID = 1
 RANGE_BYTES = 8 << 20
 FRAME_IDS = rangecoder.LANES * rangecoder.BLOCK
-MOST_WORDS = 300_000
+MOST_WORDS, MOST_PARTS = 200_000, 600_000
 FRAME = "frame long, first long, n_ids long, doc_ids binary, nulls binary, lengths binary, crc long, payload array<binary>"
 # Python's split() ends words at these, the library's white space doesn't include them.
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
-_CORE = re.compile(r"([^\W\d_]+)([.,;:!?|*#%$&()\[\]{}\"/-]*)", re.ASCII)
+_CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#%$&()\\[\\]{}\"/-]*)")
 
 
 @lru_cache(1)
@@ -46,38 +48,58 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_alphabet() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class Encoder:
-    """ids of texts as little-endian 16-bit integers; remembers words, at most MOST_WORDS of them."""
+    """ids of texts as little-endian 16-bit integers; remembers a bounded number of words and of their parts."""
 
     def __init__(self, path: str) -> None:
         self.path = path
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
-        """Words of ASCII letters with trailing marks are put together from their lower-case letters and their marks."""
-        known, whole, parts, wanted = self.words, [], [], set()
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
+        words, parts, whole = self.words, self.parts, []
+        merges = _tokenizer(self.path).model.tokenize
+        match = _CORE.fullmatch
         for word in missing:
-            if m := _CORE.fullmatch(word):
-                core, marks = m[1].lower(), m[2]
-                parts.append((word, core, marks))
-                wanted.update(p for p in (core, marks) if p and p not in known)
-            else:
+            if not (m := match(word)):
                 whole.append(word)
-        fresh = list(wanted.union(whole))
-        known.update(zip(fresh, self._raw(fresh)))
-        for word, core, marks in parts:
-            known[word] = known[core] + (known[marks] if marks else b"")
+                continue
+            core, marks = m.groups()
+            core = core.lower()
+            ids = parts.get(core)
+            if ids is None:
+                plain = core if core.isascii() else core.encode().decode("latin-1").translate(_ALPHABET)
+                ids = parts[core] = b"".join([t.id.to_bytes(2, "little") for t in merges(plain)])
+            if marks:
+                after = parts.get(marks)
+                if after is None:
+                    after = parts[marks] = b"".join([t.id.to_bytes(2, "little") for t in merges(marks)])
+                ids = ids + after
+            words[word] = ids
+        words.update(zip(whole, self._raw(whole)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [None if text and _DOUBTFUL.search(text) else (text or "").split() for text in texts]
+        every = set().union(*(s for s in split if s))
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        split = [None if text and _DOUBTFUL.search(text) else (text or "").split() for text in texts]
-        missing = set().union(*(s for s in split if s)).difference(self.words)
-        if missing:
-            self._learn(sorted(missing))
+        if missing := every.difference(self.words):
+            self._learn(list(missing))
         get = self.words.__getitem__
         return [b"".join(map(get, s)) if s is not None else self._raw([t])[0] for s, t in zip(split, texts)]
 
