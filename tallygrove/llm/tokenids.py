@@ -31,6 +31,7 @@ from .shared import batch_rows, columns, schema, written
 END_ID = 1
 RANGE_BYTES = 8 << 20
 FRAME_IDS = rangecoder.LANES * rangecoder.BLOCK
+MOST_FRAMES = 500_000
 MOST_WORDS, MOST_PARTS = 200_000, 600_000
 FRAME = "frame long, first long, n_ids long, doc_ids binary, nulls binary, lengths binary, crc long, payload array<binary>"
 # Python's split() ends words at these, the library's white space doesn't include them.
@@ -162,6 +163,9 @@ def read(frames: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> Da
     order = Window.orderBy(F.col("first").asc_nulls_first(), "frame")
     starts = frames.select("first", "frame", "n_ids").withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids"))
     starts = starts.select(F.col("first").alias("f"), F.col("frame").alias("g"), "start")
+    # Three numbers a frame: broadcast, so that the frames stay where they are, up to a counted number.
+    if frames.select("frame").limit(MOST_FRAMES + 1).count() <= MOST_FRAMES:
+        starts = F.broadcast(starts)
     placed = frames.join(starts, frames["first"].eqNullSafe(F.col("f")) & (frames["frame"] == F.col("g")))
     placed = placed.select("start", "n_ids", "doc_ids", "nulls", "lengths", "crc", "payload")
     kind = schema(f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
