@@ -110,6 +110,15 @@ def _levels(parts: DataFrame, total: int) -> np.ndarray:
     return levels.ravel()
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Small numbers, packed."""
+    return zstandard.compress(numbers.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i4")
+
+
 def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent: int) -> DataFrame:
     """For each batch and fragment, packed: shingles, the places of their classes in a list, their positions in their sets'
     order, and that list with sizes."""
@@ -145,7 +154,7 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
                 rows = []
                 for f in np.flatnonzero(np.diff(cuts)):
                     own, place = np.unique(owner[cuts[f] : cuts[f + 1]], return_inverse=True)
-                    rows.append((int(f), values[cuts[f] : cuts[f + 1]].tobytes(), place.astype(np.uint32).tobytes(), position[cuts[f] : cuts[f + 1]].tobytes(), names[own].tobytes(), n[own].astype(np.int32).tobytes()))
+                    rows.append((int(f), values[cuts[f] : cuts[f + 1]].tobytes(), _small(np.diff(place, prepend=0)), _small(position[cuts[f] : cuts[f + 1]]), names[own].tobytes(), n[own].astype(np.int32).tobytes()))
                 kinds = (pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], kind.names)
 
@@ -166,8 +175,9 @@ def _pairs(postings: DataFrame, percent: int, crowd: int) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         read = lambda name, t: [np.frombuffer(v.as_py(), t) for v in table.column(name)]
-        classes, sizes, places = read("classes", np.int64), read("sizes", np.int32), read("places", np.uint32)
-        shingles, position = np.concatenate(read("shingles", _U)), np.concatenate(read("positions", np.int32)).astype(np.int64)
+        classes, sizes = read("classes", np.int64), read("sizes", np.int32)
+        places = [np.cumsum(_unpacked(v.as_py())) for v in table.column("places")]
+        shingles, position = np.concatenate(read("shingles", _U)), np.concatenate([_unpacked(v.as_py()) for v in table.column("positions")]).astype(np.int64)
         names = np.concatenate([c[p] for c, p in zip(classes, places)])
         size = np.concatenate([s[p] for s, p in zip(sizes, places)]).astype(np.int64)
         order = np.lexsort((names, shingles))
