@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +33,14 @@ from .shared import batch_rows, columns, schema, written
 
 SPACE = "▁"
 CHUNK = 65_536
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 NEVER = -(1 << 62)
 #: Model files mark pieces that are not to be chosen with a score far below all others. Such a piece is out, but a single
 #: character keeps its piece, at the score of one without any.
 LEAST_SCORE = -1e6
 _SHIFT = 30
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _FORCED = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 #: The second term of a cut, by its place in its word; a word's begin has none.
@@ -91,7 +94,14 @@ class Model:
         self.longest = max(map(len, self.scores))
         if any(_FORCED.search(t) for t in self.scores):
             raise ValueError("a piece goes on into the next word")
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}  # the same by words without the space before them
+        # Scores by piece, 0 for the mere beginning of one; a score of 0 itself stands as 1, which no shifted score is.
+        self.begun: dict[str, int] = {}
+        for piece, score in self.scores.items():
+            for n in range(1, len(piece)):
+                self.begun.setdefault(piece[:n], 0)
+            self.begun[piece] = score or 1
 
     # Sums: `forward` from one place to all later ones, `backward` from all earlier ones to one place.
 
@@ -140,23 +150,80 @@ class Model:
         return out
 
     def word(self, word: str) -> bytes:
-        """The ids of a word as little-endian 32-bit integers."""
+        """The ids of a word as little-endian 32-bit integers: forward() and traced() for a word by itself."""
+        size = len(word)
+        if size > 64:
+            _, back = self.forward(word, 0, size, places(word, 0))
+            return np.array(self.traced(word, back, 0, size), "<u4").tobytes()
+        best, back = [0] + [NEVER] * size, [0] * (size + 1)
+        get, cuts = self.begun.get, _CUTS
+        for i in range(size):
+            here = best[i]
+            if here == NEVER:
+                continue
+            for j in range(i + 1, size + 1):
+                score = get(word[i:j])
+                if score is None:  # no piece begins like this
+                    if j > i + 1:
+                        break
+                    score = self.unknown
+                elif score == 0:  # only the beginning of one
+                    if j > i + 1:
+                        continue
+                    score = self.unknown
+                elif score == 1:
+                    score = 0
+                total = here + score - cuts[j]
+                if total > best[j]:
+                    best[j], back[j] = total, i
+        out: list[int] = []
+        end = size
+        while end:
+            begin = back[end]
+            piece = self.ids.get(word[begin:end])
+            if piece is None:
+                out += [self.bytes[b] for b in reversed(word[begin:end].encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(piece)
+            end = begin
+        out.reverse()
+        return array("I", out).tobytes() if _LITTLE else np.array(out, "<u4").tobytes()
+
+    def known(self, word: str) -> bytes:
+        """word(), remembered."""
         found = self.words.get(word)
         if found is None:
             if len(self.words) > MOST_WORDS:
                 self.words.clear()
-            _, back = self.forward(word, 0, len(word), places(word, 0))
-            found = np.array(self.traced(word, back, 0, len(word)), "<u4").tobytes()
+            found = self.word(word)
             if len(word) <= 64:
                 self.words[word] = found
         return found
 
     def encode(self, normal: str) -> bytes:
-        words = _WORD.findall(normal)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            return b"".join(map(self.word, words))
+        return b"".join(map(self.known, _WORD.findall(normal)))
+
+    def encode_text(self, text: str | None) -> bytes:
+        """encode() of the normalised text. Where single spaces part the words, the words are looked up without them."""
+        if not text:
+            return b""
+        if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return self.encode(normalised(text))
+        parts = text.split(" ")
+        found = list(map(self.plain.get, parts))
+        if None in found:
+            if len(self.plain) > MOST_WORDS:
+                self.plain.clear()
+            for i, ids in enumerate(found):
+                if ids is None:
+                    part = parts[i]
+                    ids = self.plain.get(part)
+                    if ids is None:
+                        ids = self.word(SPACE + part)
+                        if len(part) <= 63:
+                            self.plain[part] = ids
+                    found[i] = ids
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         values = self.values
@@ -306,10 +373,9 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             names, found = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                normal = normalised(text)
-                if len(normal) <= chunk:
+                if not text or len(text) < chunk:
                     names.append(name)
-                    found.append(model.encode(normal))
+                    found.append(model.encode_text(text))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], [id_col, "ids"])
 
     short = picked.mapInArrow(work, schema(f"{id_col} long, ids binary"))
