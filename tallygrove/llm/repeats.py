@@ -7,13 +7,13 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
 1. Dictionary. Phrases go, packed, to fragments of their triggers' hash range. Equal phrases fall together with the smallest
    id that has them: in any later document all their strings go. Repetitive text is done with here.
 2. Order within the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
-   than one phrase the strings are sorted together, by hash, which puts equal suffixes of phrases side by side as a suffix
-   array cut at 50 bytes would, with the smallest id of each.
+   than one phrase the strings of the dictionary (each phrase once, where it is first) are sorted together, by hash, which puts
+   equal suffixes of phrases side by side as a suffix array cut at 50 bytes would, with the smallest id of each.
 3. The starts so found are joined to the documents by id, and covered bytes are removed.
 
 A full suffix array would order all suffixes beyond their first 50 bytes, which no result here depends on. Hashes of 64 bits
-stand for triggers, phrases (with the trigger, 128 together) and strings. What is broadcast is a Bloom filter of the triggers
-with several phrases, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
+stand for triggers and strings, 48 more for phrases of one trigger. What is broadcast is a Bloom filter of the phrases to be
+ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
 
 Defined results: a null text is empty; a text of under 50 bytes has no string and stays whole; a row with a null id stays
 whole and counts for nothing; rows with one id count as one document, so none makes the other's bytes go; other columns are
@@ -24,19 +24,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as X
 from .bloom import bloom, in_bloom
-from .shared import batch_rows, columns, schema, written
+from .shared import batch_rows, columns, schema, trim, written
 
 LENGTH, TRIGGER = 50, 20
 BLOOM = 1 << 27
-FRAGMENT_BYTES = 12 << 20
+FRAGMENT_BYTES = 4 << 20
 LEAST_FRAGMENTS = 32
+#: A piece's arrays take about a hundred times its bytes.
+PIECE_BYTES = 1 << 19
 _PLACE_BITS = 28
 _U = np.uint64
+_48 = _U((1 << 48) - 1)
 
 
 def _span_lengths(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +89,16 @@ def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((hashes >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
-def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, *others: np.ndarray):
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers that differ little from one to the next, packed."""
+    return zstandard.compress(np.diff(numbers, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _numbers(column) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(v.as_py()), "<i4"), dtype=np.int64) for v in column])
+
+
+def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, raw: list[np.ndarray], small: list[np.ndarray]):
     """Arrow columns of one row for each fragment: hashes, documents' places in a list, the list, and the other arrays."""
     where = _fragment(hashes, fragments)
     order = np.argsort(where, kind="stable")
@@ -94,25 +107,26 @@ def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarr
     for f in np.flatnonzero(np.diff(cuts)):
         i = order[cuts[f] : cuts[f + 1]]
         docs, place = np.unique(owner[i], return_inverse=True)
-        rows.append((int(f), hashes[i].tobytes(), place.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), ids[docs].tobytes(), *(o[i].tobytes() for o in others)))
-    kinds = [pa.int32(), *[pa.binary()] * (3 + len(others))]
+        rows.append((int(f), hashes[i].tobytes(), _small(place), ids[docs].tobytes(), *(r[i].tobytes() for r in raw), *(_small(x[i]) for x in small)))
+    kinds = [pa.int32(), *[pa.binary()] * (3 + len(raw) + len(small))]
     return [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """hashes and ids of a fragment's rows."""
-    hashes, ids = [], []
-    for h, p, d in zip(*(table.column(c) for c in ("hashes", "places", "docs"))):
-        hashes.append(np.frombuffer(h.as_py(), _U))
-        p, d = p.as_py(), np.frombuffer(d.as_py(), np.int64)
-        ids.append(d[np.frombuffer(p, np.uint16 if len(p) == 2 * len(hashes[-1]) else np.uint32)])
-    return np.concatenate(hashes), np.concatenate(ids)
+    ids = [np.frombuffer(d.as_py(), np.int64)[_numbers([p])] for p, d in zip(table.column("places"), table.column("docs"))]
+    return _read(table, "hashes", _U), np.concatenate(ids)
 
 
 def _read(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)])
 
 
+def _key(trigger: np.ndarray, phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Stands for a phrase in a document."""
+    return X.mix(trigger + X.mix((phrase & _48) + X.mix(ids.astype(np.int64).view(_U) + _U(1))))
+
+
 def _least(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row, the number of its group of equal keys, and the smallest id of the group."""
     order = np.lexsort((ids, *keys[::-1]))
@@ -136,23 +150,26 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
     spark = df.sparkSession
     size = 2 * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     fragments = max(LEAST_FRAGMENTS, min(1 << 20, -(-size // FRAGMENT_BYTES)))
-    kind = schema("fragment int, hashes binary, places binary, docs binary, phrases binary, begins binary, strings binary")
+    kind = schema("fragment int, hashes binary, places binary, docs binary, low binary, high binary, begins binary, strings binary")
 
     def parse(batches):
         for batch in batches:
-            for piece in X.pieces(batch, text_col, 2 * X.PIECE_BYTES):
+            trim()
+            for piece in X.pieces(batch, text_col, PIECE_BYTES):
                 ids, valid = _valid(piece)
                 trigger, phrase, owner, begin, strings, _ = _phrases(*X.utf8(piece.column(1)), length)
                 keep = valid[owner]
                 trigger, phrase, owner, begin, strings = (x[keep] for x in (trigger, phrase, owner, begin, strings))
                 if len(trigger):
-                    yield pa.RecordBatch.from_arrays(_packed(fragments, trigger, owner, ids, phrase, begin.astype(np.int32), strings.astype(np.uint8)), kind.names)
+                    yield pa.RecordBatch.from_arrays(_packed(fragments, trigger, owner, ids, [phrase.astype(np.uint32), (phrase >> _U(32)).astype(np.uint16)], [begin, strings]), kind.names)
 
     found_kind = schema("kind int, id long, place long, n int")
 
     def dictionary(table: pa.Table) -> pa.Table:
+        trim()
         trigger, ids = _unpacked(table)
-        phrase, begin, strings = _read(table, "phrases", _U), _read(table, "begins", np.int32), _read(table, "strings", np.uint8)
+        phrase = _read(table, "low", np.uint32).astype(_U) | _read(table, "high", np.uint16).astype(_U) << _U(32)
+        begin, strings = _numbers(table.column("begins")), _numbers(table.column("strings"))
         group, least = _least([trigger, phrase], ids)
         later = least < ids
         # A trigger is mixed if it has several phrases, in more than one document.
@@ -163,11 +180,12 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
         low, high = np.full(len(triggers), np.iinfo(np.int64).max), np.full(len(triggers), np.iinfo(np.int64).min)
         np.minimum.at(low, run, ids)
         np.maximum.at(high, run, ids)
-        mixed = triggers[(phrases > 1) & (low < high)]
+        mixed = first & ((phrases > 1) & (low < high))[run]
+        mixed = np.unique(_key(trigger[mixed], phrase[mixed], least[mixed]))
         columns = (
             np.r_[np.zeros(later.sum(), np.int32), np.ones(len(mixed), np.int32)].astype(np.int32),
             np.r_[ids[later], np.zeros(len(mixed), np.int64)],
-            np.r_[begin[later].astype(np.int64), mixed.view(np.int64)],
+            np.r_[begin[later], mixed.view(np.int64)],
             np.r_[strings[later].astype(np.int32), np.zeros(len(mixed), np.int32)].astype(np.int32),
         )
         return pa.table(dict(zip(found_kind.names, columns)))
@@ -181,12 +199,13 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
 
     def strings_of(batches):
         for batch in batches:
-            for piece in X.pieces(batch, text_col, 2 * X.PIECE_BYTES):
+            trim()
+            for piece in X.pieces(batch, text_col, PIECE_BYTES):
                 ids, valid = _valid(piece)
                 data, at = X.utf8(piece.column(1))
-                trigger, _, owner, begin, strings, prefix = _phrases(data, at, length)
+                trigger, phrase, owner, begin, strings, prefix = _phrases(data, at, length)
                 keep = valid[owner]
-                keep[keep] = in_bloom(shared.value, bits, trigger[keep])
+                keep[keep] = in_bloom(shared.value, bits, _key(trigger[keep], phrase[keep], ids[owner[keep]]))
                 owner, begin, strings = owner[keep], begin[keep], strings[keep]
                 if not len(owner):
                     continue
@@ -194,14 +213,15 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
                 place = np.repeat(begin - (total - strings), strings) + np.arange(total[-1])
                 owner = np.repeat(owner, strings)
                 hashes = X.span_hash(prefix, at[owner] + place, at[owner] + place + length)
-                yield pa.RecordBatch.from_arrays(_packed(fragments, hashes, owner, ids, place.astype(np.int32)), string_kind.names)
+                yield pa.RecordBatch.from_arrays(_packed(fragments, hashes, owner, ids, [], [place]), string_kind.names)
 
     def order(table: pa.Table) -> pa.Table:
+        trim()
         hashes, ids = _unpacked(table)
-        place = _read(table, "begins", np.int32)
+        place = _numbers(table.column("begins"))
         _, least = _least([hashes], ids)
         later = least < ids
-        ids, place = ids[later], place[later].astype(np.int64)
+        ids, place = ids[later], place[later]
         return pa.table({"id": ids, "place": place, "n": np.ones(len(ids), np.int32)})
 
     parts = df.mapInArrow(strings_of, string_kind).groupBy("fragment").applyInArrow(order, schema("id long, place long, n int"))
@@ -213,7 +233,7 @@ REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each row of df: its id, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and `kept`, the bytes left."""
-    batch_rows(df.sparkSession)
+    batch_rows(df.sparkSession, 250)
     picked = columns(df, **{id_col: "long", text_col: "string"})
     starts = repeated(picked, id_col, text_col, length).groupBy("id").agg(F.collect_list(F.col("place") * 4096 + F.col("n")).alias("_starts"))
     joined = picked.join(starts, F.col(id_col) == F.col("id"), "left").select(id_col, text_col, "_starts")
