@@ -7,9 +7,11 @@ over all documents), then by hash. Fragments cut that order by hash range.
 1. Discovery. Two sets of a Jaccard similarity of t or more share a shingle among their first n - ceil(t n) + 1. These go,
    packed, to their fragment; a fragment pairs up the classes that share a shingle there, bounds the pairs by size and by the
    shingle's position, and counts what each pair shares; the counts of all fragments are summed, and pairs that can't reach t
-   any more are out. A shingle of over `crowd` classes isn't paired out: each class
-   is paired with one of them, and after the links so found have been merged, only classes of different components that
-   share such a shingle are paired. So a group of near copies costs its size and not its square, and no link is lost.
+   any more are out. A shingle of over `crowd` classes isn't paired out there: each class is paired with one of them, and the
+   other pairs follow, dealt in blocks of `BLOCK` classes by `BLOCK`, once these are verified. `join` takes all of them that
+   size and position allow, so its links are whole, and a group of near copies costs the square of its size, as its links do.
+   `cluster` asks for components alone: it merges the links found and pairs only classes of different components, so there a
+   group costs its size; the links it leaves out lie within a component and change none.
 2. Verification. The sets of the classes in pairs are cut into the fragments of the order, partial overlaps are counted
    fragment by fragment, and summed per pair; the sum decides.
 
@@ -44,6 +46,7 @@ FRAGMENT_SHINGLES = 1 << 20
 LEAST_FRAGMENTS = 32
 SEGMENTS = 4
 CROWD = 32
+BLOCK = 512
 _U = np.uint64
 
 
@@ -272,13 +275,27 @@ def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: i
     return summed.where(100 * F.col("same") >= percent * (F.col("size_a") + F.col("size_b") - F.col("same"))).select("a", "b")
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, crowd: int = CROWD, fragment_shingles: int = FRAGMENT_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(id, n, class, other) for each row of df, and the links (a, b) between classes of different sets.
+def _dealt(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of classes of each shingle, dealt out by blocks x and y of them, so that no task gets all pairs
+    of a shingle."""
+    blocks = named.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    named = named.join(blocks, "shingle").withColumn("own", F.expr("pmod(class, blocks)")).withColumn("facing", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    one = named.withColumnsRenamed({"own": "x", "facing": "y"})
+    two = named.withColumnsRenamed({"own": "y", "facing": "x"})
+    return one.drop("blocks"), two.drop("blocks")
+
+
+def _crowd_pairs(one: DataFrame, two: DataFrame, keys: list[str], percent: int, condition: str) -> DataFrame:
+    """Pairs a < b of classes that share a crowded shingle and meet the condition, as far as size and position allow."""
+    two = two.select(*keys, *(F.col(c).alias(f"{c}_b") for c in two.columns if c not in keys))
+    least = f"ceil({percent} * (size + size_b) / (100 + {percent}))"
+    near = f"class < class_b AND ({condition}) AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b) AND size - position >= {least} AND size_b - position_b >= {least}"
+    return one.join(two, keys).where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+
 
-    Links within a crowd whose ends other links already join may be left out; the components are those of all links.
-    """
+def _links(df: DataFrame, k: int, percent: int, crowd: int, fragment_shingles: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, n, class, other) for each row of df (id, text), and links (a, b): all of them, or as many as make the components."""
     batch_rows(df.sparkSession)
-    df = columns(df, **{id_col: "long", text_col: "string"}).toDF("id", "text")
     members, parts = _scan(df, k)
     total = members.agg(F.sum("n")).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, -(-total // (4 * fragment_shingles)))
@@ -296,26 +313,31 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     crowded = found.where("kind = 1")
     if crowded.isEmpty():
         return members, links
-    labels = components(links)
-    named = crowded.join(labels, crowded["b"] == labels["node"], "left")
-    named = named.select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("n").alias("size"), F.col("firsts").alias("position"), F.coalesce("label", "b").alias("label"))
-    named = written(named, "crowds")
-    mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
-    named = named.join(mixed, "shingle", "left_semi")
-    other = named.toDF("shingle", *(f"{c}_b" for c in ("class", "size", "position", "label")))
-    least = f"ceil({percent} * (size + size_b) / (100 + {percent}))"
-    near = f"class < class_b AND label != label_b AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b) AND size - position >= {least} AND size_b - position_b >= {least}"
-    more = named.join(other, "shingle").where(near).withColumnRenamed("class_b", "b")
-    more = more.select(F.col("class").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    named = crowded.select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("n").alias("size"), F.col("firsts").alias("position"))
+    if whole:
+        more = _crowd_pairs(*_dealt(named), ["shingle", "x", "y"], percent, "true")
+    else:
+        labels = components(links)
+        named = named.join(labels, named["class"] == labels["node"], "left").withColumn("label", F.coalesce("label", "class"))
+        named = written(named.select("shingle", "class", "size", "position", "label"), "crowds")
+        mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
+        named = named.join(mixed, "shingle", "left_semi")
+        more = _crowd_pairs(named, named, ["shingle"], percent, "label != label_b")
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return members, links
     return members, links.union(written(_verified(df, more, k, percent, SEGMENTS), "links"))
 
 
-def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, crowd: int = CROWD, fragment_shingles: int = FRAGMENT_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(id, n, class, other) for each row of df, and every link (a, b), a < b, between classes of different sets, once."""
+    return _links(columns(df, **{id_col: "long", text_col: "string"}).toDF("id", "text"), k, percent, crowd, fragment_shingles, True)
+
+
+def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """A row for each row of df: its id, `n_shingles` and `component_id`, the smallest id that links lead to."""
-    members, links = join(df, id_col, text_col, k, percent)
+    df = columns(df, **{id_col: "long", text_col: "string"}).toDF("id", "text")
+    members, links = _links(df, k, percent, crowd, FRAGMENT_SHINGLES, False)
     labels = components(links).toDF("class", "label")
     labelled = members.where("n > 0 AND id IS NOT NULL").groupBy("class", "other").agg(F.min("id").alias("first"))
     # A class without links is its own component.

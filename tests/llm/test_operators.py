@@ -93,6 +93,28 @@ def test_near_duplicates_in_crowds(spark, crowd):
     assert got == {i: c for i, (_, c) in plainly.near_components(named).items()}
 
 
+@pytest.mark.parametrize("crowd", [4, 32])
+def test_near_duplicates_every_link(spark, crowd, monkeypatch):
+    """Every link between different sets, also within a crowd that other links join already."""
+    rng = random.Random(crowd)
+    docs = []
+    for size in (60, 90):
+        base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+        for i in range(45):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(size)] = f"x{size}-{i}"
+            docs.append(" ".join(copy))
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    members, links = jaccard.join(df, crowd=crowd)
+    sets = {r["class"]: plainly.shingle_set(docs[r.id]) for r in members.collect()}
+    got = [(r.a, r.b) for r in links.collect()]
+    expected = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(df, crowd=crowd).collect()} == plainly.near_components(list(enumerate(docs)))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
