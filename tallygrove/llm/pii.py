@@ -1,7 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Kinds, in the order in which spans are listed: email, ip, card, phone (the base kinds) and iban. Within a kind spans are
-leftmost and don't overlap; a proposal that its check turns down is dropped with all its characters, without a retry.
+leftmost and don't overlap; a proposal of a base kind that its check turns down is dropped with all its characters, without a
+retry. Capitals and digits behind an account number look like more of it, so an iban ends where its country's length says, or
+for a country that isn't listed, at the last word's end at which the checksum holds; one turned down is tried again from its
+next word.
 A base span is kept whatever its score; a span of a further kind needs `least` points.
 
 Defined results: a null or empty text has no spans; a null id stays null; repeated rows are answered one by one; other
@@ -29,8 +32,21 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_WORD_END = re.compile(r"(?=\x20|\Z)")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.85, "phone": 0.6, "iban": 0.9}
 #: Words near a span that speak for its kind, and words that speak against any.
 CONTEXT = {
@@ -97,9 +113,16 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if 15 <= len(number := m[0].replace(" ", "")) <= 34 and mod97(number):
-            yield m.span()
+    at = 0
+    while m := _IBAN.search(text, at):
+        begin, at = m.start(), m.start() + 1
+        length = IBAN_LENGTHS.get(m[0][:2])
+        for end in reversed([e.start() for e in _WORD_END.finditer(m[0])]):
+            number = m[0][:end].replace(" ", "")
+            if (len(number) == length if length else 15 <= len(number) <= 34) and mod97(number):
+                yield begin, begin + end
+                at = begin + end
+                break
 
 
 def score(text: str, kind: str, begin: int, end: int) -> float:

@@ -60,6 +60,22 @@ def test_pii_context_and_checksums():
     assert pii.score("card 4111111111111111", "card", 5, 21) > pii.score("test 4111111111111111", "card", 5, 21)
 
 
+@pytest.mark.parametrize(
+    "text, numbers",
+    [
+        ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("GB82 WEST 1234 5698 7654 32 EUR 500", ["GB82 WEST 1234 5698 7654 32"]),
+        ("GB82WEST12345698765432 I paid", ["GB82WEST12345698765432"]),
+        ("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 NO93 8601 1117 947", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]),
+        ("PO12 DE89 3704 0044 0532 0130 00 A", ["DE89 3704 0044 0532 0130 00"]),
+        ("DZ58 0002 1000 0111 3000 0005 70 DZD 5", ["DZ58 0002 1000 0111 3000 0005 70"]),
+        ("DE89370400440532013001 BIC GB82WEST12345698765432X " + "AB12 " * 500, []),
+    ],
+)
+def test_pii_ibans_before_capitals(text, numbers):
+    assert [text[b:e] for k, b, e, _ in pii.spans(text) if k == "iban"] == numbers
+
+
 def test_near_duplicates(spark, data):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op6_ngram_jaccard_join"](spark, data).collect()}
     assert got == plainly.near_components(texts(spark, data))
