@@ -136,10 +136,10 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
                     continue
                 n = np.diff(ends)
                 names, _ = _digests(values, ends)
-                _, first = np.unique(names, return_index=True)  # equal sets of a piece once
+                valid = np.flatnonzero((n > 0) & piece.column(0).is_valid().to_numpy(zero_copy_only=False))
+                _, first = np.unique(names[valid], return_index=True)  # equal sets of a piece once
                 take = np.zeros(len(n), bool)
-                take[first] = n[first] > 0
-                take &= piece.column(0).is_valid().to_numpy(zero_copy_only=False)
+                take[valid[first]] = True
                 owner = np.repeat(np.arange(len(n)), n)
                 values, owner = values[take[owner]], owner[take[owner]]
                 order = np.lexsort((values, shared.value[(values % _U(SKETCH)).astype(np.int64)], owner))

@@ -121,6 +121,12 @@ def test_jaccard_defined(spark, folder):
     assert got[6][1] == 5 and got[9][1] == 5 and got[None][1] is None
 
 
+def test_jaccard_row_without_id_ahead_of_an_equal_one(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), (1, text), (2, text + " more")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in jaccard.cluster(df).collect()} == {None: None, 1: 1, 2: 1}
+
+
 def test_repeats_defined(spark, folder):
     got = {i: r[0] for i, r in by_id(QUERIES["op7_repeated_strings"](spark, folder)).items()}
     expected = plainly.repeats([(i, t) for i, t in TEXTS if i is not None])
