@@ -9,14 +9,15 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
 2. Order within the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
    than one phrase the strings of the dictionary (each phrase once, where it is first) are sorted together, by hash, which puts
    equal suffixes of phrases side by side as a suffix array cut at 50 bytes would, with the smallest id of each.
-3. The starts so found are joined to the documents by id, and covered bytes are removed.
+3. The starts so found are joined to the documents by id and digest of the text, and covered bytes are removed.
 
 A full suffix array would order all suffixes beyond their first 50 bytes, which no result here depends on. Hashes of 64 bits
 stand for triggers and strings, 48 more for phrases of one trigger. What is broadcast is a Bloom filter of the phrases to be
 ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
 
 Defined results: a null text is empty; a text of under 50 bytes has no string and stays whole; a row with a null id stays
-whole and counts for nothing; rows with one id count as one document, so none makes the other's bytes go; other columns are
+whole and counts for nothing; rows with one id count as one document, so none makes the other's bytes go, and each keeps its
+own places if their texts differ (told apart by 64-bit digests); other columns are
 left behind; an empty table gives an empty table.
 """
 
@@ -98,8 +99,9 @@ def _numbers(column) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(v.as_py()), "<i4"), dtype=np.int64) for v in column])
 
 
-def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, raw: list[np.ndarray], small: list[np.ndarray]):
-    """Arrow columns of one row for each fragment: hashes, documents' places in a list, the list, and the other arrays."""
+def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, digests: np.ndarray, raw: list[np.ndarray], small: list[np.ndarray]):
+    """Arrow columns of one row for each fragment: hashes, documents' places in a list, the list's ids and digests, and the other
+    arrays."""
     where = _fragment(hashes, fragments)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(fragments + 1))
@@ -107,15 +109,14 @@ def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarr
     for f in np.flatnonzero(np.diff(cuts)):
         i = order[cuts[f] : cuts[f + 1]]
         docs, place = np.unique(owner[i], return_inverse=True)
-        rows.append((int(f), hashes[i].tobytes(), _small(place), ids[docs].tobytes(), *(r[i].tobytes() for r in raw), *(_small(x[i]) for x in small)))
-    kinds = [pa.int32(), *[pa.binary()] * (3 + len(raw) + len(small))]
+        rows.append((int(f), hashes[i].tobytes(), _small(place), ids[docs].tobytes(), digests[docs].tobytes(), *(r[i].tobytes() for r in raw), *(_small(x[i]) for x in small)))
+    kinds = [pa.int32(), *[pa.binary()] * (4 + len(raw) + len(small))]
     return [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """hashes and ids of a fragment's rows."""
-    ids = [np.frombuffer(d.as_py(), np.int64)[_numbers([p])] for p, d in zip(table.column("places"), table.column("docs"))]
-    return _read(table, "hashes", _U), np.concatenate(ids)
+def _unpacked(table: pa.Table, name: str) -> np.ndarray:
+    """Ids (docs) or digests of a fragment's rows."""
+    return np.concatenate([np.frombuffer(d.as_py(), np.int64)[_numbers([p])] for p, d in zip(table.column("places"), table.column(name))])
 
 
 def _read(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -140,34 +141,35 @@ def _least(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, least[out] if len(ids) else ids
 
 
-def _valid(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _valid(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = piece.column(0)
-    return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+    return ids.fill_null(0).to_numpy(), piece.column(2).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """id, place of a first byte and number of consecutive strings from there that also start in a document with a smaller id."""
+    """id, digest of the text, place of a first byte and number of consecutive strings from there that also start in a document
+    with a smaller id. df has the id, the text and its digest."""
     spark = df.sparkSession
     size = 2 * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     fragments = max(LEAST_FRAGMENTS, min(1 << 20, -(-size // FRAGMENT_BYTES)))
-    kind = schema("fragment int, hashes binary, places binary, docs binary, low binary, high binary, begins binary, strings binary")
+    kind = schema("fragment int, hashes binary, places binary, docs binary, digests binary, low binary, high binary, begins binary, strings binary")
 
     def parse(batches):
         for batch in batches:
             trim()
             for piece in X.pieces(batch, text_col, PIECE_BYTES):
-                ids, valid = _valid(piece)
+                ids, digests, valid = _valid(piece)
                 trigger, phrase, owner, begin, strings, _ = _phrases(*X.utf8(piece.column(1)), length)
                 keep = valid[owner]
                 trigger, phrase, owner, begin, strings = (x[keep] for x in (trigger, phrase, owner, begin, strings))
                 if len(trigger):
-                    yield pa.RecordBatch.from_arrays(_packed(fragments, trigger, owner, ids, [phrase.astype(np.uint32), (phrase >> _U(32)).astype(np.uint16)], [begin, strings]), kind.names)
+                    yield pa.RecordBatch.from_arrays(_packed(fragments, trigger, owner, ids, digests, [phrase.astype(np.uint32), (phrase >> _U(32)).astype(np.uint16)], [begin, strings]), kind.names)
 
-    found_kind = schema("kind int, id long, place long, n int")
+    found_kind = schema("kind int, id long, digest long, place long, n int")
 
     def dictionary(table: pa.Table) -> pa.Table:
         trim()
-        trigger, ids = _unpacked(table)
+        trigger, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
         phrase = _read(table, "low", np.uint32).astype(_U) | _read(table, "high", np.uint16).astype(_U) << _U(32)
         begin, strings = _numbers(table.column("begins")), _numbers(table.column("strings"))
         group, least = _least([trigger, phrase], ids)
@@ -185,23 +187,24 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
         columns = (
             np.r_[np.zeros(later.sum(), np.int32), np.ones(len(mixed), np.int32)].astype(np.int32),
             np.r_[ids[later], np.zeros(len(mixed), np.int64)],
+            np.r_[_unpacked(table, "digests")[later], np.zeros(len(mixed), np.int64)],
             np.r_[begin[later], mixed.view(np.int64)],
             np.r_[strings[later].astype(np.int32), np.zeros(len(mixed), np.int32)].astype(np.int32),
         )
         return pa.table(dict(zip(found_kind.names, columns)))
 
     found = written(df.mapInArrow(parse, kind).groupBy("fragment").applyInArrow(dictionary, found_kind), "phrases")
-    whole = found.where("kind = 0").select("id", "place", "n")
+    whole = found.where("kind = 0").select("id", "digest", "place", "n")
     mixed = found.where("kind = 1").select("place")
     bitmap, bits = bloom(mixed, BLOOM)
     shared = spark.sparkContext.broadcast(bitmap)
-    string_kind = schema("fragment int, hashes binary, places binary, docs binary, begins binary")
+    string_kind = schema("fragment int, hashes binary, places binary, docs binary, digests binary, begins binary")
 
     def strings_of(batches):
         for batch in batches:
             trim()
             for piece in X.pieces(batch, text_col, PIECE_BYTES):
-                ids, valid = _valid(piece)
+                ids, digests, valid = _valid(piece)
                 data, at = X.utf8(piece.column(1))
                 trigger, phrase, owner, begin, strings, prefix = _phrases(data, at, length)
                 keep = valid[owner]
@@ -213,18 +216,18 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFram
                 place = np.repeat(begin - (total - strings), strings) + np.arange(total[-1])
                 owner = np.repeat(owner, strings)
                 hashes = X.span_hash(prefix, at[owner] + place, at[owner] + place + length)
-                yield pa.RecordBatch.from_arrays(_packed(fragments, hashes, owner, ids, [], [place]), string_kind.names)
+                yield pa.RecordBatch.from_arrays(_packed(fragments, hashes, owner, ids, digests, [], [place]), string_kind.names)
 
     def order(table: pa.Table) -> pa.Table:
         trim()
-        hashes, ids = _unpacked(table)
+        hashes, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
         place = _numbers(table.column("begins"))
         _, least = _least([hashes], ids)
         later = least < ids
-        ids, place = ids[later], place[later]
-        return pa.table({"id": ids, "place": place, "n": np.ones(len(ids), np.int32)})
+        ids, digests, place = ids[later], _unpacked(table, "digests")[later], place[later]
+        return pa.table({"id": ids, "digest": digests, "place": place, "n": np.ones(len(ids), np.int32)})
 
-    parts = df.mapInArrow(strings_of, string_kind).groupBy("fragment").applyInArrow(order, schema("id long, place long, n int"))
+    parts = df.mapInArrow(strings_of, string_kind).groupBy("fragment").applyInArrow(order, schema("id long, digest long, place long, n int"))
     return whole.union(parts)
 
 
@@ -234,9 +237,9 @@ REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary"
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """A row for each row of df: its id, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and `kept`, the bytes left."""
     batch_rows(df.sparkSession, 250)
-    picked = columns(df, **{id_col: "long", text_col: "string"})
-    starts = repeated(picked, id_col, text_col, length).groupBy("id").agg(F.collect_list(F.col("place") * 4096 + F.col("n")).alias("_starts"))
-    joined = picked.join(starts, F.col(id_col) == F.col("id"), "left").select(id_col, text_col, "_starts")
+    picked = columns(df, **{id_col: "long", text_col: "string"}).withColumn("_digest", F.xxhash64(text_col))
+    starts = repeated(picked, id_col, text_col, length).groupBy("id", "digest").agg(F.collect_list(F.col("place") * 4096 + F.col("n")).alias("_starts"))
+    joined = picked.join(starts, (F.col(id_col) == F.col("id")) & (F.col("_digest") == F.col("digest")), "left").select(id_col, text_col, "_starts")
     kind = schema(f"{id_col} long, {REMOVED}")
 
     def work(batches):

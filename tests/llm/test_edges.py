@@ -134,6 +134,13 @@ def test_repeats_defined(spark, folder):
     assert got[None].n_removed == 0
 
 
+def test_repeats_of_one_id_with_different_texts(spark):
+    passage = "".join(chr(33 + i * 7 % 90) for i in range(70))
+    named = [(1, passage), (2, "before it: " + passage), (2, "clean"), (2, "q" * 30 + "another text, long enough to have strings " + "z" * 60), (2, passage + " in other words")]
+    got = repeats.remove(spark.createDataFrame(named, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.kept.decode()) for r in got) == sorted([(1, passage), (2, "before it: "), (2, "clean"), (2, named[3][1]), (2, " in other words")])
+
+
 def test_decontamination_defined(spark, folder):
     got = {i: r[0] for i, r in by_id(QUERIES["op8_decontamination"](spark, folder)).items()}
     assert (got[1].n_words, got[1].contaminated, got[3].n_words) == (0, False, 0)
