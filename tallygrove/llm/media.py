@@ -38,6 +38,7 @@ class _Sequence(HTMLParser):
         self.skipped = 0
         self.figure: list[int] | None = None
         self.caption = False
+        self.captions: list[tuple[int, str]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -45,11 +46,22 @@ class _Sequence(HTMLParser):
         if not text:
             return
         if self.caption and self.figure is not None:
-            for i in self.figure:
-                self.parts[i]["caption"] = text
+            self.captions.append((len(self.parts), text))
             return
         self.add("text", text=text)
 
+    def close_figure(self) -> None:
+        """Gives a figure's caption to all its media parts; without any it is a text part where it stands."""
+        if self.figure and self.captions:
+            for i in self.figure:
+                self.parts[i]["caption"] = " ".join(text for _, text in self.captions)
+        elif self.captions:
+            for at, text in reversed(self.captions):
+                self.parts.insert(at, {"position": at, "kind": "text", "text": text, "ref": None, "caption": None})
+            for i in range(self.captions[0][0], len(self.parts)):
+                self.parts[i]["position"] = i
+        self.figure, self.captions = None, []
+
     def add(self, kind: str, **values: str | None) -> None:
         self.parts.append({"position": len(self.parts), "kind": kind, "text": None, "ref": None, "caption": None} | values)
 
@@ -59,6 +71,7 @@ class _Sequence(HTMLParser):
         if tag in _BLOCKS or tag in _MEDIA:
             self.flush()
         if tag == "figure":
+            self.close_figure()
             self.figure = []
         if tag == "figcaption":
             self.caption = True
@@ -77,7 +90,7 @@ class _Sequence(HTMLParser):
         if tag == "figcaption":
             self.caption = False
         if tag == "figure":
-            self.figure = None
+            self.close_figure()
 
     def handle_data(self, data):
         if not self.skipped:
@@ -85,11 +98,13 @@ class _Sequence(HTMLParser):
 
 
 def sequence(html: str | None) -> list[dict]:
-    """The parts of a page in order. A figure's caption goes to each media part that stands before it in the figure."""
+    """The parts of a page in order. A figure's caption goes to each media part of the figure, before it or behind; without any
+    it is a text part. The texts of a caption's blocks are joined by spaces."""
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    parser.close_figure()
     return parser.parts
 
 

@@ -193,6 +193,22 @@ def test_operators_keep_texts_and_spans(spark):
     assert links.columns == ["a", "b"] and members.count() == len(TEXTS)
 
 
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ('<figure><figcaption>First</figcaption><img src="a"><img src="b" alt="own"></figure>', [("media", None, "First"), ("media", None, "First")]),
+        ('<figure><img src="a"><figcaption>Between</figcaption><img src="b"></figure>x', [("media", None, "Between"), ("media", None, "Between"), ("text", "x", None)]),
+        ("<figure><figcaption>Alone</figcaption><pre>code</pre></figure>", [("text", "Alone", None), ("text", "code", None)]),
+        ('<figure><figcaption><p>One</p><p>two</p></figcaption><img src="a">', [("media", None, "One two")]),
+        ('<figure><figcaption>Lost<figure><img src="a" alt="far">', [("text", "Lost", None), ("media", None, "far")]),
+    ],
+)
+def test_caption_ahead_of_media(html, expected):
+    got = media.sequence(html)
+    assert [(p["kind"], p["text"], p["caption"]) for p in got] == expected
+    assert [p["position"] for p in got] == list(range(len(got)))
+
+
 def test_real_pages_resolve(spark):
     stored = media.store_texts(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string"))
     names = {r.doc_id: r.digest for r in stored.collect()}
