@@ -6,12 +6,13 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
 
 1. Dictionary. Phrases go, packed, to fragments of their triggers' hash range. Equal phrases fall together with the smallest
    id that has them: in any later document all their strings go. Repetitive text is done with here.
-2. Order within the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
-   than one phrase the strings of the dictionary (each phrase once, where it is first) are sorted together, by hash, which puts
-   equal suffixes of phrases side by side as a suffix array cut at 50 bytes would, with the smallest id of each.
+2. Strings of the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
+   than one phrase the strings of the dictionary (each phrase once, where it is first) are grouped by hash, with the smallest
+   id of each group.
 3. The starts so found are joined to the documents by id and digest of the text, and covered bytes are removed.
 
-A full suffix array would order all suffixes beyond their first 50 bytes, which no result here depends on. Hashes of 64 bits
+The groups replace the suffix arrays of the dictionary and of the parse: results ask which strings of 50 bytes are equal and
+never for their order. Bytes aren't compared. Hashes of 64 bits
 stand for triggers and strings, 48 more for phrases of one trigger. What is broadcast is a Bloom filter of the phrases to be
 ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
 
