@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -16,11 +17,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where none is set, one of our own, but only if all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (own := spark.sparkContext.getCheckpointDir()):
         found = own
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallygrove-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
