@@ -156,6 +156,19 @@ def test_decontamination_by_shuffle(spark, folder):
     assert sorted(map(str, some.collect())) == sorted(map(str, other.collect()))
 
 
+def test_decontamination_of_a_long_document(spark):
+    """200,000 words, items of one and two words, both ways of joining: only the places count, whatever the document's length."""
+    words = [f"w{i % 997}x{i % 31}" for i in range(200_000)]
+    passage = words[150_000:150_020]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "alone pair here"), (3, " ".join(passage[:12]))], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(passage)), ("b", "Alone"), ("c", "pair, here"), ("d", "here pair"), ("e", " ".join(passage[:12]) + " not")], "item_id string, text string")
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        got = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.mark(docs, items, broadcast_rows=most).collect()}
+        at = [i for i in range(len(words) - 19) if words[i : i + 20] == passage]
+        covered = {j for i in range(len(words) - 12) for k in range(8) if words[i : i + 13] == passage[k : k + 13] for j in range(i, i + 13)}
+        assert at and got == {1: (len(covered), ["a"]), 2: (3, ["b", "c"]), 3: (0, [])}
+
+
 def test_pieces_defined(spark, folder):
     got = {i: r[0] for i, r in by_id(QUERIES["op9_sentence_pieces"](spark, folder)).items()}
     assert got[1].n_pieces == 0 and got[2].n_pieces == 0
