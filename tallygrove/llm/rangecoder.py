@@ -1,13 +1,16 @@
 """An adaptive context-mixing range coder for token ids, run in lockstep over many independent blocks with numpy.
 
-Within a block the last id that followed the two last ids (order 2) and the one that followed the last id (order 1) are
-predictions; each has a share of the range that grows with how often predictions of its standing came true, order 1 taking
-its share of what order 2 leaves. The rest goes to order 0: the counts of the ids' upper parts so far, then evenly to the
-ids of a part. One arithmetic coding step codes an id. Every block begins with an empty model and has a CRC-32 of its ids.
+Within a block each context of the two last ids (order 2) and of the last id (order 1) holds the id that followed it last and
+a standing, which grows while it comes true. The two are mixed into one prediction: the id is that of the highest order that
+has one, its probability is learnt for each state of both standings and of their agreement, and decides the share of the
+range. What is left goes to order 0, the frequencies of all ids of the frame, which stand in its head. One arithmetic coding
+step codes an id. Every block begins with empty orders 1 and 2 and the same probabilities, and has a CRC-32 of its ids.
 
 A frame holds up to LANES blocks:
-    magic "TGRC", number of ids (8 bytes), number of blocks (4); for each block: ids (2 bytes), 16-bit code words (2),
-    CRC-32 of the ids as little-endian 32-bit integers (4); then all code words. All numbers are little-endian.
+    magic "TGR2", number of ids (8 bytes), number of blocks (4), bytes of the frequency table (4) and their CRC-32 (4); the
+    table, compressed: number of distinct ids (4), their differences (4 each), their frequencies of TOTAL (4 each); for each
+    block: ids (4 bytes), 32-bit code words (4), CRC-32 of the ids as little-endian 32-bit integers (4); then all code words.
+    All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -16,124 +19,96 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TGRC"
-BLOCK, LANES = 1024, 8192
+MAGIC = b"TGR2"
+BLOCK, LANES = 2048, 4096
+#: Ids are held in 16 bits.
 MOST_ID = (1 << 16) - 1
+TOTAL_BITS = 18
+TOTAL = 1 << TOTAL_BITS
+ORDER1, ORDER2 = 1024, 2048
+#: States of two standings of 0 (an empty context) to 3 and of their agreement; probabilities of 2**24.
+STATES, STRONG, WEAK, RATE = 32, 61_000 << 8, 200 << 8, 4
+STEPS = 128
 _U = np.uint64
-_TOP, _BOTTOM, _ALL = _U(1 << 48), _U(1 << 40), _U(0xFFFFFFFF)
-_16, _32, _48 = _U(16), _U(32), _U(48)
-PART_BITS = 10
-PARTS = (MOST_ID >> PART_BITS) + 1
-ORDER1, ORDER2 = 512, 1024
-STANDINGS = 4
-REFRESH = 32
+_32, _24 = _U(32), _U(24)
+_WORD = _U(1 << 32)
+_HEAD = [("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")]
 
 
 def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values.take(at, mode="clip")  # without the checks that cost as much as the reading
 
 
+def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and integers in proportion to their counts, 1 at least, that sum to TOTAL."""
+    counts = np.bincount(ids, minlength=1)
+    names = np.flatnonzero(counts)
+    counts = counts[names]
+    out = np.maximum(1, counts * TOTAL // max(1, counts.sum()))
+    # What is missing goes to the most frequent one; what is too much is taken from those that have more than their least.
+    over = int(out.sum()) - TOTAL
+    while over > 0:
+        cut = np.minimum(out - 1, -(-out * over // out.sum()))
+        cut = np.minimum(cut, np.maximum(0, over - (np.cumsum(cut) - cut)))
+        out -= cut
+        over -= int(cut.sum())
+    if len(out):
+        out[out.argmax()] -= over
+    return names, out
+
+
 class _Model:
+    """Orders 1 and 2 of every lane. An entry holds an id and, in its two lowest bits, its standing."""
+
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.row = self.lane * (PARTS + 1)
-        self.base = [self.lane * size for size in (ORDER1, ORDER2)]
-        self.stand = self.lane * (STANDINGS + 1)
-        self.ids = [np.zeros(lanes * size, np.uint16) for size in (ORDER1, ORDER2)]
-        self.standing = [np.zeros(lanes * size, np.uint8) for size in (ORDER1, ORDER2)]
-        # A standing of 0 is an empty place; its trust stays 0.
-        self.trust = [np.full(lanes * (STANDINGS + 1), 1 << 14, np.int64) for _ in range(2)]
-        for trust in self.trust:
-            trust[self.stand] = 0
-        self.counts = np.ones(lanes * PARTS, np.int64)
-        self.count_row = self.lane * PARTS
-        self.last = np.zeros(lanes, np.int64)
-        self.mixed = np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self) -> None:
-        """Sets the predicted ids and the shares of orders 2 and 1 and of the rest, of 2**32."""
-        if self.step % REFRESH == 0:
-            bounds = np.zeros((len(self.lane), PARTS + 1), np.int64)
-            np.cumsum(self.counts.reshape(-1, PARTS), axis=1, out=bounds[:, 1:])
-            self.flat = ((bounds << 16) // bounds[:, -1:]).ravel().astype(_U)
-        now = self.last * 40503
-        self.slot = ((now >> 5 & (ORDER1 - 1)) + self.base[0], (now + self.mixed >> 5 & (ORDER2 - 1)) + self.base[1])
-        self.mixed = self.last * 60493
-        self.said = [_take(ids, s) for ids, s in zip(self.ids, self.slot)]
-        self.now = [_take(st, s) for st, s in zip(self.standing, self.slot)]
-        self.at = [self.stand + n for n in self.now]
-        self.trusted = [_take(t, at) for t, at in zip(self.trust, self.at)]
-        p1, p2 = self.trusted
-        p1 = np.where((self.said[0] == self.said[1]) & (p2 > 0), 0, p1)
-        self.share2 = p2.astype(_U) << _16
-        rest = _U(1 << 32) - self.share2
-        self.share1 = rest * p1.astype(_U) >> _16
-        self.rest = rest - self.share1
-        self.both = self.share2 + self.share1
-
-    def learn(self, ids: np.ndarray) -> None:
-        for k in range(2):
-            right, now, trust = self.said[k] == ids, self.now[k], self.trusted[k]
-            held = now > 0
-            change = (np.where(right, 48_000, 600) - trust) >> 4
-            self.trust[k][self.at[k]] = trust + change * held
-            self.standing[k][self.slot[k]] = np.where(right & held, np.minimum(now + 1, STANDINGS), 1)
-            self.ids[k][self.slot[k]] = ids
-        self.counts[self.count_row + (ids >> PART_BITS)] += 1
-        self.last = ids
-        self.step += 1
-
-    def _part(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.row + part
-        low = self.rest * _take(self.flat, at) >> _16
-        return low, (self.rest * _take(self.flat, at + 1) >> _16) - low
-
-    def _span(self, ids, hit2, hit1, low, wide):
-        inner = (ids & ((1 << PART_BITS) - 1)).astype(_U)
-        a = wide * inner
-        b = a + wide >> _U(PART_BITS)
-        a = a >> _U(PART_BITS)
-        begin = np.where(hit2, _U(0), np.where(hit1, self.share2, self.both + low + a))
-        return begin, np.where(hit2, self.share2, np.where(hit1, self.share1, b - a))
-
-    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the ids' shares."""
-        hit2 = (self.share2 > 0) & (self.said[1] == ids)
-        hit1 = ~hit2 & (self.share1 > 0) & (self.said[0] == ids)
-        return self._span(ids, hit2, hit1, *self._part(ids >> PART_BITS))
-
-    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids whose shares hold the target, and begin and size of these."""
-        hit2 = target < self.share2
-        hit = target < self.both
-        left = np.where(hit, _U(0), target - self.both) + _U(1)
-        # The last part that begins at or before the target: bounds up to this quotient do.
-        most = ((left << _16) - _U(1)) // self.rest
-        part = self.row.copy()
-        step = PARTS >> 1
-        while step:
-            part += (_take(self.flat, part + step) <= most) * step
-            step >>= 1
-        part -= self.row
-        low, wide = self._part(part)
-        inner = np.minimum((((left - low) << _U(PART_BITS)) - _U(1)) // wide, _U((1 << PART_BITS) - 1)).astype(np.int64)
-        ids = np.where(hit2, self.said[1], np.where(hit, self.said[0], (part << PART_BITS) + inner))
-        return ids, *self._span(ids, hit2, hit & ~hit2, low, wide)
-
-
-def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which lanes have a code word ready; where the range is too small across a boundary, it is cut at the boundary."""
-    ready = (low ^ (low + size)) < _TOP
-    small = ~ready & (size < _BOTTOM)
-    if small.any():
-        size[small] = (_U(0) - low[small]) & (_BOTTOM - _U(1))
-        ready |= small
-    return np.flatnonzero(ready)
+        lane = np.arange(lanes)
+        self.base1, self.base2, self.row = lane * ORDER1, lane * ORDER2, lane * STATES
+        self.held1, self.held2 = np.zeros(lanes * ORDER1, np.int32), np.zeros(lanes * ORDER2, np.int32)
+        self.trust = np.full(lanes * STATES, 1 << 22, np.int32)
+
+    def slots(self, last: np.ndarray, older: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the contexts of orders 1 and 2 are kept."""
+        mixed = last * 40503
+        return (mixed >> 5 & (ORDER1 - 1)) + self.base1, (mixed + older * 60493 >> 5 & (ORDER2 - 1)) + self.base2
+
+    def predict(self, slot1: np.ndarray, slot2: np.ndarray) -> None:
+        """Sets the predicted ids, their shares of 2**24, and what is left."""
+        self.slot1, self.slot2 = slot1, slot2
+        self.one, self.two = one, two = _take(self.held1, slot1), _take(self.held2, slot2)
+        self.said = np.where(two > 0, two, one) >> 2
+        self.now1, self.now2 = one & 3, two & 3
+        state = (((one ^ two) < 4).view(np.int8) << 4) + (self.now2 << 2) + self.now1
+        self.at = self.row + state
+        self.share = _take(self.trust, self.at)
+        self.rest = (1 << 24) - self.share.astype(np.int64)
+
+    def learn(self, entries: np.ndarray, hit: np.ndarray) -> None:
+        """entries: the ids, shifted by two bits, with a standing of 1."""
+        self.trust[self.at] = self.share + ((hit * np.int32(STRONG - WEAK) + (np.int32(WEAK) - self.share)) >> RATE)
+        # An entry for the same id differs in its lowest bits alone.
+        self.held1[self.slot1] = entries + ((entries ^ self.one) < 4) * np.minimum(self.now1, 2)
+        self.held2[self.slot2] = entries + ((entries ^ self.two) < 4) * np.minimum(self.now2, 2)
+
+    def span(self, hit: np.ndarray, below: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the ids' shares; below and above bound their frequencies."""
+        low = self.rest * below >> TOTAL_BITS
+        wide = (self.rest * above >> TOTAL_BITS) - low
+        missed = hit.astype(np.int64) - 1  # a mask: choosing by bits costs a third of choosing by condition
+        return ((self.share + low) & missed).view(_U), (self.share ^ ((self.share ^ wide) & missed)).view(_U)
+
+
+def _settled(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lanes whose next code word is due, their lows and sizes; a range across a word's boundary is cut there."""
+    ready = np.flatnonzero(size < _WORD)
+    some, wide = low[ready], size[ready]
+    across = (some ^ (some + wide)) >= _WORD
+    if across.any():
+        wide[across] = (_U(0) - some[across]) & (_WORD - _U(1))
+    return ready, some, wide << _32
 
 
 def _lengths(n: int) -> np.ndarray:
-    """Blocks of BLOCK ids, the last one of the rest; longest first, so that those still running come first."""
+    """Blocks of BLOCK ids, the last one of the rest."""
     return np.array([BLOCK] * (n // BLOCK) + [n % BLOCK] * (n % BLOCK > 0), np.int64)
 
 
@@ -144,87 +119,115 @@ def encode(ids: np.ndarray) -> bytes:
         raise ValueError("too many ids for a frame, or an id out of range")
     lengths = _lengths(len(ids))
     lanes = len(lengths)
+    names, share = frequencies(ids)
+    bounds = np.zeros(MOST_ID + 2, np.int64)
+    bounds[names + 1] = share
+    np.cumsum(bounds, out=bounds)
     table = np.zeros((lanes, BLOCK), np.uint16)
     table.ravel()[: len(ids)] = ids
     columns = np.ascontiguousarray(table.T)
     del table
     model = _Model(lanes)
     low, size = np.zeros(lanes, _U), np.full(lanes, _U(2**64 - 1))
-    out = np.zeros((lanes, 3 * BLOCK + 8), np.uint16)
-    used = np.zeros(lanes, np.int64)
-    for step in range(BLOCK if lanes else 0):
-        if step == lengths[-1] and lanes > 1:  # the last block is over; its lane goes on with zeros that nobody reads
-            tail = (out[-1].copy(), int(used[-1]), low[-1])
-        if lanes == 1 and step == lengths[0]:
-            break
-        model.predict()
-        now = columns[step].astype(np.int64)
-        begin, wide = model.span(now)
-        unit = size >> _32
-        low = low + unit * begin
-        size = unit * wide
-        at = _settled(low, size)
-        while len(at):
-            out[at, used[at]] = low[at] >> _48
-            used[at] += 1
-            low[at] <<= _16
-            size[at] <<= _16
-            some_low, some_size = low[at], size[at]
-            again = _settled(some_low, some_size)
-            size[at] = some_size
-            at = at[again]
-        model.learn(now)
-    if lanes > 1 and lengths[-1] < BLOCK:
-        out[-1], used[-1], low[-1] = tail
-    for _ in range(4):
-        out[np.arange(lanes), used] = low >> _48
-        used += 1
-        low <<= _16
+    width = BLOCK + 2
+    out = np.zeros(lanes * width, np.uint32)
+    begin_at = np.arange(lanes) * width
+    at = begin_at.copy()
+    older, last = np.zeros((1, lanes), np.uint16), np.zeros((1, lanes), np.uint16)
+    for step in range(int(lengths[0]) if lanes else 0):
+        here = step % STEPS
+        if not here:  # what doesn't depend on the model, for many steps at once
+            some = columns[step : step + STEPS]
+            known = np.concatenate([older, last, some]).astype(np.int64)
+            older, last = some[-2:-1], some[-1:]
+            slots1, slots2 = model.slots(known[1:-1], known[:-2])
+            below, above = _take(bounds, known[2:]), _take(bounds, known[2:] + 1)
+            entries = (known[2:] << 2).astype(np.int32) + np.int32(1)
+        if step == lengths[-1]:  # the last block is over; its lane goes on with zeros that nobody reads
+            tail = (out[begin_at[-1] : at[-1]].copy(), low[-1])
+        now = entries[here]
+        model.predict(slots1[here], slots2[here])
+        hit = now >> 2 == model.said
+        begin, wide = model.span(hit, below[here], above[here])
+        unit = size >> _24
+        low += unit * begin
+        size = unit * np.maximum(wide, _U(1)) if step >= lengths[-1] else unit * wide
+        ready, some_low, some_size = _settled(low, size)
+        out[at[ready]] = some_low >> _32
+        at[ready] += 1
+        low[ready] = some_low << _32
+        size[ready] = some_size
+        model.learn(now, hit)
+    used = at - begin_at
+    parts = [out[b : b + n] for b, n in zip(begin_at, used)]
+    if lanes and lengths[-1] < lengths[0]:
+        parts[-1], low[-1] = tail
+    # A last word that lies in the range, whatever follows it.
+    ends = ((low + (_WORD - _U(1))) >> _32).astype(np.uint32)
+    parts = [np.append(p, e).astype("<u4") for p, e in zip(parts, ends)]
+    packed = zlib.compress(np.concatenate([[len(names)], np.diff(names, prepend=0), share]).astype("<u4").tobytes(), 6)
     wide = ids.astype("<u4")
-    head = np.zeros(lanes, [("ids", "<u2"), ("words", "<u2"), ("crc", "<u4")])
-    head["ids"], head["words"] = lengths, used
+    head = np.zeros(lanes, _HEAD)
+    head["ids"], head["words"] = lengths, [len(p) for p in parts]
     head["crc"] = [zlib.crc32(wide[i * BLOCK : i * BLOCK + n].tobytes()) for i, n in enumerate(lengths)]
-    code = b"".join(out[i, :n].astype("<u2").tobytes() for i, n in enumerate(used))
-    return MAGIC + len(ids).to_bytes(8, "little") + lanes.to_bytes(4, "little") + head.tobytes() + code
+    numbers = [len(ids).to_bytes(8, "little"), *(x.to_bytes(4, "little") for x in (lanes, len(packed), zlib.crc32(packed)))]
+    return b"".join([MAGIC, *numbers, packed, head.tobytes(), *(p.tobytes() for p in parts)])
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame, checked block by block."""
     if frame[:4] != MAGIC:
         raise ValueError("not a frame of token ids")
-    total, lanes = int.from_bytes(frame[4:12], "little"), int.from_bytes(frame[12:16], "little")
-    head = np.frombuffer(frame, [("ids", "<u2"), ("words", "<u2"), ("crc", "<u4")], lanes, 16)
+    total = int.from_bytes(frame[4:12], "little")
+    lanes, size_of_table, crc_of_table = (int.from_bytes(frame[i : i + 4], "little") for i in (12, 16, 20))
+    packed = frame[24 : 24 + size_of_table]
+    if zlib.crc32(packed) != crc_of_table:
+        raise ValueError("the frequencies of a frame are damaged")
+    numbers = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.int64)
+    names, share = np.cumsum(numbers[1 : 1 + numbers[0]]), numbers[1 + numbers[0] :]
+    symbol = np.repeat(names, share)  # of each of TOTAL parts
+    bounds = np.zeros(MOST_ID + 2, np.int64)
+    bounds[names + 1] = share
+    np.cumsum(bounds, out=bounds)
+    head = np.frombuffer(frame, _HEAD, lanes, 24 + size_of_table)
     lengths, words = head["ids"].astype(np.int64), head["words"].astype(np.int64)
-    code = np.frombuffer(frame, "<u2", int(words.sum()), 16 + head.nbytes).astype(_U)
-    code = np.r_[code, np.zeros(4, _U)]
+    if lengths.sum() != total or 24 + size_of_table + head.nbytes + 4 * words.sum() != len(frame):
+        raise ValueError("a frame is cut short")
+    code = np.frombuffer(frame, "<u4", int(words.sum()), 24 + size_of_table + head.nbytes).astype(_U)
+    code = np.r_[code, np.zeros(1, _U)]
     start = np.cumsum(words) - words
     end = start + words
-    at = start.copy()
-    value = np.zeros(lanes, _U)
-    for _ in range(4):
-        value = value << _16 | code[at]
-        at += 1
+
+    def following(at, end):
+        return np.where(at < end, _take(code, at), _U(0))  # zeros behind the last word
+
+    value = following(start, end) << _32 | following(start + 1, end)
+    at = start + 2
     model = _Model(lanes)
     low, size = np.zeros(lanes, _U), np.full(lanes, _U(2**64 - 1))
     out = np.zeros((BLOCK, lanes), np.uint16)
+    older = last = np.zeros(lanes, np.int64)
     for step in range(int(lengths.max()) if lanes else 0):
-        model.predict()
-        unit = size >> _32
-        now, begin, wide = model.find(np.minimum((value - low) // unit, _ALL))
+        model.predict(*model.slots(last, older))
+        unit = size >> _24
+        target = np.minimum((value - low) // unit, _U((1 << 24) - 1)).view(np.int64)
+        hit = target < model.share
+        left = target - model.share + 1
+        # The last part that begins at or before the target: bounds up to this quotient do (if it isn't a hit). Numbers below 2**53
+        # divide exactly.
+        part = (((left << TOTAL_BITS) - 1) / model.rest).astype(np.int64)
+        now = np.where(hit, model.said, _take(symbol, part))
         out[step] = now
-        low = low + unit * begin
-        size = unit * wide
-        ready = _settled(low, size)
-        while len(ready):
-            value[ready] = value[ready] << _16 | np.where(at[ready] < end[ready], code[np.minimum(at[ready], len(code) - 1)], _U(0))
-            at[ready] += 1
-            low[ready] <<= _16
-            size[ready] <<= _16
-            some_low, some_size = low[ready], size[ready]
-            again = _settled(some_low, some_size)
-            size[ready] = some_size
-            ready = ready[again]
-        model.learn(now)
+        begin, wide = model.span(hit, _take(bounds, now), _take(bounds, now + 1))
+        low += unit * begin
+        size = unit * np.maximum(wide, _U(1)) if step >= lengths[-1] else unit * wide
+        ready, some_low, some_size = _settled(low, size)
+        value[ready] = value[ready] << _32 | following(at[ready], end[ready])
+        at[ready] += 1
+        low[ready] = some_low << _32
+        size[ready] = some_size
+        model.learn((now << 2).astype(np.int32) + np.int32(1), hit)
+        older, last = last, now
     ids = np.ascontiguousarray(out.T).ravel()[:total]
     wide = ids.astype("<u4")
     for i, (n, crc) in enumerate(zip(lengths, head["crc"])):

@@ -5,7 +5,8 @@ frames of whole documents (one that is longer than FRAME_IDS has a frame alone,
 container has the coded ids, the documents' ids and their lengths in the frame. Where a document begins in the whole
 sequence follows from the frames' sizes alone.
 
-The library is called on distinct words: white space never enters a token and always ends a word, and a word's ids don't
+The library is called on whole texts, or, for a file whose normaliser and splits are those of `_splits_at_spaces`, on distinct
+words: there white space never enters a token and always ends a word, and a word's ids don't
 depend on its neighbours. A word of Latin letters with marks behind goes to the library's merges as what its normaliser and
 pre-tokeniser would make of it: letters in lower case, and marks, each in the byte alphabet. Any other word goes to the whole
 tokeniser, and a text with characters on which Python and the library could differ goes there whole.
@@ -32,11 +33,12 @@ END_ID = 1
 RANGE_BYTES = 8 << 20
 FRAME_IDS = rangecoder.LANES * rangecoder.BLOCK
 MOST_FRAMES = 500_000
-MOST_WORDS, MOST_PARTS = 200_000, 600_000
+MOST_WORDS, MOST_PARTS = 600_000, 600_000
 FRAME = "frame long, first long, n_ids long, doc_ids binary, nulls binary, lengths binary, crc long, payload array<binary>"
 # Python's split() ends words at these, the library's white space doesn't include them.
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
-_CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*#%$&()\\[\\]{}\"/-]*)")
+_MARKS = ".,;:!?|*#%$&()[]{}\"/-"
+_CORE = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(_MARKS)}]*)")
 
 
 @lru_cache(1)
@@ -59,15 +61,40 @@ def _byte_alphabet() -> dict[int, int]:
 _ALPHABET = _byte_alphabet()
 
 
+#: The normaliser and the splits of tokeniser files whose texts may be encoded word by word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# End of fixed values.
+
+
+def _splits_at_spaces(path: str) -> bool:
+    """If words of the tokeniser in this file can be encoded one by one, and letters with marks by its merges alone; texts go whole
+    to a tokeniser of any other kind."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    return held.get("normalizer") == _NORMALIZER and held.get("pre_tokenizer") == _SPLITS and held.get("model", {}).get("type") == "BPE" and all(t.get("special") for t in held.get("added_tokens", []))
+
+
 class Encoder:
     """ids of texts as little-endian 16-bit integers; remembers a bounded number of words and of their parts."""
 
     def __init__(self, path: str) -> None:
         self.path = path
+        self.plain = _splits_at_spaces(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
+        if _tokenizer(self.path).get_vocab_size() > rangecoder.MOST_ID + 1:
+            raise ValueError("ids of this tokeniser don't fit into 16 bits")
         return [np.array(e.ids, "<u2").tobytes() for e in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, missing: list[str]) -> None:
@@ -77,11 +104,14 @@ class Encoder:
         merges = _tokenizer(self.path).model.tokenize
         match = _CORE.fullmatch
         for word in missing:
-            if not (m := match(word)):
+            core = word.rstrip(_MARKS)
+            if core.isascii() and core.isalpha():  # as the pattern has it, at less cost
+                core, marks = core.lower(), word[len(core) :]
+            elif m := match(word):
+                core, marks = m[1].lower(), m[2]
+            else:
                 whole.append(word)
                 continue
-            core, marks = m.groups()
-            core = core.lower()
             ids = parts.get(core)
             if ids is None:
                 plain = core if core.isascii() else core.encode().decode("latin-1").translate(_ALPHABET)
@@ -95,14 +125,18 @@ class Encoder:
         words.update(zip(whole, self._raw(whole)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if text and _DOUBTFUL.search(text) else (text or "").split() for text in texts]
-        every = set().union(*(s for s in split if s))
+        if not self.plain:
+            return self._raw([text or "" for text in texts])
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        if missing := every.difference(self.words):
+        get = self.words.get
+        split = [None if text and _DOUBTFUL.search(text) else (text or "").split() for text in texts]
+        found = [None if s is None else list(map(get, s)) for s in split]
+        missing = {w for s, f in zip(split, found) if f and None in f for w, ids in zip(s, f) if ids is None}
+        if missing:
             self._learn(list(missing))
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) if s is not None else self._raw([t])[0] for s, t in zip(split, texts)]
+            get = self.words.__getitem__
+        return [self._raw([t])[0] if s is None else b"".join(map(get, s)) if None in f else b"".join(f) for s, f, t in zip(split, found, texts)]
 
 
 _encoders: dict[str, Encoder] = {}

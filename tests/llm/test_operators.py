@@ -9,9 +9,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallygrove.llm import components, jaccard, linededup, oracles, pieces, pii, rangecoder, repeats, textcols, toxicity
+from tallygrove.llm import components, jaccard, linededup, oracles, pieces, pii, rangecoder, repeats, textcols, tokenids, toxicity
 from tallygrove.llm.queries import QUERIES, id_crc
 from tests.llm import plainly
 
@@ -31,7 +32,7 @@ def test_token_ids(spark, data):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 1023, 1024, 1025, 5000])
+@pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 9000])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 65536, n), np.minimum(rng.zipf(1.4, n), 49407), np.full(n, 65535), np.zeros(n, int)):
@@ -47,6 +48,27 @@ def test_range_coder_learns_and_checks():
             rangecoder.decode(frame[:at] + bytes([frame[at] ^ 85]) + frame[at + 1 :])
 
 
+def test_token_files_are_smaller_than_deflate():
+    """Fewer bytes an id than zlib takes for the raw 16-bit ids of the documents of sf0.01."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    found = tokenids.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts)
+    ids = np.frombuffer(b"".join(found), "<u2")
+    frame = rangecoder.encode(ids)
+    assert len(frame) < 0.9 * len(zlib.compress(ids.tobytes(), 6))
+    assert (rangecoder.decode(frame) == ids).all()
+
+
+def test_token_ids_of_another_tokenizer(spark, data):
+    """A file with other splits isn't encoded word by word."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    some = [t for _, t in texts(spark, data)[:40]] + ["  two  spaces\n\ttab <|endoftext|>", "", None]
+    expected = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+    assert tokenids.Encoder(path).encode(some) == expected
+
+
 def test_pii_base_spans(spark, data):
     tricky = ["a@b@c.de x..y@z.w. 1.2.3.4.5.6.7.8 999.1.1.1 4111 1111-1111 1111 +49 (30) 123-4567). +1 ((((", "1" * 5000 + "@" * 50 + "a@a." * 9, "4" + "1" * 14 + "1" + " 4111111111111111", "+" * 9 + "12345678", "00256.1.2.3 0001.02.003.255"]
     rng = random.Random(2)
