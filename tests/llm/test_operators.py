@@ -53,7 +53,7 @@ def test_token_files_are_smaller_than_deflate():
     import pyarrow.parquet as pq
 
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
-    found = tokenids.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(texts)
+    found = tokenids.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(texts))
     ids = np.frombuffer(b"".join(found), "<u2")
     frame = rangecoder.encode(ids)
     assert len(frame) < 0.9 * len(zlib.compress(ids.tobytes(), 6))
@@ -66,7 +66,19 @@ def test_token_ids_of_another_tokenizer(spark, data):
     library = Tokenizer.from_file(path)
     some = [t for _, t in texts(spark, data)[:40]] + ["  two  spaces\n\ttab <|endoftext|>", "", None]
     expected = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
-    assert tokenids.Encoder(path).encode(some) == expected
+    assert tokenids.Encoder(path).encode(pa.array(some)) == expected
+
+
+def test_token_ids_of_odd_texts():
+    """Word by word and by the library on whole texts: marks, digits, contractions, other alphabets and white space, special tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    parts = ["It's", "we'LL", "'s", "''", "a", "B", "Zoë", "É", "e\u0301", "\u0301", "straße", "ΑΣ", "日本", "123", "4", ".", ",", "--", "<", "|", "<|endoftext|>", "<|ENDOFTEXT|>", "\xa0", "\u2003", "\u0085", "\u200b", "\x1c", "\x00", "\x7f", " ", "  ", "\n", "\t", "\r\n", "İ", "K", "ﬁ", "😀", "_", "`", "~", "foo.bar", "x@y.zz", "²", "½"]
+    some = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)] + ["", None, " ", "tail ", " head"]
+    expected = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+    got = tokenids.Encoder(path).encode(pa.array(some))
+    assert [(t, g) for t, g, e in zip(some, got, expected) if g != e] == []
 
 
 def test_pii_base_spans(spark, data):
