@@ -4,26 +4,32 @@ Every 50-byte string has a trigger: the place in it where the rolling hash of 20
 strings of a document that share a trigger form a phrase of 50 bytes and more; a phrase depends on its bytes alone, so equal
 passages are parsed alike wherever they stand, and phrases overlap just so much that every string lies in one of them.
 
-1. Dictionary. Phrases go, packed, to fragments of their triggers' hash range. Equal phrases fall together with the smallest
-   id that has them: in any later document all their strings go. Repetitive text is done with here.
-2. Strings of the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
-   than one phrase the strings of the dictionary (each phrase once, where it is first) are grouped by hash, with the smallest
-   id of each group.
-3. The starts so found are joined to the documents by id and digest of the text, and covered bytes are removed.
-
-The groups replace the suffix arrays of the dictionary and of the parse: results ask which strings of 50 bytes are equal and
-never for their order. Bytes aren't compared. Hashes of 64 bits
-stand for triggers and strings, 48 more for phrases of one trigger. What is broadcast is a Bloom filter of the phrases to be
-ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
+1. Dictionary. Phrases go, packed, to fragments by a hash of their triggers. Equal phrases fall together with the smallest
+   id that has them: in any later document all their strings go. What a task itself sees to be later than another document of
+   its own goes no further, so a passage that many documents share is a row or a few for each task. Repetitive text is done
+   with here.
+2. Suffix array of the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
+   than one phrase the phrases' bytes (each phrase once, where it is first) go to fragments, and each fragment orders the
+   suffixes that begin its strings to a depth of 50 bytes by doubling: ranks of 8 bytes, of 16, of 32, of 50. Neighbours of
+   one rank are equal strings, byte by byte; the smallest id of each rank stands for it.
+3. Combination. The parse tells where each phrase stands; the ranks' smallest ids go from the phrases to the documents, by id
+   and digest of the text, and covered bytes are removed.
+
+No suffix array of the parse is built: it would order phrases by what follows them, which matters only to strings that run
+over several phrases, and these phrases overlap so that none of 50 bytes does. Phrases are told apart by 112 bits of
+rolling hashes, as the parsing does with its fingerprints; strings by their bytes. What is broadcast is a Bloom filter of the
+phrases to be ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
 
 Defined results: a null text is empty; a text of under 50 bytes has no string and stays whole; a row with a null id stays
 whole and counts for nothing; rows with one id count as one document, so none makes the other's bytes go, and each keeps its
-own places if their texts differ (told apart by 64-bit digests); other columns are
-left behind; an empty table gives an empty table.
+own places if their texts differ (told apart by 64-bit digests); a very long text is parsed in segments that overlap by 49
+bytes; other columns are left behind; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -36,15 +42,34 @@ from .shared import batch_rows, columns, schema, trim, written
 
 LENGTH, TRIGGER = 50, 20
 BLOOM = 1 << 27
-FRAGMENT_BYTES = 4 << 20
+#: Bytes of text whose phrases make a fragment of the dictionary, and of phrases that make one of the suffix array.
+FRAGMENT_BYTES, ORDERED_BYTES = 4 << 20, 1 << 20
 LEAST_FRAGMENTS = 32
-#: A piece's arrays take about a hundred times its bytes.
-PIECE_BYTES = 1 << 19
-_PLACE_BITS = 28
+#: A segment's arrays take about a hundred times its bytes.
+SEGMENT_BYTES = 1 << 19
+SEEN_BITS = 17
+_PLACE_BITS = 24
 _U = np.uint64
 _48 = _U((1 << 48) - 1)
 
 
+def _segments(batch: pa.RecordBatch, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Bytes, where each text begins in them (one entry more), rows of the texts, and the place of the first byte in its text: many
+    short texts at once, or a part of a long one with the length - 1 bytes that follow it."""
+    data, at = X.utf8(batch.column(1))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        own = data[at[begin] : at[end]]
+        if len(own) <= most + length - 1:
+            yield own, at[begin : end + 1] - at[begin], np.arange(begin, end), 0
+        else:
+            for place in range(0, len(own) - length + 1, most):
+                part = own[place : place + most + length - 1]
+                yield part, np.array([0, len(part)]), np.array([begin]), place
+        begin = end
+
+
 def _span_lengths(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     prefix = X.prefix_hash(data)
     begins = np.arange(max(0, len(data) - size + 1))
@@ -62,6 +87,7 @@ def _phrases(data: np.ndarray, at: np.ndarray, length: int):
     reach = length - TRIGGER + 1
     # Least hash of each window of `reach` places, leftmost first: minima over doubled widths.
     key = (rolled >> _U(_PLACE_BITS) << _U(_PLACE_BITS)) | np.arange(len(rolled), dtype=_U)
+    # A segment has under 2**24 bytes, so places have bits of their own; the hash keeps the other 40.
     width, least = 1, key
     while 2 * width <= reach:
         least = np.minimum(least[:-width], least[width:])
@@ -88,31 +114,32 @@ def _phrases(data: np.ndarray, at: np.ndarray, length: int):
 
 
 def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
-    return ((hashes >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+    """By a hash of the hashes: triggers are least ones, so most of them are small."""
+    return ((X.mix(hashes) >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
 def _small(numbers: np.ndarray) -> bytes:
     """Numbers that differ little from one to the next, packed."""
-    return zstandard.compress(np.diff(numbers, prepend=0).astype("<i4").tobytes(), 1)
+    return zstandard.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes(), 1)
 
 
 def _numbers(column) -> np.ndarray:
-    return np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(v.as_py()), "<i4"), dtype=np.int64) for v in column])
+    return np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(v.as_py()), "<i8")) for v in column])
+
+
+KIND = "fragment int, hashes binary, low binary, high binary, places binary, docs binary, digests binary, begins binary, strings binary, bytes binary"
+
 
+def _row(fragment: int, owner: np.ndarray, ids: np.ndarray, digests: np.ndarray, begin: np.ndarray, strings: np.ndarray, trigger=None, phrase=None, text: bytes | None = None) -> tuple:
+    """Phrases, packed: hashes, documents' places in a list with ids and digests, places of the first strings, numbers of strings."""
+    docs, place = np.unique(owner, return_inverse=True)
+    hashes = (None,) * 3 if trigger is None else (trigger.tobytes(), phrase.astype(np.uint32).tobytes(), (phrase >> _U(32)).astype(np.uint16).tobytes())
+    return (fragment, *hashes, _small(place), ids[docs].tobytes(), digests[docs].tobytes(), _small(begin), _small(strings), text)
 
-def _packed(fragments: int, hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, digests: np.ndarray, raw: list[np.ndarray], small: list[np.ndarray]):
-    """Arrow columns of one row for each fragment: hashes, documents' places in a list, the list's ids and digests, and the other
-    arrays."""
-    where = _fragment(hashes, fragments)
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(fragments + 1))
-    rows = []
-    for f in np.flatnonzero(np.diff(cuts)):
-        i = order[cuts[f] : cuts[f + 1]]
-        docs, place = np.unique(owner[i], return_inverse=True)
-        rows.append((int(f), hashes[i].tobytes(), _small(place), ids[docs].tobytes(), digests[docs].tobytes(), *(r[i].tobytes() for r in raw), *(_small(x[i]) for x in small)))
-    kinds = [pa.int32(), *[pa.binary()] * (4 + len(raw) + len(small))]
-    return [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 9]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [c.split()[0] for c in KIND.split(", ")])
 
 
 def _unpacked(table: pa.Table, name: str) -> np.ndarray:
@@ -142,124 +169,195 @@ def _least(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, least[out] if len(ids) else ids
 
 
-def _valid(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = piece.column(0)
-    return ids.fill_null(0).to_numpy(), piece.column(2).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-
-
-def repeated(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+class _Seen:
+    """Phrases of a task with the smallest id met, in a table of fixed size in which later ones take the places of earlier ones."""
+
+    def __init__(self) -> None:
+        self.keys, self.ids = np.zeros(1 << SEEN_BITS, _U), np.zeros(1 << SEEN_BITS, np.int64)
+
+    def later(self, trigger: np.ndarray, phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which phrases also stand in a document of a smaller id that the task has met."""
+        key = X.mix(trigger + X.mix((phrase & _48) + _U(1)))
+        _, least = _least([key], ids)
+        slot = (key >> _U(64 - SEEN_BITS)).astype(np.int64)
+        known = self.keys[slot] == key
+        out = (ids > least) | (known & (ids > self.ids[slot]))
+        put = ~out
+        self.keys[slot[put]], self.ids[slot[put]] = key[put], ids[put]
+        return out
+
+
+def _runs(owner: np.ndarray, begin: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of a document that follow one another as one run."""
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (begin[1:] != begin[:-1] + strings[:-1])
+    at = np.flatnonzero(new)
+    return owner[at], begin[at], np.add.reduceat(strings, at) if len(at) else strings
+
+
+def _ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each string of this length that begins at starts, by doubling: the order of the suffixes to that depth."""
+    size = 1
+    while 2 * size <= min(8, length):
+        size *= 2
+    word = np.zeros(len(data) - size + 1, _U)
+    for i in range(size):
+        word = word << _U(8) | data[i : len(data) - size + 1 + i]
+    while True:
+        # Ranks at all places where a string of the present size begins that is part of one of the strings.
+        inside = np.zeros(len(word) + 1, np.int32)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + length - size + 1, -1)
+        places = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        rank = np.zeros(len(word), _U)
+        rank[places] = np.unique(word[places], return_inverse=True)[1]
+        if size == length:
+            return rank[starts].astype(np.int64)
+        step = min(size, length - size)
+        word = rank[: len(rank) - step] << _U(32) | rank[step:]
+        size += step
+
+
+def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: int = SEGMENT_BYTES) -> DataFrame:
     """id, digest of the text, place of a first byte and number of consecutive strings from there that also start in a document
     with a smaller id. df has the id, the text and its digest."""
     spark = df.sparkSession
-    size = 2 * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, min(1 << 20, -(-size // FRAGMENT_BYTES)))
-    kind = schema("fragment int, hashes binary, places binary, docs binary, digests binary, low binary, high binary, begins binary, strings binary")
+    kind = schema(KIND)
 
-    def parse(batches):
+    def phrases(batches):
+        """For each segment: ids and digests of the batch, the phrases of rows with an id, and the segment's bytes with their texts' begins."""
         for batch in batches:
+            ids = batch.column(0)
+            valid, ids, digests = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), batch.column(2).to_numpy()
+            for data, at, rows, place in _segments(batch, length, segment):
+                trigger, phrase, owner, begin, strings, _ = _phrases(data, at, length)
+                keep = valid[rows[owner]]
+                yield ids, digests, (trigger[keep], phrase[keep], rows[owner[keep]], begin[keep] + place, strings[keep]), data, at[owner[keep]] + begin[keep]
             trim()
-            for piece in X.pieces(batch, text_col, PIECE_BYTES):
-                ids, digests, valid = _valid(piece)
-                trigger, phrase, owner, begin, strings, _ = _phrases(*X.utf8(piece.column(1)), length)
-                keep = valid[owner]
-                trigger, phrase, owner, begin, strings = (x[keep] for x in (trigger, phrase, owner, begin, strings))
-                if len(trigger):
-                    yield pa.RecordBatch.from_arrays(_packed(fragments, trigger, owner, ids, digests, [phrase.astype(np.uint32), (phrase >> _U(32)).astype(np.uint16)], [begin, strings]), kind.names)
 
-    found_kind = schema("kind int, id long, digest long, place long, n int")
+    def parse(batches):
+        seen = _Seen()
+        for ids, digests, (trigger, phrase, owner, begin, strings), _, _ in phrases(batches):
+            if not len(trigger):
+                continue
+            later = seen.later(trigger, phrase, ids[owner])
+            rows = []
+            if later.any():  # any fragment will do: these are only passed on
+                own, first, many = _runs(owner[later], begin[later], strings[later])
+                rows.append((_row(int(ids[own[0]]) % fragments, own, ids, digests, first, many)))
+            trigger, phrase, owner, begin, strings = (x[~later] for x in (trigger, phrase, owner, begin, strings))
+            where = _fragment(trigger, fragments)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(fragments + 1))
+            for f in np.flatnonzero(np.diff(cuts)):
+                i = order[cuts[f] : cuts[f + 1]]
+                rows.append(_row(int(f), owner[i], ids, digests, begin[i], strings[i], trigger[i], phrase[i]))
+            yield _packed(rows)
+
+    found_kind = schema("kind int, id long, digest long, place long, n long")
+
+    def found_rows(kinds, ids, digests, place, n) -> pa.Table:
+        return pa.table(dict(zip(found_kind.names, (np.asarray(kinds, np.int32), ids, digests, place, n))))
 
     def dictionary(table: pa.Table) -> pa.Table:
         trim()
-        trigger, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
-        phrase = _read(table, "low", np.uint32).astype(_U) | _read(table, "high", np.uint16).astype(_U) << _U(32)
-        begin, strings = _numbers(table.column("begins")), _numbers(table.column("strings"))
-        group, least = _least([trigger, phrase], ids)
-        later = least < ids
-        # A trigger is mixed if it has several phrases, in more than one document.
-        first = np.zeros(len(ids), bool)
-        first[np.unique(group, return_index=True)[1]] = True
-        triggers, run = np.unique(trigger, return_inverse=True)
-        phrases = np.bincount(run[first], minlength=len(triggers))
-        low, high = np.full(len(triggers), np.iinfo(np.int64).max), np.full(len(triggers), np.iinfo(np.int64).min)
-        np.minimum.at(low, run, ids)
-        np.maximum.at(high, run, ids)
-        mixed = first & ((phrases > 1) & (low < high))[run]
-        mixed = np.unique(_key(trigger[mixed], phrase[mixed], least[mixed]))
-        columns = (
-            np.r_[np.zeros(later.sum(), np.int32), np.ones(len(mixed), np.int32)].astype(np.int32),
-            np.r_[ids[later], np.zeros(len(mixed), np.int64)],
-            np.r_[_unpacked(table, "digests")[later], np.zeros(len(mixed), np.int64)],
-            np.r_[begin[later], mixed.view(np.int64)],
-            np.r_[strings[later].astype(np.int32), np.zeros(len(mixed), np.int32)].astype(np.int32),
-        )
-        return pa.table(dict(zip(found_kind.names, columns)))
+        known = table.filter(table.column("hashes").is_null())
+        table = table.filter(table.column("hashes").is_valid())
+        out = []
+        if known.num_rows:
+            place = _numbers(known.column("begins"))
+            out.append(found_rows(np.zeros(len(place)), _unpacked(known, "docs"), _unpacked(known, "digests"), place, _numbers(known.column("strings"))))
+        if table.num_rows:
+            trigger, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
+            phrase = _read(table, "low", np.uint32).astype(_U) | _read(table, "high", np.uint16).astype(_U) << _U(32)
+            group, least = _least([trigger, phrase], ids)
+            later = least < ids
+            out.append(found_rows(np.zeros(later.sum()), ids[later], _unpacked(table, "digests")[later], _numbers(table.column("begins"))[later], _numbers(table.column("strings"))[later]))
+            # A trigger is mixed if it has several phrases that are not all first in one document.
+            first = np.unique(group, return_index=True)[1]
+            trigger, phrase, least = trigger[first], phrase[first], least[first]
+            run, low = _least([trigger], least)
+            high = np.full(int(run.max()) + 1, np.iinfo(np.int64).min)
+            np.maximum.at(high, run, least)
+            mixed = low < high[run]
+            mixed = np.unique(_key(trigger[mixed], phrase[mixed], least[mixed])).view(np.int64)
+            none = np.zeros(len(mixed), np.int64)
+            out.append(found_rows(np.ones(len(mixed)), none, none, mixed, none))
+        return pa.concat_tables(out)
 
     found = written(df.mapInArrow(parse, kind).groupBy("fragment").applyInArrow(dictionary, found_kind), "phrases")
     whole = found.where("kind = 0").select("id", "digest", "place", "n")
     mixed = found.where("kind = 1").select("place")
     bitmap, bits = bloom(mixed, BLOOM)
     shared = spark.sparkContext.broadcast(bitmap)
-    string_kind = schema("fragment int, hashes binary, places binary, docs binary, digests binary, begins binary")
-
-    def strings_of(batches):
-        for batch in batches:
-            trim()
-            for piece in X.pieces(batch, text_col, PIECE_BYTES):
-                ids, digests, valid = _valid(piece)
-                data, at = X.utf8(piece.column(1))
-                trigger, phrase, owner, begin, strings, prefix = _phrases(data, at, length)
-                keep = valid[owner]
-                keep[keep] = in_bloom(shared.value, bits, _key(trigger[keep], phrase[keep], ids[owner[keep]]))
-                owner, begin, strings = owner[keep], begin[keep], strings[keep]
-                if not len(owner):
-                    continue
-                total = np.cumsum(strings)
-                place = np.repeat(begin - (total - strings), strings) + np.arange(total[-1])
-                owner = np.repeat(owner, strings)
-                hashes = X.span_hash(prefix, at[owner] + place, at[owner] + place + length)
-                yield pa.RecordBatch.from_arrays(_packed(fragments, hashes, owner, ids, digests, [], [place]), string_kind.names)
+    ordered = max(LEAST_FRAGMENTS, min(1 << 20, -(-mixed.count() * (length + 16) // ORDERED_BYTES)))
+
+    def dictionary_bytes(batches):
+        for ids, digests, (trigger, phrase, owner, begin, strings), data, at in phrases(batches):
+            keep = in_bloom(shared.value, bits, _key(trigger, phrase, ids[owner]))
+            where = _fragment(trigger[keep], ordered)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(ordered + 1))
+            owner, begin, strings, at = (x[keep][order] for x in (owner, begin, strings, at))
+            rows = []
+            for f in np.flatnonzero(np.diff(cuts)):
+                i = slice(cuts[f], cuts[f + 1])
+                text = b"".join([data[a : a + n].tobytes() for a, n in zip(at[i], strings[i] + length - 1)])
+                rows.append(_row(int(f), owner[i], ids, digests, begin[i], strings[i], text=zstandard.compress(text, 1)))
+            if rows:
+                yield _packed(rows)
 
     def order(table: pa.Table) -> pa.Table:
         trim()
-        hashes, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
-        place = _numbers(table.column("begins"))
-        _, least = _least([hashes], ids)
-        later = least < ids
-        ids, digests, place = ids[later], _unpacked(table, "digests")[later], place[later]
-        return pa.table({"id": ids, "digest": digests, "place": place, "n": np.ones(len(ids), np.int32)})
-
-    parts = df.mapInArrow(strings_of, string_kind).groupBy("fragment").applyInArrow(order, schema("id long, digest long, place long, n int"))
+        ids, digests = _unpacked(table, "docs"), _unpacked(table, "digests")
+        begin, strings = _numbers(table.column("begins")), _numbers(table.column("strings"))
+        data = np.frombuffer(b"".join([zstandard.decompress(t.as_py()) for t in table.column("bytes")]), np.uint8)
+        at = np.cumsum(strings + length - 1) - (strings + length - 1)
+        owner = np.repeat(np.arange(len(ids)), strings)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+        ranks = _ranks(data, at[owner] + inner, length)
+        least = np.full(int(ranks.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, ranks, ids[owner])
+        later = least[ranks] < ids[owner]
+        owner, place, n = _runs(owner[later], (begin[owner] + inner)[later], np.ones(later.sum(), np.int64))
+        return pa.table({"id": ids[owner], "digest": digests[owner], "place": place, "n": n})
+
+    parts = df.mapInArrow(dictionary_bytes, kind).groupBy("fragment").applyInArrow(order, schema("id long, digest long, place long, n long"))
     return whole.union(parts)
 
 
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, segment: int = SEGMENT_BYTES) -> DataFrame:
     """A row for each row of df: its id, `n_bytes`, `n_removed`, `n_spans` (maximal removed runs) and `kept`, the bytes left."""
+    if length < TRIGGER:
+        raise ValueError(f"strings of {TRIGGER} bytes and more")
     batch_rows(df.sparkSession, 250)
     picked = columns(df, **{id_col: "long", text_col: "string"}).withColumn("_digest", F.xxhash64(text_col))
-    starts = repeated(picked, id_col, text_col, length).groupBy("id", "digest").agg(F.collect_list(F.col("place") * 4096 + F.col("n")).alias("_starts"))
-    joined = picked.join(starts, (F.col(id_col) == F.col("id")) & (F.col("_digest") == F.col("digest")), "left").select(id_col, text_col, "_starts")
+    starts = repeated(picked, id_col, text_col, length, segment).groupBy("id", "digest").agg(F.collect_list("place").alias("_places"), F.collect_list("n").alias("_many"))
+    joined = picked.join(starts, (F.col(id_col) == F.col("id")) & (F.col("_digest") == F.col("digest")), "left").select(id_col, text_col, "_places", "_many")
     kind = schema(f"{id_col} long, {REMOVED}")
 
     def work(batches):
         for batch in batches:
             rows = []
-            for text, codes in zip(batch.column(1), batch.column(2)):
+            for text, places, many in zip(*batch.columns[1:]):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if not codes.is_valid:
+                if not places.is_valid:
                     rows.append((len(data), 0, 0, data))
                     continue
-                codes = codes.values.to_numpy()
+                places, many = places.values.to_numpy(), many.values.to_numpy()
                 edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, codes >> 12, 1)
-                np.add.at(edge, (codes >> 12) + (codes & 4095) - 1 + length, -1)
+                np.add.at(edge, places, 1)
+                np.add.at(edge, places + many - 1 + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 rows.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds))], kind.names)
+            trim()
 
     return joined.mapInArrow(work, kind)
-

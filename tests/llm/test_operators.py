@@ -197,6 +197,31 @@ def test_repeated_strings_in_few_letters(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == plainly.repeats(named)
 
 
+@pytest.mark.parametrize("segment", [512, 1 << 19])
+def test_repeated_strings_of_one_passage_everywhere(spark, segment):
+    """One passage in every document, exact copies in either order of ids, near copies, and texts longer than a segment."""
+    rng = random.Random(segment)
+    text = lambda n: "".join(rng.choice("etaoin shrdlu") for _ in range(n))
+    passage, copy = text(90), text(900)
+    named = [(i, text(rng.randrange(200)) + passage + text(rng.randrange(90))) for i in range(150)]
+    named += [(i, copy) for i in range(150, 190)]
+    named += [(i, copy[:at] + "Z" + copy[at + 1 :]) for i, at in zip(range(190, 230), rng.sample(range(900), 40))]
+    named += [(230, text(3000) + copy + text(3000)), (231, "x" * 2000)]
+    rows = named[::-1][:100] + named[:-100]
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), segment=segment).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got} == plainly.repeats(named)
+
+
+def test_ranks_are_those_of_sorted_strings():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    starts = np.sort(rng.choice(2950, 700, replace=False))
+    for length in (20, 33, 50):
+        strings = [data[i : i + length].tobytes() for i in starts]
+        names = sorted(set(strings))
+        assert repeats._ranks(data, starts, length).tolist() == [names.index(x) for x in strings]
+
+
 def test_pieces_whole_and_in_chunks(spark, data):
     path = public_tokenizers.path("piece_bpe_32k.model")
     df = spark.createDataFrame([(i, t) for i, t in texts(spark, data)[:60]] + [(1000, "a" * 900 + " " * 70 + "thetion" * 90), (1001, "日本 é\n\t" * 80)], "doc_id long, text string")
