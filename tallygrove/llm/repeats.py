@@ -16,7 +16,7 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
    and digest of the text, and covered bytes are removed.
 
 No suffix array of the parse is built: it would order phrases by what follows them, which matters only to strings that run
-over several phrases, and these phrases overlap so that none of 50 bytes does. Phrases are told apart by 112 bits of
+over several phrases, and these phrases overlap so that none of 50 bytes does. Phrases are told apart by 96 bits of
 rolling hashes, as the parsing does with its fingerprints; strings by their bytes. What is broadcast is a Bloom filter of the
 phrases to be ordered, of at most `BLOOM` bits; what it lets through wrongly is only compared in vain.
 
@@ -38,19 +38,19 @@ from pyspark.sql import functions as F
 
 from . import textcols as X
 from .bloom import bloom, in_bloom
-from .shared import batch_rows, columns, schema, trim, written
+from .shared import batch_rows, columns, freed, holding, schema, trim, written
 
 LENGTH, TRIGGER = 50, 20
 BLOOM = 1 << 27
 #: Bytes of text whose phrases make a fragment of the dictionary, and of phrases that make one of the suffix array.
-FRAGMENT_BYTES, ORDERED_BYTES = 4 << 20, 1 << 20
+FRAGMENT_BYTES, ORDERED_BYTES = 8 << 20, 1 << 20
 LEAST_FRAGMENTS = 32
 #: A segment's arrays take about a hundred times its bytes.
 SEGMENT_BYTES = 1 << 19
 SEEN_BITS = 17
 _PLACE_BITS = 24
 _U = np.uint64
-_48 = _U((1 << 48) - 1)
+_32, _48 = _U((1 << 32) - 1), _U((1 << 48) - 1)
 
 
 def _segments(batch: pa.RecordBatch, length: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -127,33 +127,39 @@ def _numbers(column) -> np.ndarray:
     return np.concatenate([np.cumsum(np.frombuffer(zstandard.decompress(v.as_py()), "<i8")) for v in column])
 
 
-KIND = "fragment int, hashes binary, low binary, high binary, places binary, docs binary, digests binary, begins binary, strings binary, bytes binary"
+KIND = "fragment int, low binary, high binary, places binary, docs binary, digests binary, begins binary, strings binary, bytes binary"
 
 
 def _row(fragment: int, owner: np.ndarray, ids: np.ndarray, digests: np.ndarray, begin: np.ndarray, strings: np.ndarray, trigger=None, phrase=None, text: bytes | None = None) -> tuple:
     """Phrases, packed: hashes, documents' places in a list with ids and digests, places of the first strings, numbers of strings."""
     docs, place = np.unique(owner, return_inverse=True)
-    hashes = (None,) * 3 if trigger is None else (trigger.tobytes(), phrase.astype(np.uint32).tobytes(), (phrase >> _U(32)).astype(np.uint16).tobytes())
-    return (fragment, *hashes, _small(place), ids[docs].tobytes(), digests[docs].tobytes(), _small(begin), _small(strings), text)
+    hashes = (None,) * 2
+    if trigger is not None:  # 48 bits of either
+        hashes = ((trigger & _32).astype(np.uint32).tobytes() + (phrase & _32).astype(np.uint32).tobytes(), ((trigger & _48) >> _U(32)).astype(np.uint16).tobytes() + ((phrase & _48) >> _U(32)).astype(np.uint16).tobytes())
+    return (fragment, *hashes, _small(place), _small(ids[docs]), digests[docs].tobytes(), _small(begin), _small(strings), text)
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 9]
+    kinds = [pa.int32(), *[pa.binary()] * 8]
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [c.split()[0] for c in KIND.split(", ")])
 
 
 def _unpacked(table: pa.Table, name: str) -> np.ndarray:
-    """Ids (docs) or digests of a fragment's rows."""
-    return np.concatenate([np.frombuffer(d.as_py(), np.int64)[_numbers([p])] for p, d in zip(table.column("places"), table.column(name))])
+    """Ids (docs) or digests of a fragment's phrases."""
+    read = (lambda v: _numbers([v])) if name == "docs" else (lambda v: np.frombuffer(v.as_py(), np.int64))
+    return np.concatenate([read(d)[_numbers([p])] for p, d in zip(table.column("places"), table.column(name))])
 
 
-def _read(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v.as_py(), kind) for v in table.column(name)])
+def _hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Triggers and phrases, 48 bits of either."""
+    low, high = ([np.frombuffer(v.as_py(), kind).reshape(2, -1) for v in table.column(name)] for name, kind in (("low", np.uint32), ("high", np.uint16)))
+    both = np.concatenate(low, axis=1).astype(_U) | np.concatenate(high, axis=1).astype(_U) << _U(32)
+    return both[0], both[1]
 
 
 def _key(trigger: np.ndarray, phrase: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Stands for a phrase in a document."""
-    return X.mix(trigger + X.mix((phrase & _48) + X.mix(ids.astype(np.int64).view(_U) + _U(1))))
+    return X.mix((trigger & _48) + X.mix((phrase & _48) + X.mix(ids.astype(np.int64).view(_U) + _U(1))))
 
 
 def _least(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +244,7 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
             trim()
 
     def parse(batches):
+        holding("repeats", X.forget)
         seen = _Seen()
         for ids, digests, (trigger, phrase, owner, begin, strings), _, _ in phrases(batches):
             if not len(trigger):
@@ -248,7 +255,7 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
                 own, first, many = _runs(owner[later], begin[later], strings[later])
                 rows.append((_row(int(ids[own[0]]) % fragments, own, ids, digests, first, many)))
             trigger, phrase, owner, begin, strings = (x[~later] for x in (trigger, phrase, owner, begin, strings))
-            where = _fragment(trigger, fragments)
+            where = _fragment(trigger & _48, fragments)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(fragments + 1))
             for f in np.flatnonzero(np.diff(cuts)):
@@ -263,15 +270,14 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
 
     def dictionary(table: pa.Table) -> pa.Table:
         trim()
-        known = table.filter(table.column("hashes").is_null())
-        table = table.filter(table.column("hashes").is_valid())
+        known = table.filter(table.column("low").is_null())
+        table = table.filter(table.column("low").is_valid())
         out = []
         if known.num_rows:
             place = _numbers(known.column("begins"))
             out.append(found_rows(np.zeros(len(place)), _unpacked(known, "docs"), _unpacked(known, "digests"), place, _numbers(known.column("strings"))))
         if table.num_rows:
-            trigger, ids = _read(table, "hashes", _U), _unpacked(table, "docs")
-            phrase = _read(table, "low", np.uint32).astype(_U) | _read(table, "high", np.uint16).astype(_U) << _U(32)
+            (trigger, phrase), ids = _hashes(table), _unpacked(table, "docs")
             group, least = _least([trigger, phrase], ids)
             later = least < ids
             out.append(found_rows(np.zeros(later.sum()), ids[later], _unpacked(table, "digests")[later], _numbers(table.column("begins"))[later], _numbers(table.column("strings"))[later]))
@@ -291,13 +297,15 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
     whole = found.where("kind = 0").select("id", "digest", "place", "n")
     mixed = found.where("kind = 1").select("place")
     bitmap, bits = bloom(mixed, BLOOM)
+    freed(spark)
     shared = spark.sparkContext.broadcast(bitmap)
     ordered = max(LEAST_FRAGMENTS, min(1 << 20, -(-mixed.count() * (length + 16) // ORDERED_BYTES)))
 
     def dictionary_bytes(batches):
+        holding("repeats", X.forget)
         for ids, digests, (trigger, phrase, owner, begin, strings), data, at in phrases(batches):
             keep = in_bloom(shared.value, bits, _key(trigger, phrase, ids[owner]))
-            where = _fragment(trigger[keep], ordered)
+            where = _fragment(trigger[keep] & _48, ordered)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(ordered + 1))
             owner, begin, strings, at = (x[keep][order] for x in (owner, begin, strings, at))

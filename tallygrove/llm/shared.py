@@ -9,7 +9,7 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +35,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """df as a Parquet table of the shared folder, read back: it survives lost executors and has no lineage."""
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, df.schema
     path = path or new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    # Shuffle files go when the driver's JVM finds their owners unused, which could be long after.
+    del df
+    freed(spark)
+    return spark.read.schema(kind).parquet(path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM finds their owners unused, which could be long after; so it is made to look."""
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
@@ -78,6 +83,21 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holding(operator: str, release: Callable[[], None]) -> None:
+    """Says that this worker keeps things for later tasks of an operator, and how to let go of them. What other operators have kept
+    in it goes now, so that a worker that serves one after the other doesn't keep the sum of all."""
+    others = [name for name in _held if name != operator]
+    for name in others:
+        _held.pop(name)()
+    if others:
+        gc.collect()
+        trim()
+    _held[operator] = release
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast to these types: any other column is left behind, whatever its name."""
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in kinds.items()])

@@ -35,6 +35,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have
 
 
+def forget() -> None:
+    """Lets go of the powers that are kept."""
+    _powers.clear()
+
+
 def lowered() -> np.ndarray:
     """Byte table that lower-cases A-Z and leaves all else."""
     table = np.arange(256, dtype=np.uint8)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from . import textcols as X
-from .shared import batch_rows, columns, schema, written
+from .shared import batch_rows, columns, holding, schema, written
 
 END_ID = 1
 RANGE_BYTES = 8 << 20
@@ -273,6 +273,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: s
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], kind.names)
 
     def work(batches):
+        holding("tokenids", _encoders.clear)
         ready, held, number = [], 0, 0
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1))):
