@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textcols as X
 from .bloom import bloom, in_bloom
 from .components import components
-from .shared import batch_rows, columns, schema, written
+from .shared import batch_rows, columns, dropped, holding, schema, trim, written
 
 K, PERCENT = 5, 75
 SKETCH = 1 << 22
@@ -45,7 +45,7 @@ BLOOM = 1 << 27
 FRAGMENT_SHINGLES = 1 << 20
 LEAST_FRAGMENTS = 32
 SEGMENTS = 4
-CROWD = 32
+CROWD = 8
 BLOCK = 512
 _U = np.uint64
 
@@ -73,6 +73,7 @@ def _scan(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     kind = schema("id long, n long, class long, other long, part int, counts binary")
 
     def work(batches):
+        holding("jaccard", X.forget)
         counts = np.zeros(SKETCH, np.uint32)
         some = False
         for batch in batches:
@@ -129,7 +130,9 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
     shared = df.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches):
+        holding("jaccard", X.forget)
         for batch in batches:
+            trim()
             for piece in X.pieces(batch, "text", 4 * X.PIECE_BYTES):
                 values, ends = _sets(piece, k)
                 if not len(values):
@@ -235,13 +238,15 @@ def _pairs(postings: DataFrame, percent: int, crowd: int) -> DataFrame:
 
 
 def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: int) -> DataFrame:
-    """The pairs whose sets are similar enough: partial overlaps by fragment, summed per pair."""
+    """The pairs whose sets are similar enough, as a table: partial overlaps by fragment, summed per pair."""
     bitmap, bits = bloom(pairs.select("a").union(pairs.select("b")).distinct(), BLOOM)
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     kind = schema("class long, segment int, size long, part binary")
 
     def cut(batches):
+        holding("jaccard", X.forget)
         for batch in batches:
+            trim()
             for piece in X.pieces(batch, "text"):
                 values, ends = _sets(piece, k)
                 names, _ = _digests(values, ends)
@@ -272,7 +277,9 @@ def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: i
     partial = pairs.select("a", "b").join(two, "b").join(one, ["a", "segment"]).select("a", "b", "size_a", "size_b", "part_a", "part_b")
     partial = partial.mapInArrow(count, schema("a long, b long, size_a long, size_b long, same long"))
     summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("same").alias("same"))
-    return summed.where(100 * F.col("same") >= percent * (F.col("size_a") + F.col("size_b") - F.col("same"))).select("a", "b")
+    out = written(summed.where(100 * F.col("same") >= percent * (F.col("size_a") + F.col("size_b") - F.col("same"))).select("a", "b"), "links")
+    dropped(df.sparkSession, sets)
+    return out
 
 
 def _dealt(named: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -309,7 +316,7 @@ def _links(df: DataFrame, k: int, percent: int, crowd: int, fragment_shingles: i
     least = f"ceil(({percent} * (size_a + size_b)) / (100 + {percent}))"
     some = "n + least(coalesce(k_a, 0), coalesce(k_b, 0))"
     pairs = written(pairs.where(f"{some} + ceil({percent} * greatest(size_a, size_b) / 100) - 1 >= {least}").select("a", "b"), "pairs")
-    links = written(_verified(df, pairs, k, percent, SEGMENTS), "links")
+    links = _verified(df, pairs, k, percent, SEGMENTS)
     crowded = found.where("kind = 1")
     if crowded.isEmpty():
         return members, links
@@ -326,7 +333,9 @@ def _links(df: DataFrame, k: int, percent: int, crowd: int, fragment_shingles: i
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return members, links
-    return members, links.union(written(_verified(df, more, k, percent, SEGMENTS), "links"))
+    links = links.union(_verified(df, more, k, percent, SEGMENTS))
+    dropped(df.sparkSession, found, pairs, more)
+    return members, links
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, crowd: int = CROWD, fragment_shingles: int = FRAGMENT_SHINGLES) -> tuple[DataFrame, DataFrame]:
