@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batch_rows, columns, schema
+from .shared import batch_rows, columns, holding, schema, trim
 from .textcols import mix
 
 UNKNOWN = "und"
@@ -55,29 +55,37 @@ def _grams(texts: list[str], buckets: int):
             yield order, (mix(rolled + np.uint64(order << 40)) % np.uint64(buckets)).astype(np.int64), ends
 
 
-def _lists(texts: list[str | None]):
-    """The texts in lower case, in lists of about PIECE_CHARS characters."""
-    out, size = [], 0
-    for text in texts:
-        out.append((text or "").lower())
-        size += len(out[-1])
-        if size >= PIECE_CHARS:
-            yield out
-            out, size = [], 0
+def _parts(texts: list[str | None]):
+    """The texts in lower case, in lists of about PIECE_CHARS characters, as (number of the text, sign, part). A longer text comes in
+    parts that overlap by what the longest n-gram reaches into the next one; the overlap, counted twice, comes once with a minus."""
+    out, size, reach = [], 0, max(ORDERS) - 1
+    for i, text in enumerate(texts):
+        text = (text or "").lower()
+        for begin in range(0, max(1, len(text)), PIECE_CHARS):
+            end = begin + PIECE_CHARS
+            out.append((i, 1, text[begin : end + reach]))
+            if end < len(text):
+                out.append((i, -1, text[end : end + reach]))
+            size += min(PIECE_CHARS, len(text) - begin)
+            if size >= PIECE_CHARS:
+                yield out
+                out, size = [], 0
     if out:
         yield out
 
 
 def _counts(texts: list[str], buckets: int) -> np.ndarray:
     total = np.zeros(buckets, np.int64)
-    for some in _lists(texts):
-        for order, grams, ends in _grams(some, buckets):
-            begins = np.arange(len(grams))
-            inside = np.ones(len(grams), bool)
-            for back in range(1, order):  # an n-gram that reaches into the next text is none
-                cut = ends[1:-1] - back
-                inside[cut[(cut >= 0) & (cut < len(grams))]] = False
-            total += np.bincount(grams[begins[inside]], minlength=buckets)
+    for every in _parts(texts):
+        for sign in (1, -1):
+            some = [part for _, s, part in every if s == sign]
+            for order, grams, ends in _grams(some, buckets):
+                begins = np.arange(len(grams))
+                inside = np.ones(len(grams), bool)
+                for back in range(1, order):  # an n-gram that reaches into the next text is none
+                    cut = ends[1:-1] - back
+                    inside[cut[(cut >= 0) & (cut < len(grams))]] = False
+                total += sign * np.bincount(grams[begins[inside]], minlength=buckets)
     return total
 
 
@@ -91,6 +99,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
         rows = rows.where(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1_000_000)) < int(1_000_000 * fit_rows / known))
 
     def count(batches):
+        holding("langid", lambda: None)
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             by: dict[str, list] = {}
@@ -116,25 +125,22 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
 
 def _score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    labels: list[str] = []
-    best = np.zeros(len(texts))
-    done = 0
-    for some in _lists(texts):
-        total = np.zeros((len(some), len(model.languages)))
+    total = np.zeros((len(texts), len(model.languages)))
+    for every in _parts(texts):
+        some = [part for _, _, part in every]
+        sums = np.zeros((len(some), len(model.languages)))
         for order, grams, ends in _grams(some, len(model.weights)):
             # Sums over a text's n-grams as differences of running sums; those that reach into the next text stay out.
             running = np.zeros((len(grams) + 1, len(model.languages)))
             np.cumsum(model.weights[grams], axis=0, out=running[1:], dtype=np.float64)
             begin = np.minimum(ends[:-1], len(grams))
-            total += running[np.maximum(np.minimum(ends[1:] - order + 1, len(grams)), begin)] - running[begin]
-        top = total.argmax(axis=1) if model.languages else np.zeros(len(some), np.int64)
-        for i, text in enumerate(some):
-            if not model.languages or not _LETTER.search(text):
-                labels.append(UNKNOWN)
-                continue
-            labels.append(model.languages[top[i]])
-            best[done + i] = 1 / np.exp(total[i] - total[i, top[i]]).sum()
-        done += len(some)
+            sums += running[np.maximum(np.minimum(ends[1:] - order + 1, len(grams)), begin)] - running[begin]
+        np.add.at(total, [i for i, _, _ in every], sums * np.array([sign for _, sign, _ in every])[:, None])
+    labels, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        if model.languages and text and _LETTER.search(text.lower()):
+            top = int(total[i].argmax())
+            labels[i], best[i] = model.languages[top], 1 / np.exp(total[i] - total[i, top]).sum()
     return labels, best
 
 
@@ -147,8 +153,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = T.StructType([f for f in picked.schema.fields if f.name != "_text"] + schema("lang_pred string, score double").fields)
 
     def work(batches):
+        holding("langid", lambda: None)
         for batch in batches:
             labels, best = _score(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(labels, pa.string()), pa.array(best, pa.float64())], kind.names)
+            trim()
 
     return picked.mapInArrow(work, kind)

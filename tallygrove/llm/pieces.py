@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch_rows, columns, schema, written
+from .shared import batch_rows, columns, holding, schema, trim, written
 
 SPACE = "▁"
 CHUNK = 65_536
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 NEVER = -(1 << 62)
 #: Model files mark pieces that are not to be chosen with a score far below all others. Such a piece is out, but a single
@@ -309,10 +309,15 @@ def states(matrices: list[np.ndarray]) -> list[int]:
 
 
 @lru_cache(2)
-def load(path: str) -> Model:
+def _loaded(path: str) -> Model:
     return Model(path)
 
 
+def load(path: str) -> Model:
+    holding("pieces", _loaded.cache_clear)
+    return _loaded(path)
+
+
 def normalised(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
@@ -377,6 +382,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     names.append(name)
                     found.append(model.encode_text(text))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], [id_col, "ids"])
+            trim()
 
     short = picked.mapInArrow(work, schema(f"{id_col} long, ids binary"))
     long = picked.where(F.length(text_col) >= chunk)
@@ -392,6 +398,7 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
         for batch in batches:
             texts = [model.decode(ids or b"") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, ids_col, "text"])
+            trim()
 
     picked = columns(df, **{id_col: "long", ids_col: "binary"})
     return picked.mapInArrow(work, schema(f"{id_col} long, {ids_col} binary, text string"))

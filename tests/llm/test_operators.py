@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallygrove.llm import components, jaccard, linededup, oracles, pieces, pii, rangecoder, repeats, textcols, tokenids, toxicity
+from tallygrove.llm import components, jaccard, langid, linededup, oracles, pieces, pii, rangecoder, repeats, textcols, tokenids, toxicity
 from tallygrove.llm.queries import QUERIES, id_crc
 from tests.llm import plainly
 
@@ -262,6 +262,18 @@ def test_language_held_out(spark, data):
     assert got.where("score < 0 OR score > 1").count() == 0
 
 
+def test_language_of_a_text_in_parts(monkeypatch):
+    """Sums and counts over the parts of a long text are those over the whole."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdé ßΩ"), n)) for n in (0, 1, 2, 63, 64, 65, 66, 130, 1000)] + [None]
+    model = langid.Model(["x", "y", "z"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32))
+    whole, counts = langid._score(texts, model), langid._counts(texts, langid.BUCKETS)
+    monkeypatch.setattr(langid, "PIECE_CHARS", 64)
+    assert (langid._counts(texts, langid.BUCKETS) == counts).all()
+    labels, best = langid._score(texts, model)
+    assert labels == whole[0] and np.allclose(best, whole[1])
+
+
 def test_toxicity_held_out(spark):
     data = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{data}/labels.parquet")
