@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.llm import decontaminate, jaccard, langid, linededup, pieces
 from tallygrove.llm.queries import id_crc, piece_digests
-from tallygrove.llm.shared import written
+from tallygrove.llm.shared import dropped, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5
@@ -67,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped(spark, *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
