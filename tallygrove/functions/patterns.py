@@ -95,3 +95,11 @@ def skill_pattern(skill: str) -> str:
     """The skill between two word edges; one that ends in a mark has an edge only before a letter."""
     after = EDGE_AFTER if skill[-1].isalnum() else WORD
     return f"{EDGE_BEFORE}{quoted(skill)}{after}"
+
+
+# How answers cite, in their own form and in brackets of other scripts, and how they abstain.
+CITED = r"\[(\d+(?:\s*,\s*\d+)*)\]"
+FOREIGN_CITED = r"[【［]\s*(\d+(?:\s*[,，]\s*\d+)*)[^】］\n]*[】］]"
+WIDE_COMMA_CITED = r"(?<=\d)\s*，\s*(?=\d[\d\s,，]*\])"
+ABSTAIN = "INSUFFICIENT"
+# End of fixed values.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as _html
+import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,24 +67,23 @@ def is_boilerplate(p: Column) -> Column:
 
 # --- citations ------------------------------------------------------------------
 
-_CITED = r"(?U)\[(\d+(?:\s*,\s*\d+)*)\]"
 
 
 def normal_citations(answer: Column) -> Column:
-    """Lenticular and full-width brackets and commas as [n, m]; source line marks after a dagger go."""
-    c = F.regexp_replace(answer, "【([^】]*?)†[^】]*】", "[$1]")
-    return F.translate(c, "【】［］，", "[][],")
+    """Citations in lenticular or full-width brackets as [n, m], without what follows the numbers there."""
+    c = F.regexp_replace(answer, "(?U)" + P.FOREIGN_CITED, "[$1]")
+    return F.regexp_replace(c, "(?U)" + P.WIDE_COMMA_CITED, ", ")
 
 
 def cited(answer: Column) -> Column:
     """Cited numbers in order of first appearance."""
-    found = F.regexp_extract_all(answer, F.lit(_CITED), F.lit(1))
+    found = F.regexp_extract_all(answer, F.lit("(?U)" + P.CITED), F.lit(1))
     numbers = F.transform(F.flatten(F.transform(found, lambda g: F.split(g, ","))), lambda n: F.regexp_replace(n, r"(?U)\s+", "").try_cast("int"))
     return F.array_distinct(numbers)
 
 
-def abstains(answer: Column, token: str = "INSUFFICIENT") -> Column:
-    return F.upper(F.regexp_replace(F.trim(answer), r"^\.+|\.+$", "")) == token
+def abstains(answer: Column, token: str = P.ABSTAIN) -> Column:
+    return F.upper(F.regexp_replace(strip(answer), r"^\.+|\.+$", "")) == token
 
 
 def out_of_range(numbers: Column, n: Column) -> Column:
@@ -93,7 +94,7 @@ def problem(answer: Column, n: Column) -> Column:
     """What is wrong with an answer over n sources, else null."""
     numbers = cited(answer)
     return (
-        F.when(F.trim(F.coalesce(answer, F.lit(""))) == "", "empty")
+        F.when(strip(F.coalesce(answer, F.lit(""))) == "", "empty")
         .when(F.size(numbers) == 0, "uncited")
         .when(F.size(out_of_range(numbers, n)) > 0, F.concat(F.lit("out of range: "), F.array_join(out_of_range(numbers, n).cast("array<string>"), ", ")))
     )
@@ -105,6 +106,37 @@ def answer_status(answer: Column, n: Column, error: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Reading:
+    """One answer as the columns above read it: its text with plain citations, the numbers cited, and those without a source."""
+
+    text: str
+    numbers: tuple[int, ...]
+    outside: tuple[int, ...]
+    abstains: bool
+
+    @property
+    def inside(self) -> list[int]:
+        return [n for n in self.numbers if n not in self.outside]
+
+    @property
+    def problem(self) -> str | None:
+        if self.abstains:
+            return None
+        if not self.text.strip():
+            return "empty"
+        if not self.numbers:
+            return "uncited"
+        return "out of range: " + ", ".join(map(str, self.outside)) if self.outside else None
+
+
+def read_answer(answer: str, n: int) -> Reading:
+    """An answer over n sources."""
+    plain = re.sub(P.WIDE_COMMA_CITED, ", ", re.sub(P.FOREIGN_CITED, r"[\1]", answer))
+    numbers = tuple(dict.fromkeys(map(int, re.findall(r"\d+", " ".join(re.findall(P.CITED, plain))))))
+    return Reading(plain, numbers, tuple(x for x in numbers if not 1 <= x <= n), plain.strip().strip(".").upper() == P.ABSTAIN)
+
+
 def source_block(sources: Column) -> Column:
     """'[1] title at company, section' and the body, for each source."""
     return F.array_join(F.transform(sources, lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s["title"], F.lit(" at "), s["company"], F.lit(" — "), s["section"], F.lit("\n"), s["body"])), "\n\n")

@@ -22,7 +22,9 @@ def fixed_window(events: DataFrame, key: str, at: str, tie: str, limit: int, sec
         now, start, count = object(), 0, 0
         for frame in frames:
             allowed = []
-            for name, time in zip(frame[key], frame["_us"]):
+            # pandas reads a null number as NaN, which differs from itself; null is one key like any other.
+            names = frame[key].astype(object).where(frame[key].notna(), None)
+            for name, time in zip(names, frame["_us"]):
                 if name != now or time >= start + width:
                     now, start, count = name, time, 0
                 count += 1

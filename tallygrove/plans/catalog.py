@@ -77,9 +77,9 @@ def P01_list_projection(spark, sf_dir):
     return listing.shaped(S.listings(spark, sf_dir)).select("id", "title", "company", "required_skills", "posted_at")
 
 
-@query("SELECT * FROM orders WHERE o_orderkey = 7")
+@query(f"WITH {S.LISTINGS} SELECT id, title, company FROM listings WHERE id = 7")
 def S10_by_id(spark, sf_dir):
-    return S.table(spark, sf_dir, "orders").where(F.col("o_orderkey") == 7)
+    return listing.by_id(S.listings(spark, sf_dir), 7).select("id", "title", "company")
 
 
 @query("SELECT o_orderkey FROM orders")
@@ -92,9 +92,10 @@ def S08_table_scan(spark, sf_dir):
     return S.table(spark, sf_dir, "nation")
 
 
-@query(f"WITH {S.LISTINGS} SELECT id FROM listings WHERE NOT (source_job_id LIKE 'job-1%')")
-def F11_not_like(spark, sf_dir):
-    return S.listings(spark, sf_dir).where(~F.col("source_job_id").like("job-1%")).select("id")
+@query(f"WITH {S.LISTINGS} SELECT id FROM listings WHERE id % 3 <> 0")
+def F11_not_synthetic(spark, sf_dir):
+    named = S.listings(spark, sf_dir).withColumn("source_job_id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("synthetic-"), "id")).otherwise(F.col("source_job_id")))
+    return named.where(listing.not_synthetic()).select("id")
 
 
 # --- ingest -------------------------------------------------------------------------------
@@ -381,13 +382,12 @@ def _probe(spark, sf_dir):
 
 
 _PROBE = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
-_COS = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])), 4)"
+_COS = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])), 6)"
 
 
 @query(f"SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 20")
 def E03_E05_O04_dense_topk(spark, sf_dir):
-    e = S.passages(spark, sf_dir).select("id", F.round(V.cosine(F.col("embedding"), V.literal(_probe(spark, sf_dir))), 4).alias("score"))
-    return e.orderBy(F.desc("score"), "id").limit(20)
+    return retrieval.dense_topk(S.passages(spark, sf_dir), _probe(spark, sf_dir), 20)
 
 
 @query(
@@ -399,17 +399,13 @@ def A06_centroid_by_label(spark, sf_dir):
 
 
 @query(
-    f"WITH me AS (SELECT embedding AS v, label AS l FROM embeddings ORDER BY vec_id LIMIT 1), near AS (SELECT vec_id, label, {_COS} AS s FROM embeddings, me WHERE label <> l AND vec_id <> (SELECT min(vec_id) FROM embeddings)), top AS (SELECT * FROM near ORDER BY s DESC, vec_id LIMIT 30), once AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS n FROM top) SELECT vec_id AS id, s AS similarity FROM once WHERE n = 1 ORDER BY s DESC, vec_id LIMIT 6"
+    f"WITH me AS (SELECT embedding AS v, label AS l FROM embeddings ORDER BY vec_id LIMIT 1), near AS (SELECT vec_id, label, {_COS} AS s FROM embeddings, me WHERE label <> l AND vec_id <> (SELECT min(vec_id) FROM embeddings)), top AS (SELECT * FROM near ORDER BY s DESC, vec_id LIMIT 30), once AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS n FROM top) SELECT vec_id AS id, round(s, 3) AS similarity FROM once WHERE n = 1 ORDER BY s DESC, vec_id LIMIT 6"
 )
 def J03_J04_J09_F17_O10_E11_similar(spark, sf_dir):
-    e = S.passages(spark, sf_dir).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    e = S.passages(spark, sf_dir)
     jobs = e.select("id", F.lit("role").alias("title"), "company")
-    first = e.agg(F.min("id")).first()[0]
-    me = e.where(F.col("id") == first).select("embedding", "company").first()
-    near = e.where((F.col("id") != first) & (F.col("company") != me.company)).select("id", "company", F.round(V.cosine(F.col("embedding"), V.literal(me.embedding)), 4).alias("similarity"))
-    near = near.orderBy(F.desc("similarity"), "id").limit(30).join(jobs.select("id", "title"), "id")
-    key = Window.partitionBy(F.lower("title"), "company").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("n", F.row_number().over(key)).where("n = 1").orderBy(F.desc("similarity"), "id").limit(6).select("id", "similarity")
+    vectors = e.select("job_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return retrieval.similar(vectors, jobs, e.agg(F.min("id")).first()[0]).select("id", "similarity")
 
 
 @query()
@@ -437,7 +433,7 @@ fused AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score, min(l * 1000 + r) AS
 
 
 def _fused(spark, sf_dir):
-    e = S.passages(spark, sf_dir).select("id", F.round(V.cosine(F.col("embedding"), V.literal(_probe(spark, sf_dir))), 4).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    e = retrieval.dense_topk(S.passages(spark, sf_dir), _probe(spark, sf_dir), 50)
     return retrieval.fused(retrieval.ranked(e, 1), retrieval.ranked(E06_F16_A04_O05_lexical_topk(spark, sf_dir), 2))
 
 
@@ -448,7 +444,8 @@ def E07_A05_J11_U02_O06_O07_rrf_fuse(spark, sf_dir):
 
 @query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL}, {_DENSE}, {_FUSE} SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, seen LIMIT 10")
 def E08_O08_hybrid_topk(spark, sf_dir):
-    return _fused(spark, sf_dir).where("rank <= 10").select("id", F.round("score", 9).alias("score"))
+    index = retrieval.postings(S.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.hybrid_topk(S.passages(spark, sf_dir), index, _probe(spark, sf_dir), QUESTION, 10).select("id", F.round("score", 9).alias("score"))
 
 
 _GREEDY = """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rk, user_id, event_type AS body, event_id FROM (SELECT * FROM events ORDER BY value DESC, event_id LIMIT 60)),
@@ -502,6 +499,19 @@ def L02_L04_L06_U06_citations(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '1,2' WHEN 1 THEN '3,4' ELSE '' END AS cited, turn % 4 = 2 AS abstains,
+  CASE turn % 4 WHEN 2 THEN 'abstained' WHEN 3 THEN 'ungrounded' ELSE 'answered' END AS status FROM conversations"""
+)
+def L01_L03_foreign_citations(spark, sf_dir):
+    """Lenticular and full-width citations, a place behind the number, line breaks about the token, an answer of white space."""
+    turn = F.col("turn") % 4
+    said = F.when(turn == 0, "Yes 【1，see L3】, and ［2 x］.").when(turn == 1, "No【3 ，4†L1-L9】").when(turn == 2, "\n insufficient.\n").otherwise("\n\t")
+    c = S.table(spark, sf_dir, "conversations").withColumn("answer", T.normal_citations(said))
+    numbers = F.array_join(T.cited(F.col("answer")).cast("array<string>"), ",")
+    return c.select("conv_id", "turn", numbers.alias("cited"), T.abstains(F.col("answer")).alias("abstains"), T.answer_status(F.col("answer"), F.lit(5), F.lit(None)).alias("status"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def X21_json_rescue(spark, sf_dir):
     wrapped = F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_type") == "view", F.concat(F.lit("Here: "), F.col("props"), F.lit(" done"))).otherwise(F.col("props"))
@@ -541,6 +551,12 @@ def T03_rate_limit(spark, sf_dir):
     return limits.fixed_window(S.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5, 129_600).select("event_id", "user_id", "allowed")
 
 
+@query(_limit_sql(2, 129_600).replace("FROM events)", "FROM (SELECT * REPLACE (CASE WHEN user_id % 2 = 0 THEN user_id END AS user_id) FROM events))").replace("e.user_id = w.user_id", "e.user_id IS NOT DISTINCT FROM w.user_id"))
+def T03_rate_limit_null_keys(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("user_id") % 2 == 0, F.col("user_id")))
+    return limits.fixed_window(e, "user_id", "ts", "event_id", 2, 129_600).select("event_id", "user_id", "allowed")
+
+
 @query(_limit_sql(1, 86_400))
 def T04_cooldown(spark, sf_dir):
     return limits.cooldown(S.table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400).select("event_id", "user_id", "allowed")
