@@ -45,7 +45,7 @@ BLOOM = 1 << 27
 FRAGMENT_SHINGLES = 1 << 20
 LEAST_FRAGMENTS = 32
 SEGMENTS = 4
-CROWD = 8
+CROWD = 32
 BLOCK = 512
 _U = np.uint64
 
@@ -123,6 +123,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), "<i4")
 
 
+def _fragment(values: np.ndarray, fragments: int, percent: int) -> np.ndarray:
+    """Ranges of the order. Prefixes lie at its begin, so nine tenths of the fragments cut the hashes up to a little more than a
+    prefix's share, and the others the rest."""
+    place, whole = (values >> _U(32)).astype(np.int64), 1 << 32
+    head = min(whole - 1, whole * (105 - percent) // 100)
+    many = max(1, fragments * 9 // 10)
+    return np.where(place < head, place * many // head, np.minimum(many + (place - head) * (fragments - many) // (whole - head), fragments - 1))
+
+
 def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent: int) -> DataFrame:
     """For each batch and fragment, packed: shingles, the places of their classes in a list, their positions in their sets'
     order, and that list with sizes."""
@@ -153,7 +162,7 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
                 position = np.arange(len(values)) - start[owner]
                 keep = position < prefix[owner]
                 values, owner, position = values[keep], owner[keep], position[keep].astype(np.int32)
-                where = ((values >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
+                where = _fragment(values, fragments, percent)
                 order = np.argsort(where, kind="stable")
                 values, owner, where, position = values[order], owner[order], where[order], position[order]
                 cuts = np.searchsorted(where, np.arange(fragments + 1))
@@ -163,6 +172,8 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
                     rows.append((int(f), values[cuts[f] : cuts[f + 1]].tobytes(), _small(np.diff(place, prepend=0)), _small(position[cuts[f] : cuts[f + 1]]), names[own].tobytes(), n[own].astype(np.int32).tobytes()))
                 kinds = (pa.int32(), *[pa.binary()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], kind.names)
+        X.forget()
+        trim()
 
     return df.mapInArrow(work, kind)
 
@@ -180,6 +191,7 @@ def _pairs(postings: DataFrame, percent: int, crowd: int) -> DataFrame:
         return fits, fits & (size[i] - position[i] >= least) & (size[j] - position[j] >= least)
 
     def work(table: pa.Table) -> pa.Table:
+        trim()
         read = lambda name, t: [np.frombuffer(v.as_py(), t) for v in table.column(name)]
         classes, sizes = read("classes", np.int64), read("sizes", np.int32)
         places = [np.cumsum(_unpacked(v.as_py())) for v in table.column("places")]
@@ -263,6 +275,8 @@ def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: i
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], kind.names)
+        X.forget()
+        trim()
 
     sets = df.mapInArrow(cut, kind).groupBy("class", "segment").agg(F.first("size").alias("size"), F.first("part").alias("part"))
     sets = written(sets, "segments")
