@@ -278,8 +278,8 @@ def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: i
         X.forget()
         trim()
 
+    # One shuffle by class and segment serves the aggregate and both joins.
     sets = df.mapInArrow(cut, kind).groupBy("class", "segment").agg(F.first("size").alias("size"), F.first("part").alias("part"))
-    sets = written(sets, "segments")
     one, two = (sets.select(F.col("class").alias(c), "segment", F.col("size").alias(f"size_{c}"), F.col("part").alias(f"part_{c}")) for c in "ab")
 
     def count(batches):
@@ -288,12 +288,11 @@ def _verified(df: DataFrame, pairs: DataFrame, k: int, percent: int, segments: i
             same = [len(np.intersect1d(np.frombuffer(a, _U), np.frombuffer(b, _U), assume_unique=True)) for a, b in both]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(same, pa.int64())], ["a", "b", "size_a", "size_b", "same"])
 
-    partial = pairs.select("a", "b").join(two, "b").join(one, ["a", "segment"]).select("a", "b", "size_a", "size_b", "part_a", "part_b")
+    dealt = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"))
+    partial = dealt.join(two, ["b", "segment"]).join(one, ["a", "segment"]).select("a", "b", "size_a", "size_b", "part_a", "part_b")
     partial = partial.mapInArrow(count, schema("a long, b long, size_a long, size_b long, same long"))
     summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("same").alias("same"))
-    out = written(summed.where(100 * F.col("same") >= percent * (F.col("size_a") + F.col("size_b") - F.col("same"))).select("a", "b"), "links")
-    dropped(df.sparkSession, sets)
-    return out
+    return written(summed.where(100 * F.col("same") >= percent * (F.col("size_a") + F.col("size_b") - F.col("same"))).select("a", "b"), "links")
 
 
 def _dealt(named: DataFrame) -> tuple[DataFrame, DataFrame]:
