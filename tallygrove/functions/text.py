@@ -142,6 +142,16 @@ def source_block(sources: Column) -> Column:
     return F.array_join(F.transform(sources, lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s["title"], F.lit(" at "), s["company"], F.lit(" — "), s["section"], F.lit("\n"), s["body"])), "\n\n")
 
 
+def numbered_sources(sources: Column, numbers: Column) -> Column:
+    """Each source as (n, source, cited), counted from 1."""
+    return F.transform(sources, lambda s, i: F.struct((i + 1).alias("n"), s.alias("source"), F.coalesce(F.array_contains(numbers, i + 1), F.lit(False)).alias("cited")))
+
+
+def cited_first(numbered: Column) -> Column:
+    """Numbered sources with the cited ones before the others, each in their order."""
+    return F.concat(F.filter(numbered, lambda s: s["cited"]), F.filter(numbered, lambda s: ~s["cited"]))
+
+
 # --- JSON and prompts --------------------------------------------------------------
 
 

@@ -138,3 +138,10 @@ def shaped(listings: DataFrame, full: bool = False) -> DataFrame:
 
 def by_id(listings: DataFrame, id: int) -> DataFrame:
     return listings.where(F.col("id") == id)
+
+
+def picker(listings: DataFrame, query: str, newest: int = 60, k: int = 12) -> DataFrame:
+    """Of the newest postings the first k whose title and company hold the query, case aside; its signs are literal."""
+    some = ordered(listings).limit(newest)
+    held = F.lower(F.concat_ws(" ", "title", "company")).contains(query.lower())
+    return ordered(some.where(held)).limit(k)

@@ -11,7 +11,7 @@ from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, ingest, limits, listing, metrics, retrieval
+from ..operators import chunking, evalset, ingest, limits, listing, metrics, retrieval
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
@@ -536,6 +536,55 @@ def A14_distinct(spark, sf_dir):
     return S.table(spark, sf_dir, "events").select("user_id").distinct()
 
 
+_PICKED = """eligible AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS title, lang FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 40),
+ranked AS (SELECT *, md5('7/' || doc_id) AS place, row_number() OVER (PARTITION BY source ORDER BY md5('7/' || doc_id), doc_id) AS n FROM eligible),
+picks AS (SELECT * FROM ranked WHERE n <= 4 ORDER BY place, doc_id LIMIT 50)"""
+
+
+def _picks(spark, sf_dir):
+    p = S.postings(spark, sf_dir)
+    chunks = p.select("id", F.col("id").alias("job_id"), F.col("lang").alias("section"), F.col("description").alias("body"))
+    return evalset.picked(chunks, p, 50, 7)
+
+
+@query(f"WITH {_PICKED} SELECT doc_id AS job_id, lang AS section, title, source AS company FROM picks")
+def O14_evaluation_passages(spark, sf_dir):
+    return _picks(spark, sf_dir).select("job_id", "section", "title", "company")
+
+
+@query(f"WITH {_PICKED}, {S.POSTINGS.strip()} SELECT doc_id AS job_id, postings.id AS gold_id FROM picks JOIN postings ON postings.company = picks.source AND lower(postings.title) = lower(picks.title)")
+def J10_gold_postings(spark, sf_dir):
+    return evalset.gold(_picks(spark, sf_dir), S.postings(spark, sf_dir))
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY md5('42/' || event_id), event_id LIMIT 25")
+def O15_seeded_sample(spark, sf_dir):
+    return evalset.sampled(S.table(spark, sf_dir, "events").select("event_id", "user_id"), 25, 42, "event_id")
+
+
+@query("SELECT item_id AS id, true AS answerable, text AS question FROM benchmark UNION ALL SELECT 'u001', false, 'Any deep sea posts?' UNION ALL SELECT 'u002', false, 'Any posts on the moon?'")
+def U05_with_unanswerable(spark, sf_dir):
+    items = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit(True).alias("answerable"), F.col("text").alias("question"))
+    return evalset.with_unanswerable(items, ["Any deep sea posts?", "Any posts on the moon?"])
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, n, CASE n WHEN 1 THEN c_name WHEN 2 THEN c_mktsegment ELSE 'x' END AS source, n = 1 + c_custkey % 5 AS cited FROM customer, (SELECT unnest([1, 2, 3]) AS n))
+SELECT c_custkey, CAST(n AS INTEGER) AS n, source, cited, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY cited DESC, n) AS INTEGER) AS place FROM n"""
+)
+def P05_O17_cited_first(spark, sf_dir):
+    """Three sources, of which an answer cites one or one that isn't there."""
+    numbers = F.array((F.col("c_custkey") % 5 + 1).cast("int"))
+    shown = T.cited_first(T.numbered_sources(F.array("c_name", "c_mktsegment", F.lit("x")), numbers))
+    rows = S.table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(shown).alias("place", "s"))
+    return rows.select("c_custkey", "s.n", "s.source", "s.cited", (F.col("place") + 1).alias("place"))
+
+
+@query(f"WITH {S.LISTINGS}, newest AS (SELECT * FROM listings ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 60) SELECT id, title, company FROM newest WHERE contains(lower(title || ' ' || company), 'h m') ORDER BY posted_at DESC NULLS LAST, id DESC LIMIT 12")
+def F20_picker(spark, sf_dir):
+    return listing.picker(S.listings(spark, sf_dir), "H M").select("id", "title", "company")
+
+
 # --- limits ---------------------------------------------------------------------------------------------
 
 

@@ -305,3 +305,25 @@ def test_bulk_topk_matches_expressions(spark):
     df = spark.createDataFrame(rows, "id long, embedding array<double>")
     got = V.bulk_topk(df.where("id = 3").withColumnRenamed("id", "q"), df, "q", "id", "embedding", 5).orderBy("rank").collect()
     assert [r.id for r in got] == [r.id for r in retrieval.dense_topk(df, rows[3][1], 5).collect()]
+
+
+def test_evaluation_set(spark):
+    from tallygrove.operators import evalset
+
+    long = " ".join(["word"] * 40)
+    jobs = spark.createDataFrame([(i, "Data Engineer" if i % 2 else "data engineer", "A" if i < 8 else "B") for i in range(10)], "id long, title string, company string")
+    chunks = spark.createDataFrame([(10 * i + c, i, "Profile" if c == 0 else "Role", long if c < 3 else "short") for i in range(10) for c in range(4)], "id long, job_id long, section string, body string")
+    picks = evalset.picked(chunks, jobs, 6, 1).cache()
+    rows = picks.collect()
+    assert len(rows) == 6 and sum(r.company == "A" for r in rows) == 4 and {r.chunk_id % 10 for r in rows} <= {1, 2}
+    right = {r.job_id: r.n for r in evalset.gold(picks, jobs).groupBy("job_id").agg(F.count("*").alias("n")).collect()}
+    assert right == {r.job_id: 8 if r.company == "A" else 2 for r in rows}
+
+    def model(row):
+        if row["job_id"] % 2:
+            raise RuntimeError
+        return f'"Who asks {row["job_id"]}?"\nand more'
+
+    assert {r.job_id: r.question for r in evalset.questions(picks, model).collect()} == {r.job_id: None if r.job_id % 2 else f"Who asks {r.job_id}?" for r in rows}
+    assert evalset.first_line("  ") == ""
+    assert [r.id for r in evalset.with_unanswerable(jobs.limit(0).selectExpr("'' AS id", "true AS answerable", "'' AS question"), ["x", "y"]).collect()] == ["u001", "u002"]
