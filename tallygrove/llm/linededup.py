@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batch_rows
+from .shared import batch_rows, holding
 
 LINES = 3
 ADDED = ("n_lines", "n_removed")
@@ -54,6 +54,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     kind = T.StructType([f for f in picked.schema.fields] + [T.StructField(c, T.LongType()) for c in ADDED])
 
     def work(batches):
+        holding("linededup", lambda: None)
         for batch in batches:
             texts, counts, removed = [], [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):

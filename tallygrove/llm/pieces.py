@@ -189,6 +189,12 @@ class Model:
         out.reverse()
         return array("I", out).tobytes() if _LITTLE else np.array(out, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Lets go of the words. A task calls it at its end: the worker may then wait long, or serve something else."""
+        self.words.clear()
+        self.plain.clear()
+        trim()
+
     def known(self, word: str) -> bytes:
         """word(), remembered."""
         found = self.words.get(word)
@@ -362,6 +368,7 @@ def _long(df: DataFrame, model_path: str, chunk: int) -> DataFrame:
         for batch in batches:
             found = [model.trace(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "place", "begin", "end")))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "id", "chunk")] + [pa.array(found, pa.binary())], ["key", "id", "chunk", "ids"])
+        model.forget()
 
     traced = spread.join(known, ["key", "chunk"]).select("key", "id", "chunk", "s", "n", "place", "begin", "end").mapInArrow(trace, schema("key long, id long, chunk int, ids binary"))
     whole = traced.groupBy("key").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
@@ -383,6 +390,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     found.append(model.encode_text(text))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], [id_col, "ids"])
             trim()
+        model.forget()
 
     short = picked.mapInArrow(work, schema(f"{id_col} long, ids binary"))
     long = picked.where(F.length(text_col) >= chunk)
