@@ -142,7 +142,7 @@ def _postings(df: DataFrame, levels: np.ndarray, fragments: int, k: int, percent
         holding("jaccard", X.forget)
         for batch in batches:
             trim()
-            for piece in X.pieces(batch, "text", 4 * X.PIECE_BYTES):
+            for piece in X.pieces(batch, "text", 2 * X.PIECE_BYTES):
                 values, ends = _sets(piece, k)
                 if not len(values):
                     continue
