@@ -60,3 +60,58 @@ OP8 = f"""WITH {contamination("documents")}
 SELECT doc_id, n_words, n_hit, n_items, sha256(items) AS items_sha256, contaminated FROM judged"""
 
 ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op8_decontamination": OP8}
+
+
+def _repair_sql() -> str:
+    """The edits by a recursive query, turn by turn; each state holds cost, initials and the lines so far."""
+
+    def more(state: str, cost: str, letters: str, lines: str = "") -> str:
+        return f"{{'c': {state}.c + {cost}, 'e': {state}.e || '{letters}', 'o': {state}.o || CAST([{lines}] AS VARCHAR[])}}"
+
+    def least(*states: str) -> str:
+        return f"list_sort([{', '.join(states)}])[1]"
+
+    def only(condition: str, state: str) -> str:
+        return f"CASE WHEN {condition} THEN {state} ELSE never END"
+
+    own, user, assistant, added_user, added_assistant = "role || ':' || text", "'user:' || text", "'assistant:' || text", "'user:'", "'assistant:'"
+    ahead = least("n", "s", "a")
+    to_none = more("n", "3", "D")
+    to_s = least(more("s", "3", "D"), only("stays AND initial = 's'", more("n", "t", "K", own)))
+    to_u = least(
+        more("u", "3", "D"),
+        only("stays AND initial = 'u'", more("m", "t", "K", own)),
+        only("stays AND initial = 'u'", more("u", "t + 2", "IK", f"{added_assistant}, {own}")),
+        only("stays", more("m", "t + 2", "R", user)),
+        only("stays", more("u", "t + 4", "IR", f"{added_assistant}, {user}")),
+    )
+    to_a = least(
+        more("a", "3", "D"),
+        only("stays AND initial = 'a'", more("u", "t", "K", own)),
+        only("stays AND initial = 'a'", more("m", "t + 2", "IK", f"{added_user}, {own}")),
+        only("stays", more("u", "t + 2", "R", assistant)),
+        only("stays", more("m", "t + 4", "IR", f"{added_user}, {assistant}")),
+    )
+    end = least("n", "a", more("u", "2", "I", added_assistant), more("s", "4", "II", f"{added_user}, {added_assistant}"))
+    never = "{'c': 1000000000000, 'e': '', 'o': CAST([] AS VARCHAR[])}"
+    zero = "{'c': 0, 'e': '', 'o': CAST([] AS VARCHAR[])}"
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crcs AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 20 AS kind FROM keyed),
+changed AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM crcs WHERE kind <> 0),
+placed AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, right(rtrim(text, {white}), 1) AS ending FROM changed),
+nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS n, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed),
+faulty AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN n > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM nth),
+turns AS (SELECT conv_id, place, role, text, initial, fault NOT IN ('blank', 'duplicate') AS stays, CAST(fault = 'truncated' AS BIGINT) AS t FROM faulty),
+states AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {zero} AS n, {never} AS s, {never} AS u, {never} AS a, {never} AS never FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT conv_id, place, {to_none}, {to_s}, {to_u}, {to_a}, never FROM (SELECT x.conv_id, place, role, text, initial, stays, t, n, s, u, a, {ahead} AS m, never FROM states x JOIN turns y ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND y.place = x.i + 1)),
+ended AS (SELECT conv_id, {end} AS best FROM states QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.e AS audit,
+  sha256(array_to_string(best.o, chr(10))) AS repaired_sha256 FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+OP13 = _repair_sql()
+ORACLES["op13_conversation_repair"] = OP13

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linededup, media, oracles, pieces, pii, repeats, tokenids, toxicity
+from . import conversations, decontaminate, jaccard, langid, linededup, media, oracles, pieces, pii, repeats, tokenids, toxicity
 from .shared import arrow_rows, written
 
 
@@ -106,5 +106,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(id_crc() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_repeated_strings, op8_decontamination, op9_sentence_pieces, op10_language_id)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.damaged(table(spark, sf_dir, "conversations"))
+    out = conversations.repair(turns, turns["there"])
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat_ws(":", t["role"], t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_repeated_strings, op8_decontamination, op9_sentence_pieces, op10_language_id, op13_conversation_repair)}
 ORACLES: dict[str, str] = oracles.ORACLES
