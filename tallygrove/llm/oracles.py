@@ -115,3 +115,28 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 
 OP13 = _repair_sql()
 ORACLES["op13_conversation_repair"] = OP13
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64, scale: int = 1024) -> str:
+    """Each round as common table expressions: every vector against every centroid."""
+    numbers = "whole AS MATERIALIZED (SELECT rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM (SELECT row_number() OVER () AS rid, * FROM embeddings) WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})".format(scale=scale, dims=dims)
+    start = f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS c, v AS w FROM (SELECT sha256('{seed}:' || vec_id) AS h, e.embedding, v FROM whole JOIN (SELECT row_number() OVER () AS rid, embedding FROM embeddings) e USING (rid) WHERE vec_id IS NOT NULL ORDER BY h, e.embedding LIMIT {k}))"
+    away = "list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+    def near(i: int) -> str:
+        return f"a{i} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS best FROM (SELECT rid, vec_id, v, c, CAST({away} AS BIGINT) AS d FROM whole CROSS JOIN c{i}) GROUP BY rid)"
+
+    def moved(i: int) -> str:
+        sums = f"s{i} AS (SELECT c, p, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (SELECT best.c AS c, unnest(v) AS x, unnest(range({dims})) AS p FROM a{i}) GROUP BY 1, 2)"
+        mean = "CAST((s - ((s % n) + n) % n) / n AS BIGINT)"
+        return f"{sums},\nm{i} AS (SELECT c, list({mean} ORDER BY p) AS w FROM s{i} GROUP BY 1),\nc{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.w, c{i}.w) AS w FROM c{i} LEFT JOIN m{i} USING (c))"
+
+    steps = [x for i in range(rounds) for x in (near(i), moved(i))]
+    end = rounds
+    return "WITH " + ",\n".join([numbers, start, *steps, near(end)]) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{end} JOIN c{end} ON best.c = c{end}.c"""
+
+
+OP11 = _lloyd_sql()
+ORACLES["op11_centroid_clusters"] = OP11
