@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, conversations, decontaminate, jaccard, langid, linededup, media, oracles, pieces, pii, repeats, tokenids, toxicity
+from . import clusters, conversations, decontaminate, jaccard, langid, linededup, media, mixing, oracles, pieces, pii, repeats, tokenids, toxicity
 from .shared import arrow_rows, written
 
 
@@ -110,6 +110,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), words=False)
+    return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations.damaged(table(spark, sf_dir, "conversations"))
     out = conversations.repair(turns, turns["there"])
@@ -117,5 +122,5 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_repeated_strings, op8_decontamination, op9_sentence_pieces, op10_language_id, op11_centroid_clusters, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_media_sequences, op3_pii, op4_toxicity, op5_line_dedup, op6_ngram_jaccard_join, op7_repeated_strings, op8_decontamination, op9_sentence_pieces, op10_language_id, op11_centroid_clusters, op12_source_mix, op13_conversation_repair)}
 ORACLES: dict[str, str] = oracles.ORACLES
