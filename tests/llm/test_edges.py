@@ -55,6 +55,12 @@ def bare(spark, tmp_path_factory):
     return path
 
 
+#: Queries over documents, a row for each.
+OF_DOCUMENTS = sorted(set(QUERIES) - {"op11_centroid_clusters", "op13_conversation_repair"})
+#: Where equal rows have places of their own.
+PLACED = ("op1_token_ids", "op12_source_mix")
+
+
 def by_id(df):
     out = {}
     for r in df.collect():
@@ -62,16 +68,16 @@ def by_id(df):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OF_DOCUMENTS)
 def test_one_row_for_each(name, spark, folder):
     got = by_id(QUERIES[name](spark, folder))
     assert {i: len(r) for i, r in got.items()} == {i: sum(i == j for j, _ in TEXTS) for i, _ in TEXTS}
     again = [r.asDict() for r in got[6]]
-    if name != "op1_token_ids":  # there the second row begins where the first one ends
+    if name not in PLACED:
         assert again[0] == again[1]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", OF_DOCUMENTS)
 def test_empty_tables(name, spark, bare):
     assert QUERIES[name](spark, bare).count() == 0
 
