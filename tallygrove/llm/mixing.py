@@ -8,8 +8,8 @@ and a source's last slot is cut, so each source gives just the rounded target of
 
 Positions come from lanes (ranges of a hash of document id and text, about LANE words each), and lanes and shards are summed in
 groups of GROUP, so no source, however large, meets in one task. Everything is seeded, so reruns agree. Rows with the same id, text
-and source are alike and may change places. A document without words is in no block. The sources' names are held by the driver and sent to each task: at most
-MOST_SOURCES, and more raise an error.
+and source are alike and may change places. A document without words is in no block. The sources' names are held by the driver and sent to each
+task: at most MOST_SOURCES, and more raise an error.
 """
 
 from __future__ import annotations
@@ -225,7 +225,8 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 3,
     found = sources(sized, block, seed, weights, share, most_times)
     placed = written(_placed(sized, found), "placed-documents")
     draws = written(_draws(spark, found, slots, seed), "draws")
-    shown = _slots(draws, found, block, slots, seed).join(_blocks(placed, block, words), ["number", "block"])
+    # Spark takes the slots to be as few as the draws that they come from; neither side is to be sent whole to every task.
+    shown = _slots(draws, found, block, slots, seed).join(_blocks(placed, block, words).hint("merge"), ["number", "block"])
     cut = F.filter("pieces", lambda p: p["at"] < F.col("most"))
     pieces = F.transform(cut, lambda p: p.withField("n", F.least(p["n"], F.col("most") - p["at"])))
     if words:
