@@ -19,8 +19,8 @@ def words(text):
 
 
 def test_targets():
-    assert mixing.targets([100, 100, 100]) == [200, 200, 50]
-    assert mixing.targets([10, 1000, 1000, 0]) == [20, 2000 * 2 // 2, Fraction(3015 - 20 - 2000), 0]
+    # 450 words: 5/8 of them are over 200, then 2/3 and 1/3 of the 250 that are left.
+    assert mixing.targets([100, 100, 100]) == [200, Fraction(500, 3), Fraction(250, 3)]
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
     for sizes in ([1, 2, 3, 4, 5, 6, 7], [7] * 20, [1000, 1, 1, 1], [3, 0, 9]):
         got = mixing.targets(sizes)
