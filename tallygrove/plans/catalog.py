@@ -7,14 +7,16 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, evalset, ingest, limits, listing, metrics, retrieval
+from ..operators import chunking, evalset, ingest, limits, listing, metrics, retrieval, termindex
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
+from . import stemsql
 
 FLAGSHIP = "F04_F05_O02_O03_salary_page"
 QUERIES: dict = {}
@@ -415,16 +417,34 @@ def E11_P04_similar_postings(spark, sf_dir):
     return retrieval.similar(e.select("job_id", F.col("embedding").cast("array<double>").alias("embedding")), jobs, e.agg(F.min("id")).first()[0])
 
 
-_TERMS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in retrieval.STOPWORDS) + "))"
 QUESTION = "The worthless tion hand reer de la pathetic thand, enre and anan"
-_ASKED = f"asked AS (SELECT DISTINCT unnest({_TERMS}) AS term FROM (SELECT '{QUESTION}' AS text))"
-_INDEX = f"inverted AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL)"
-_LEXICAL = f"lexical AS (SELECT id, round(sum(0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685) / (SELECT count(*) FROM asked), 6) AS score FROM inverted JOIN asked USING (term) GROUP BY 1)"
+_ASKED = f"question AS (SELECT 0 AS id, '{QUESTION}' AS text),\n{stemsql.analysed('question', 'q')},\nasked AS (SELECT term FROM qterms)"
+_INDEX = f"texts AS (SELECT doc_id AS id, text FROM documents),\n{stemsql.analysed('texts', 'd')},\ninverted AS (SELECT id, term, tf FROM dterms)"
+_WEIGHT = "0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j))) / 1.64493406685"
+_LEXICAL = f"lexical AS (SELECT id, round(sum({_WEIGHT}) / (SELECT count(*) FROM asked), 6) AS score FROM inverted JOIN asked USING (term) GROUP BY 1)"
 
 
 @query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL} SELECT id, score FROM lexical ORDER BY score DESC, id LIMIT 50")
 def E06_F16_A04_O05_lexical_topk(spark, sf_dir):
-    return retrieval.lexical_topk(retrieval.postings(S.table(spark, sf_dir, "documents"), "doc_id", "text"), QUESTION, 50)
+    return termindex.search(S.term_index(spark, sf_dir), QUESTION, 50)
+
+
+@query(f"WITH {_ASKED}, {_INDEX} SELECT term, id, tf, array_to_string(positions, ' ') AS positions FROM dterms JOIN asked USING (term)")
+def E06_A04_stored_postings(spark, sf_dir):
+    """The stored postings of a question's terms, with their positions."""
+    found = termindex.postings(S.term_index(spark, sf_dir), termindex.asked_terms(spark, QUESTION))
+    return found.select("term", "id", F.col("tf").cast("long").alias("tf"), F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"))
+
+
+@query(f"WITH {_INDEX} SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS occurrences FROM inverted GROUP BY 1")
+def K05_C14_term_index_refresh(spark, sf_dir):
+    """An index of another state of the documents (some missing, some with other texts, some that are gone since), brought up to date."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    other = F.when(F.col("id") % 7 == 1, F.concat("text", F.lit(" engineers were here"))).otherwise(F.col("text"))
+    before = d.where("id % 11 <> 3").withColumn("text", other).unionByName(d.where("id % 13 = 5").select((-F.col("id") - 1).alias("id"), "text"))
+    index = termindex.create(spark, storage.new_path(spark, "refreshed"), before)
+    termindex.refresh(index, d)
+    return termindex.term_counts(index)
 
 
 _DENSE = f"dense AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 50)"
@@ -444,8 +464,8 @@ def E07_A05_J11_U02_O06_O07_rrf_fuse(spark, sf_dir):
 
 @query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL}, {_DENSE}, {_FUSE} SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, seen LIMIT 10")
 def E08_O08_hybrid_topk(spark, sf_dir):
-    index = retrieval.postings(S.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return retrieval.hybrid_topk(S.passages(spark, sf_dir), index, _probe(spark, sf_dir), QUESTION, 10).select("id", F.round("score", 9).alias("score"))
+    found = _fused(spark, sf_dir).where(F.col("rank") <= 10)
+    return found.select("id", F.round("score", 9).alias("score"))
 
 
 _GREEDY = """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rk, user_id, event_type AS body, event_id FROM (SELECT * FROM events ORDER BY value DESC, event_id LIMIT 60)),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..operators import termindex
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,3 +55,15 @@ postings AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as passages of postings: a label's vectors are one company's."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("job_id"), "embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("company"), "label")
+
+
+_INDEXES: dict[tuple, termindex.TermIndex] = {}
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> termindex.TermIndex:
+    """The stored index of documents, built once for each session and state of the table's files."""
+    d = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(d.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = termindex.create(spark, storage.new_path(spark, "terms"), d, "doc_id", "text")
+    return _INDEXES[key]
