@@ -12,7 +12,7 @@ from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import chunking, evalset, ingest, limits, listing, metrics, retrieval, termindex
+from ..operators import batched, chunking, evalset, ingest, limits, listing, metrics, retrieval, termindex
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
@@ -464,7 +464,7 @@ def E07_A05_J11_U02_O06_O07_rrf_fuse(spark, sf_dir):
 
 @query(f"WITH {_ASKED}, {_INDEX}, {_LEXICAL}, {_DENSE}, {_FUSE} SELECT id, round(score, 9) AS score FROM fused ORDER BY round(score, 12) DESC, seen LIMIT 10")
 def E08_O08_hybrid_topk(spark, sf_dir):
-    found = _fused(spark, sf_dir).where(F.col("rank") <= 10)
+    found = retrieval.hybrid_topk(S.passages(spark, sf_dir), S.term_index(spark, sf_dir), _probe(spark, sf_dir), QUESTION, 10)
     return found.select("id", F.round("score", 9).alias("score"))
 
 
@@ -486,6 +486,34 @@ def E10_O09_diversify(spark, sf_dir):
 # --- evaluation ------------------------------------------------------------------------------------
 
 
+_BAG = "(SELECT {key}, s, count(*) AS c FROM (SELECT {key}, CAST('0x' || right(md5(w), 2) AS INTEGER) % 64 AS s FROM (SELECT {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM {table})) GROUP BY 1, 2)"
+_THREE_MODES = rf"""WITH {_INDEX},
+questions AS (SELECT id AS q, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')[3 : 10], ' ') AS text FROM texts WHERE id % 20 = 0),
+{stemsql.analysed("questions", "q", "q")},
+asked AS (SELECT q, term, count(*) OVER (PARTITION BY q) AS n FROM qterms),
+lexical AS (SELECT q, id, round(sum({_WEIGHT}) / max(n), 6) AS score FROM inverted JOIN asked USING (term) GROUP BY 1, 2),
+bag AS {_BAG.format(key="id", table="texts")}, qbag AS {_BAG.format(key="q", table="questions")},
+size AS (SELECT id, sqrt(sum(c * c)) AS size FROM bag GROUP BY 1), qsize AS (SELECT q, sqrt(sum(c * c)) AS size FROM qbag GROUP BY 1),
+dots AS (SELECT q, id, CAST(sum(bag.c * qbag.c) AS DOUBLE) AS dot FROM bag JOIN qbag USING (s) GROUP BY 1, 2),
+dense AS (SELECT q, id, round(coalesce(dot / (size.size * qsize.size), 0), 6) AS score FROM questions CROSS JOIN texts LEFT JOIN dots USING (q, id) LEFT JOIN size USING (id) LEFT JOIN qsize USING (q)),
+lists AS (SELECT q, id, 1 AS l, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM dense QUALIFY r <= 50 UNION ALL SELECT q, id, 2, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM lexical QUALIFY r <= 50),
+hybrid AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, seen) AS r FROM (SELECT q, id, sum(1.0::DOUBLE / (60 + r)) AS score, min(l * 1000 + r) AS seen FROM lists GROUP BY 1, 2)),
+ranks AS (SELECT 'dense' AS mode, q, r FROM lists WHERE l = 1 AND id = q UNION ALL SELECT 'lexical', q, r FROM lists WHERE l = 2 AND id = q UNION ALL SELECT 'hybrid', q, r FROM hybrid WHERE id = q),
+found AS (SELECT mode, q, CASE WHEN r <= 10 THEN r END AS r FROM (SELECT unnest(['dense', 'lexical', 'hybrid']) AS mode) CROSS JOIN questions LEFT JOIN ranks USING (mode, q))
+SELECT mode, round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 3) AS hit_1, round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 3) AS hit_5, round(avg(CASE WHEN r <= 10 THEN 1 ELSE 0 END), 3) AS hit_10, round(avg(coalesce(1.0 / r, 0)), 3) AS mrr_10, count(*) AS n FROM found GROUP BY 1"""
+
+
+@query(_THREE_MODES)
+def V02_E07_E08_E09_three_modes(spark, sf_dir):
+    """Eight words of every document whose id is divisible by 20 ask for it, by all three modes, against all documents."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    said = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+", -1), lambda w: w != "")
+    embed = V.embed(V.HashEmbedder(64))
+    questions = d.where("id % 20 = 0").select(F.col("id").alias("q"), F.array_join(F.slice(said, 3, 8), " ").alias("text")).withColumn("embedding", embed("text"))
+    ranks = batched.every_mode(S.term_index(spark, sf_dir), d.select("id", embed("text").alias("embedding")), questions)
+    return batched.evaluated(ranks, questions.select("q", F.array("q").alias("gold")))
+
+
 @query(
     """WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q, ql, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS s FROM q JOIN embeddings ON vec_id <> q),
