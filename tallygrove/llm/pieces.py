@@ -8,8 +8,9 @@ second term that depends on where in a word the cuts lie, so the parts of a text
 No piece goes on from another character into U+2581, so such places are cut in every segmentation, and what lies between two
 of them, a word, is looked up or solved alone. A text of more than `chunk` characters is dealt out: for each chunk a
 matrix over boundary states (how far the piece across a boundary reaches beyond it) holds the best sums from each state at
-its begin to each state at its end; matrices are combined by the associative max-plus product; once the states at all
-boundaries are known, each chunk is traced back by itself.
+its begin to each state at its end; matrices are combined by the associative max-plus product, FAN neighbours to a task, then
+the products of these, up to the whole text; the states at the boundaries follow on the way down, again FAN to a task; once
+all are known, each chunk is traced back by itself.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; U+2581 itself decodes to a space; null ids
 stay; repeated rows are answered one by one; other columns are left behind; an empty table gives an empty table.
@@ -33,6 +34,8 @@ from .shared import batch_rows, columns, holding, schema, trim, written
 
 SPACE = "▁"
 CHUNK = 65_536
+#: Neighbouring chunks, or products of chunks, that one task combines.
+FAN = 256
 MOST_WORDS = 400_000
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 NEVER = -(1 << 62)
@@ -300,14 +303,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(both == NEVER, NEVER, both - top) if top > NEVER else both
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every boundary on the best way from state 0 to state 0."""
+def states(matrices: list[np.ndarray], begin: int = 0, end: int = 0) -> list[int]:
+    """The state at every boundary on the best way from one state to another."""
     now = np.full((1, len(matrices[0])), NEVER, np.int64)
-    now[0, 0] = 0
+    now[0, begin] = 0
     ahead = [now]
     for m in matrices:
         ahead.append(product(ahead[-1], m))
-    out = [0]
+    out = [end]
     for before, m in zip(ahead[-2::-1], matrices[::-1]):
         ways = np.where((before[0] == NEVER) | (m[:, out[-1]] == NEVER), NEVER, before[0] + m[:, out[-1]])
         out.append(int(ways.argmax()))
@@ -328,7 +331,41 @@ def normalised(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def _long(df: DataFrame, model_path: str, chunk: int) -> DataFrame:
+def _combined(matrices: DataFrame, levels: int, fan: int) -> DataFrame:
+    """key, chunk, begin, end: the states about each chunk of matrices (key, chunk, matrix), by a scan of so many levels.
+
+    Up: the product of every `fan` neighbours, level by level. Down: the states about a product are those about its first and last
+    part, and the ones between follow from the parts. Only `fan` matrices of one text meet in a task.
+    """
+
+    def square(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.int64).reshape(int(np.sqrt(len(raw) // 8)), -1)
+
+    def up(table: pa.Table) -> pa.Table:
+        parts = [square(m) for m in table.sort_by("chunk").column("matrix").to_pylist()]
+        out = parts[0]
+        for m in parts[1:]:
+            out = product(out, m)
+        return pa.table({"key": table.column("key")[:1], "chunk": pa.array([table.column("chunk")[0].as_py() // fan], pa.int32()), "matrix": pa.array([out.tobytes()], pa.binary())})
+
+    def down(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        begin, end = table.column("begin")[0].as_py(), table.column("end")[0].as_py()
+        way = states([square(m) for m in table.column("matrix").to_pylist()], begin, end)
+        return pa.table({"key": table.column("key"), "chunk": table.column("chunk"), "begin": pa.array(way[:-1], pa.int32()), "end": pa.array(way[1:], pa.int32())})
+
+    over = F.expr(f"chunk div {fan}").cast("int")
+    stages = [matrices]
+    for _ in range(levels - 1):
+        stages.append(written(stages[-1].groupBy("key", over).applyInArrow(up, schema("key long, chunk int, matrix binary")), "chunk-products"))
+    known = stages[-1].select("key", F.lit(0).alias("whole"), F.lit(0).alias("begin"), F.lit(0).alias("end")).distinct()
+    for level in reversed(stages):
+        ahead = level.withColumn("whole", over).join(known, ["key", "whole"])
+        known = ahead.groupBy("key", "whole").applyInArrow(down, schema("key long, chunk int, begin int, end int")).withColumnRenamed("chunk", "whole")
+    return known.withColumnRenamed("whole", "chunk")
+
+
+def _long(df: DataFrame, model_path: str, chunk: int, fan: int) -> DataFrame:
     """Ids of the texts of more than chunk characters, chunk by chunk."""
     kind = schema("key long, id long, chunk int, n int, place int, s string")
 
@@ -341,9 +378,11 @@ def _long(df: DataFrame, model_path: str, chunk: int) -> DataFrame:
                 if len(normal) <= chunk:
                     continue
                 number += 1
-                rows = []
+                rows, word = [], 0
                 for c, at in enumerate(range(0, len(normal), chunk)):
-                    word = max((m.start() for m in _FORCED.finditer(normal, max(0, at - 4 * chunk), at + 1)), default=0)
+                    # Where the word that goes on here begins: the last such place up to here, however many chunks ago.
+                    for m in _FORCED.finditer(normal, max(0, at - chunk + 1), at + 1):
+                        word = m.start()
                     rows.append((task + number, name, c, min(chunk, len(normal) - at), at - word, normal[at : at + chunk + model.longest - 1]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], kind.names)
 
@@ -356,12 +395,12 @@ def _long(df: DataFrame, model_path: str, chunk: int) -> DataFrame:
             found = [model.transfer(s, n, place).tobytes() for s, n, place in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "place")))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["key", "chunk", "matrix"])
 
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
-        way = states([np.frombuffer(m.as_py(), np.int64).reshape(load(model_path).longest, -1) for m in table.column("matrix")])
-        return pa.table({"key": table.column("key"), "chunk": table.column("chunk"), "begin": pa.array(way[:-1], pa.int32()), "end": pa.array(way[1:], pa.int32())})
-
-    known = spread.mapInArrow(matrices, schema("key long, chunk int, matrix binary")).groupBy("key").applyInArrow(scan, schema("key long, chunk int, begin int, end int"))
+    last = dealt.agg(F.max("chunk")).first()[0]
+    levels = 1
+    while last is not None and last >= fan**levels:
+        levels += 1
+    found = spread.mapInArrow(matrices, schema("key long, chunk int, matrix binary"))
+    known = _combined(written(found, "chunk-matrices") if levels > 1 else found, levels, fan)
 
     def trace(batches):
         model = load(model_path)
@@ -372,10 +411,11 @@ def _long(df: DataFrame, model_path: str, chunk: int) -> DataFrame:
 
     traced = spread.join(known, ["key", "chunk"]).select("key", "id", "chunk", "s", "n", "place", "begin", "end").mapInArrow(trace, schema("key long, id long, chunk int, ids binary"))
     whole = traced.groupBy("key").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    return whole.select("id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+    # Joined as text at once: adding one part after the other would copy all before it each time.
+    return whole.select("id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"))
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """A row for each row of df: its id and `ids`, little-endian 32-bit integers in a binary."""
     batch_rows(df.sparkSession)
     picked = columns(df, **{id_col: "long", text_col: "string"})
@@ -394,7 +434,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     short = picked.mapInArrow(work, schema(f"{id_col} long, ids binary"))
     long = picked.where(F.length(text_col) >= chunk)
-    return short.unionByName(_long(long, model_path, chunk).withColumnRenamed("id", id_col))
+    return short.unionByName(_long(long, model_path, chunk, fan).withColumnRenamed("id", id_col))
 
 
 def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -232,6 +232,21 @@ def test_pieces_whole_and_in_chunks(spark, data):
     assert back.where("text <> t").count() == 0
 
 
+@pytest.mark.parametrize("chunk,fan", [(40, 256), (40, 2), (150, 3)])
+def test_pieces_of_long_words_anywhere(spark, chunk, fan):
+    """Words of many chunks behind other words: chunked ids are those of the whole text, whatever the chunks and the levels of the scan."""
+    rng = random.Random(chunk + fan)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    parts = ["tion", "the", "ing", "er", "an", "re", "é", "日", "ss", "aaaa", "12", "st", "on"]
+    rows = []
+    for i in range(40):
+        words = ["".join(rng.choice(parts) for _ in range(rng.choice([2, 5, 100, 300]))) for _ in range(rng.randint(1, 6))]
+        rows.append((i, "a few words ahead " * rng.randint(0, 3) + (" " * rng.choice([1, 1, 50])).join(words) + " and behind"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pieces.load(path)
+    assert {r.doc_id: bytes(r.ids) for r in pieces.encode(df, path, chunk=chunk, fan=fan).collect()} == {i: model.encode_text(t) for i, t in rows}
+
+
 def test_pieces_are_best():
     model = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
 
