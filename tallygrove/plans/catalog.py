@@ -12,7 +12,7 @@ from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import batched, chunking, evalset, ingest, limits, listing, metrics, retrieval, termindex
+from ..operators import batched, chunking, evalset, index, ingest, limits, listing, metrics, retrieval, termindex
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
@@ -367,12 +367,11 @@ def C15_fixed_windows(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.fixed_windows(words)).alias("body"))
 
 
-@query("SELECT source, sha256('sections-v1' || chr(0) || 'm' || chr(0) || string_agg(text, chr(0) ORDER BY doc_id)) AS content_hash, CAST(count(*) AS INTEGER) AS n_chunks FROM documents GROUP BY 1")
+@query("SELECT doc_id // 8 AS job_id, sha256('sections-v1' || chr(0) || 'm' || chr(0) || string_agg(text, chr(0) ORDER BY doc_id)) AS content_hash, CAST(count(*) AS INTEGER) AS n_chunks FROM documents GROUP BY 1")
 def C13_content_hash(spark, sf_dir):
-    from ..operators import index
-
-    d = S.table(spark, sf_dir, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
-    return index.hashes(d, "m").withColumnRenamed("job_id", "source")
+    """Eight documents as the passages of a posting."""
+    d = S.table(spark, sf_dir, "documents").select(F.expr("doc_id div 8").alias("job_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    return index.hashes(d, "m")
 
 
 # --- retrieval -----------------------------------------------------------------------------------
@@ -442,9 +441,9 @@ def K05_C14_term_index_refresh(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     other = F.when(F.col("id") % 7 == 1, F.concat("text", F.lit(" engineers were here"))).otherwise(F.col("text"))
     before = d.where("id % 11 <> 3").withColumn("text", other).unionByName(d.where("id % 13 = 5").select((-F.col("id") - 1).alias("id"), "text"))
-    index = termindex.create(spark, storage.new_path(spark, "refreshed"), before)
-    termindex.refresh(index, d)
-    return termindex.term_counts(index)
+    stored = termindex.create(spark, storage.new_path(spark, "refreshed"), before)
+    termindex.refresh(stored, d)
+    return termindex.term_counts(stored)
 
 
 _DENSE = f"dense AS (SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY score DESC, id LIMIT 50)"
