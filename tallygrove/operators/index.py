@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import vectors as V
 from . import chunking, ingest, listing
 
@@ -36,14 +37,15 @@ def build(listings: DataFrame, embedder, old: Index | None = None, synthetic: bo
     Templates are counted over all postings, so one new posting can make others stale.
     """
     postings = listings if synthetic else listings.where(listing.not_synthetic())
-    chunks = chunking.chunked(postings, chunking.template_paragraphs(postings, least=least))
+    # Each is read several times below: written, so that passages are cut once and the embedder sees each passage once.
+    chunks = storage.written(chunking.chunked(postings, chunking.template_paragraphs(postings, least=least)), "chunks")
     marks = hashes(chunks, embedder.name)
     todo = marks if old is None else stale(marks, old.vectors, force)
-    fresh = chunks.join(todo.select("job_id"), "job_id", "left_semi").withColumn("embedding", V.embed(embedder)(F.col("content")))
+    fresh = storage.written(chunks.join(todo.select("job_id"), "job_id", "left_semi").withColumn("embedding", V.embed(embedder)(F.col("content"))), "embedded")
     stamp = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()
     vectors = V.mean_vectors(fresh, "job_id", "embedding").join(todo, "job_id").withColumn("indexed_at", stamp)
     # A passage's id follows from its posting and place, so a rebuild gives the same one.
-    fresh = fresh.withColumn("id", F.col("job_id") * 100_000 + F.col("chunk_index"))
+    fresh = fresh.withColumn("id", chunking.passage_id(F.col("job_id"), F.col("chunk_index")))
     if old is None:
         return Index(fresh, vectors)
     kept_chunks = ingest.cascaded(ingest.deleted(old.chunks, todo, "job_id"), postings, "job_id")

@@ -12,7 +12,7 @@ from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import batched, chunking, evalset, index, ingest, limits, listing, metrics, retrieval, termindex
+from ..operators import ablation, batched, chunking, evalset, index, ingest, limits, listing, metrics, retrieval, termindex
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
@@ -349,13 +349,18 @@ def X20_job_context(spark, sf_dir):
     return rows.select("id", T.job_context(F.col).alias("context"))
 
 
-@query()
-def C08_C09_C10_C12_chunk_documents(spark, sf_dir):
+def _full_postings(spark, sf_dir):
+    """Documents as postings with all columns; each line is a paragraph."""
     p = S.postings(spark, sf_dir)
     p = p.withColumn("description", F.replace("description", F.lit("\n"), F.lit("\n\n")))
     p = p.withColumns({c: F.lit(None).cast("string") for c in ("experience_level", "job_type", "work_mode", "city", "state", "country", "salary_period", "start_date_text")})
     p = p.withColumns({c: F.lit(None).cast("double") for c in ("salary_min", "salary_max")}).withColumn("visa_sponsorship", F.lit(None).cast("boolean"))
-    p = p.withColumns({c: F.lit(None).cast("array<string>") for c in ("responsibilities", "qualifications", "benefits", "required_skills")})
+    return p.withColumns({c: F.lit(None).cast("array<string>") for c in ("responsibilities", "qualifications", "benefits", "required_skills")})
+
+
+@query()
+def C08_C09_C10_C12_chunk_documents(spark, sf_dir):
+    p = _full_postings(spark, sf_dir)
     return chunking.chunked(p, chunking.template_paragraphs(p))
 
 
@@ -513,6 +518,43 @@ def V02_E07_E08_E09_three_modes(spark, sf_dir):
     return batched.evaluated(ranks, questions.select("q", F.array("q").alias("gold")))
 
 
+def _ablation(spark, sf_dir, strategies):
+    p = _full_postings(spark, sf_dir)
+    embedder = V.HashEmbedder(64)
+    said = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+", -1), lambda w: w != "")
+    d = S.table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    questions = d.select(F.col("doc_id").alias("q"), V.embed(embedder)(F.array_join(F.slice(said, 3, 8), " ")).alias("embedding"))
+    gold = d.select(F.col("doc_id").alias("q"), F.array("doc_id").alias("gold"))
+    return ablation.compared(p, questions, gold, embedder, strategies)
+
+
+@query(
+    rf"""WITH texts AS (SELECT doc_id AS id, coalesce(split_part(text, chr(10), 1), '') || ' at ' || coalesce(source, '') || '. ' || replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS text FROM documents),
+questions AS (SELECT doc_id AS q, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')[3 : 10], ' ') AS text FROM documents WHERE doc_id % 20 = 0),
+cut AS (SELECT id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws, text FROM texts),
+parts AS (SELECT 'whole posting' AS strategy, id, 0 AS place, text FROM texts UNION ALL SELECT 'fixed windows', id, i // 160, array_to_string(ws[i + 1 : i + 200], ' ') FROM (SELECT id, ws, unnest(range(0, greatest(len(ws) - 40, 1), 160)) AS i FROM cut)),
+keyed AS (SELECT strategy || '/' || id || '/' || place AS k, * FROM parts),
+bag AS {_BAG.format(key="k", table="keyed")}, qbag AS {_BAG.format(key="q", table="questions")},
+size AS (SELECT k, sqrt(sum(c * c)) AS size FROM bag GROUP BY 1), qsize AS (SELECT q, sqrt(sum(c * c)) AS size FROM qbag GROUP BY 1),
+dots AS (SELECT q, k, CAST(sum(bag.c * qbag.c) AS DOUBLE) AS dot FROM bag JOIN qbag USING (s) GROUP BY 1, 2),
+sims AS (SELECT q, strategy, id, place, round(coalesce(dot / (size.size * qsize.size), 0), 6) AS score FROM questions CROSS JOIN keyed LEFT JOIN dots USING (q, k) LEFT JOIN size USING (k) LEFT JOIN qsize USING (q)),
+top AS (SELECT *, row_number() OVER (PARTITION BY strategy, q ORDER BY score DESC, id, place) AS r FROM sims QUALIFY r <= 200),
+jobs AS (SELECT strategy, q, id, row_number() OVER (PARTITION BY strategy, q ORDER BY min(r)) AS r FROM top GROUP BY 1, 2, 3),
+found AS (SELECT s.strategy, n.q, CASE WHEN r <= 10 THEN r END AS r FROM (SELECT unnest(['whole posting', 'fixed windows']) AS strategy) s CROSS JOIN questions n LEFT JOIN jobs j ON j.strategy = s.strategy AND j.q = n.q AND j.id = n.q)
+SELECT strategy, round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 3) AS hit_1, round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 3) AS hit_5, round(avg(CASE WHEN r <= 10 THEN 1 ELSE 0 END), 3) AS hit_10, round(avg(coalesce(1.0 / r, 0)), 3) AS mrr_10, count(*) AS n,
+  (SELECT count(*) FROM parts p WHERE p.strategy = found.strategy) AS chunks FROM found GROUP BY 1"""
+)
+def V03_C15_windows_ablation(spark, sf_dir):
+    """The strategies that SQL can express too."""
+    return _ablation(spark, sf_dir, (ablation.WINDOWS, ablation.WHOLE))
+
+
+@query()
+def V03_chunking_ablation(spark, sf_dir):
+    """All four strategies; eight words of every document whose id is divisible by 20 ask for it."""
+    return _ablation(spark, sf_dir, ablation.STRATEGIES)
+
+
 @query(
     """WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT q, ql, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qe AS DOUBLE[])), 6) AS s FROM q JOIN embeddings ON vec_id <> q),
