@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import textcols as X
-from .shared import schema
+from .shared import dropped, merged, schema, written
 
 _U = np.uint64
+#: Parts of the bitmap, each merged by itself.
+PARTS = 16
 
 
 def bloom(hashes: DataFrame, most: int) -> tuple[np.ndarray, int]:
@@ -19,25 +22,27 @@ def bloom(hashes: DataFrame, most: int) -> tuple[np.ndarray, int]:
     count = hashes.count()
     while bits < min(most, 16 * count):
         bits *= 2
-    kind = schema("part int, bitmap binary")
+    kind = schema("part int, at int, data binary")
 
     def work(batches):
-        out = np.zeros(bits, bool)
+        out, task = np.zeros(bits // 8, np.uint8), TaskContext.get().partitionId()
         for batch in batches:
             values = batch.column(0).to_numpy().view(_U)
-            out[(values % _U(bits)).astype(np.int64)] = True
-            out[(X.mix(values) % _U(bits)).astype(np.int64)] = True
-        parts = np.split(np.packbits(out), 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], kind.names)
-
-    def join(table: pa.Table) -> pa.Table:
-        out = np.zeros(bits // 128, np.uint8)
-        for part in table.column("bitmap"):
-            out |= np.frombuffer(zstandard.decompress(part.as_py()), np.uint8)
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "bitmap": pa.array([out.tobytes()], pa.binary())})
-
-    rows = sorted(hashes.mapInArrow(work, kind).groupBy("part").applyInArrow(join, kind).collect(), key=lambda r: r.part)
-    bitmap = np.frombuffer(b"".join(bytes(r.bitmap) for r in rows), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
+            for at in ((values % _U(bits)).astype(np.int64), (X.mix(values) % _U(bits)).astype(np.int64)):
+                np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = [zstandard.compress(p.tobytes(), 1) for p in np.split(out, PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int32()), pa.array(packed, pa.binary())], kind.names)
+
+    def either(packed: list[bytes]) -> bytes:
+        out = np.zeros(bits // 8 // PARTS, np.uint8)
+        for part in packed:
+            out |= np.frombuffer(zstandard.decompress(part), np.uint8)
+        return zstandard.compress(out.tobytes(), 1)
+
+    made = written(hashes.mapInArrow(work, kind), "bloom-parts")
+    rows = sorted(merged(made, either).collect(), key=lambda r: r.part)
+    dropped(hashes.sparkSession, made)
+    bitmap = np.frombuffer(b"".join(zstandard.decompress(bytes(r.data)) for r in rows), np.uint8) if rows else np.zeros(bits // 8, np.uint8)
     return bitmap, bits
 
 

@@ -30,13 +30,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcols as X
 from .bloom import bloom, in_bloom
 from .components import components
-from .shared import batch_rows, columns, dropped, holding, schema, trim, written
+from .shared import batch_rows, columns, dropped, holding, merged, schema, trim, written
 
 K, PERCENT = 5, 75
 SKETCH = 1 << 22
@@ -87,28 +88,29 @@ def _scan(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], kind.names)
         if some:
             packed = [zstandard.compress(part.tobytes(), 1) for part in np.split(counts, SKETCH_PARTS)]
-            none = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], kind.names)
+            none, task = pa.nulls(SKETCH_PARTS, pa.int64()), pa.array([TaskContext.get().partitionId()] * SKETCH_PARTS, pa.int64())
+            # The task's number stands in for a size.
+            yield pa.RecordBatch.from_arrays([none, task, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], kind.names)
 
     table = written(df.mapInArrow(work, kind), "sets")
-    return table.where("part IS NULL").select("id", "n", "class", "other"), table.where("part IS NOT NULL").select("part", "counts")
+    return table.where("part IS NULL").select("id", "n", "class", "other"), table.where("part IS NOT NULL").select("part", F.col("n").cast("int").alias("at"), F.col("counts").alias("data"))
 
 
 def _levels(parts: DataFrame, total: int) -> np.ndarray:
     """How common the shingles of each cell are: 0 if it holds no more than chance puts into a cell, else 1, and one more for
     each doubling of the surplus."""
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(packed: list[bytes]) -> bytes:
         out = np.zeros(SKETCH // SKETCH_PARTS, np.uint64)
-        for packed in table.column("counts"):
-            out += np.frombuffer(zstandard.decompress(packed.as_py()), np.uint32)
-        return pa.table({"part": table.column("part").slice(0, 1).cast(pa.int32()), "counts": pa.array([np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+        for part in packed:
+            out += np.frombuffer(zstandard.decompress(part), np.uint32)
+        return zstandard.compress(np.minimum(out, 2**32 - 1).astype(np.uint32).tobytes(), 1)
 
     levels = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
     mean = total / SKETCH
     least = max(8.0, 6 * mean**0.5)
-    for row in parts.groupBy("part").applyInArrow(add, schema("part int, counts binary")).collect():
-        counts = np.frombuffer(bytes(row.counts), np.uint32)
+    for row in merged(parts, add).collect():
+        counts = np.frombuffer(zstandard.decompress(bytes(row.data)), np.uint32)
         surplus = np.maximum(counts - mean, 1)
         levels[row.part] = np.where(surplus > least, np.log2(surplus / least).astype(np.int64) + 1, 0)
     return levels.ravel()

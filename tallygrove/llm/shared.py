@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -98,6 +99,31 @@ def holding(operator: str, release: Callable[[], None]) -> None:
     _held[operator] = release
 
 
+#: Rows of one part that one task merges.
+FAN = 8
+
+
+def merged(parts: DataFrame, merge: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """part, data: one row for each part of rows (part, at, data), where `at` numbers the tasks that made them.
+
+    Neighbours are merged FAN at a time, in as many rounds as it takes, so however many tasks have made rows, no task of a round
+    holds more than FAN of one part. merge has to give the same whatever is put together first.
+    """
+    kind = schema("part int, at int, data binary")
+
+    def some(table: pa.Table) -> pa.Table:
+        data = merge(table.column("data").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "at": pa.array([table.column("at")[0].as_py() // FAN], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    last = parts.agg(F.max("at")).first()[0] or 0
+    out = parts.select("part", "at", "data")
+    while True:
+        out = out.groupBy("part", F.expr(f"at div {FAN}")).applyInArrow(some, kind)
+        last //= FAN
+        if not last:
+            return out.select("part", "data")
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast to these types: any other column is left behind, whatever its name."""
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in kinds.items()])
