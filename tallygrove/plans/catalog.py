@@ -433,6 +433,12 @@ def E06_F16_A04_O05_lexical_topk(spark, sf_dir):
     return termindex.search(S.term_index(spark, sf_dir), QUESTION, 50)
 
 
+@query(f"WITH {_INDEX} SELECT t.id, count(term) AS n_terms FROM texts t LEFT JOIN inverted i ON t.id = i.id GROUP BY 1")
+def C14_term_index_documents(spark, sf_dir):
+    """The documents of the stored index with their numbers of terms; the first query of a session that needs the index builds it."""
+    return termindex.documents(S.term_index(spark, sf_dir)).select("id", "n_terms")
+
+
 @query(f"WITH {_ASKED}, {_INDEX} SELECT term, id, tf, array_to_string(positions, ' ') AS positions FROM dterms JOIN asked USING (term)")
 def E06_A04_stored_postings(spark, sf_dir):
     """The stored postings of a question's terms, with their positions."""
