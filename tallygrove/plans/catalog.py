@@ -12,7 +12,7 @@ from ..functions import extract as X
 from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import ablation, batched, chunking, evalset, index, ingest, limits, listing, metrics, retrieval, termindex
+from ..operators import ablation, batched, buckets, chunking, evalset, index, ingest, limits, listing, metrics, refresh, retrieval, templates, termindex
 from ..operators.listing import Filters
 from ..sources import files
 from . import standins as S
@@ -189,6 +189,40 @@ def K04_A08_reparse_counts(spark, sf_dir):
     return ingest.reparse_counts(p.withColumn("changed", ~X.experience_level(F.col("title")).eqNullSafe(F.col("old"))))
 
 
+@query("SELECT o_orderkey AS k, o_custkey AS owner, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 2 UNION ALL SELECT -o_orderkey - 1, o_custkey, 1.0 FROM orders WHERE o_orderkey % 10 = 0")
+def K04_K05_K06_K07_bucketed_upsert(spark, sf_dir):
+    """A table of another state of the orders (some missing, some with other prices, some that are gone since) brought up to date
+    by an upsert and a delete, and read back."""
+    o = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("owner"), F.col("o_totalprice").alias("v"))
+    gone = o.where("k % 10 = 0").select((-F.col("k") - 1).alias("k"), "owner", F.lit(1.0).alias("v"))
+    before = o.where("k % 7 <> 3").withColumn("v", F.when(F.col("k") % 11 == 1, -F.col("v")).otherwise(F.col("v"))).unionByName(gone)
+    table = buckets.create(spark, storage.new_path(spark, "orders"), before, ("k",))
+    buckets.upsert(table, o)
+    buckets.change(table, keys=o.where("k % 5 = 2").select("k"))
+    return buckets.read(table)
+
+
+_MODE = f"CASE WHEN regexp_matches(d, '{P.REMOTE}') THEN 'remote' WHEN regexp_matches(d, '{'|'.join(P.ONSITE)}') THEN 'onsite' WHEN regexp_matches(d, '{'|'.join(P.HYBRID)}') THEN 'hybrid' WHEN contains(d, 'remote') THEN 'remote' ELSE 'onsite' END"
+_REFRESHED = """docs AS (SELECT doc_id, 'doc-' || doc_id AS source_job_id, substr(coalesce(split_part(text, chr(10), 1), ''), 1, 255) AS title, lower(coalesce(text, '')) AS d FROM documents WHERE doc_id % 4 = 0 OR doc_id % 10 <> 7)"""
+
+
+@query(f"WITH {_REFRESHED} SELECT source_job_id, title, {_LEVEL} AS experience_level, {_MODE} AS work_mode FROM docs")
+def T07_K01_K04_F15_refresh(spark, sf_dir):
+    """Documents come in by three sources, one of which repeats others' ids under another title, into a store that has a quarter of
+    them: live links, insert, reparse, as stages of a run that is called twice."""
+    s = S.staged(spark, sf_dir)
+    store = refresh.opened(spark, storage.new_path(spark, "store"))
+    refresh.seeded(store, s.where("doc_id % 4 = 0").withColumn("id", F.col("doc_id")))
+    sources = [
+        ("english", lambda known: (s.where("lang = 'en'"), False)),
+        ("others", lambda known: (s.where("lang IS NULL OR lang <> 'en'"), False)),
+        ("again", lambda known: (s.where("doc_id % 9 = 1").withColumn("title", F.lit("Senior intern")), False)),
+    ]
+    for _ in range(2):
+        refresh.refresh(store, "first", sources, S.link_status, ORDERS_NOW)
+    return buckets.read(store.listings).select("source_job_id", "title", "experience_level", "work_mode")
+
+
 # --- extraction over whole documents ---------------------------------------------------------
 
 
@@ -214,7 +248,6 @@ def X13_visa(spark, sf_dir):
 
 
 _MODE_TEXT = "text || CASE lang WHEN 'fr' THEN ' Hybrid role, 3 days in the office' WHEN 'de' THEN ' must be on-site' WHEN 'es' THEN ' 100 % remote' ELSE '' END"
-_MODE = f"CASE WHEN regexp_matches(d, '{P.REMOTE}') THEN 'remote' WHEN regexp_matches(d, '{'|'.join(P.ONSITE)}') THEN 'onsite' WHEN regexp_matches(d, '{'|'.join(P.HYBRID)}') THEN 'hybrid' WHEN contains(d, 'remote') THEN 'remote' ELSE 'onsite' END"
 
 
 @query(f"SELECT doc_id, {_MODE} AS mode FROM (SELECT doc_id, lower({_MODE_TEXT}) AS d FROM documents)")
@@ -325,6 +358,21 @@ def A03_C05_template_paragraphs(spark, sf_dir):
     return chunking.template_paragraphs(S.table(spark, sf_dir, "documents"), "text", 3, "\n", unescape=False)
 
 
+_KEYS = rf"""(SELECT DISTINCT doc_id, md5(lower(trim(regexp_replace(p, '[^\p{{L}}\p{{N}}_]+', ' ', 'g')))) AS key FROM (SELECT doc_id, unnest(string_split({_CLEAN}, chr(10))) AS p FROM documents) WHERE len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '')) >= 12)"""
+
+
+@query(f"SELECT key, count(*) AS n FROM {_KEYS} WHERE doc_id % 10 <> 6 GROUP BY 1 HAVING count(*) >= 3")
+def A03_C05_C14_kept_template_counts(spark, sf_dir):
+    """Counts of another state of the documents (some missing, some twice under another id, some with another's text), changed to this one."""
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    kept = templates.opened(spark, storage.new_path(spark, "templates"), "\n", unescape=False)
+    other = F.when(F.col("id") % 3 == 0, F.concat(F.lit("A paragraph of words that no document has but that is long enough to count.\n"), "text")).otherwise(F.col("text"))
+    templates.change(kept, d.where("id % 5 <> 2").withColumn("text", other).unionByName(d.where("id % 6 = 1").select((-F.col("id") - 1).alias("id"), "text")), text_col="text")
+    templates.change(kept, d.where("id % 3 = 0 OR id % 5 = 2"), d.where("id % 6 = 1").select((-F.col("id") - 1).alias("id")), text_col="text")
+    templates.change(kept, removed=d.where("id % 10 = 6").select("id"))
+    return templates.counted(kept, 3).select(F.lower(F.hex("key")).alias("key"), "n")
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 40")
 def C02_F18_word_count(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n")).where("n >= 40")

@@ -57,6 +57,27 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("job_id"), "embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("company"), "label")
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a source's staged postings."""
+    p = postings(spark, sf_dir)
+    return p.select(
+        F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("source_job_id"),
+        F.coalesce("title", F.lit("")).alias("title"),
+        "company",
+        "lang",
+        F.col("id").alias("doc_id"),
+        F.col("company").alias("source"),
+        F.concat(F.lit("https://jobs.example.org/"), F.col("id").cast("string")).alias("url"),
+        F.lit(False).alias("is_remote"),
+        "description",
+    )
+
+
+def link_status(method: str, url: str) -> int:
+    """Stands in for the net: links that end in 7 are dead, those in 5 refuse HEAD."""
+    return 404 if url.endswith("7") else 405 if url.endswith("5") and method == "HEAD" else 200
+
+
 _INDEXES: dict[tuple, termindex.TermIndex] = {}
 
 
