@@ -1,7 +1,7 @@
 """A table in buckets by the hash of its key, changed by rewriting only the buckets that a change touches.
 
     files/run=R/bucket=B     the rows of bucket B as run R wrote them
-    manifest/version=V       bucket, run, rows, buckets, tag: which files make up version V
+    manifest/version=V       bucket, run, rows: which files make up version V; and one row of the number of buckets and the tags
 
 A change writes the touched buckets to a new run's folder, then the manifest's next version as one file; readers see the old
 version or the new one, and read the folders that the manifest names, no others. A change that dies leaves files that no manifest
@@ -24,7 +24,7 @@ from .. import storage
 
 #: For a table of some gigabytes. A bucket should hold what a few tasks write, so larger tables take more.
 BUCKETS = 32
-_MANIFEST = "bucket int, run string, rows long, buckets int, tag string, version int"
+_MANIFEST = "bucket int, run string, rows long, buckets int, tags array<string>"
 
 
 @dataclass(frozen=True)
@@ -54,16 +54,17 @@ class Buckets:
 
     def state(self) -> State:
         try:
-            rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
+            rows = self.spark.read.schema(f"{_MANIFEST}, version int").json(f"{self.path}/manifest")
         except AnalysisException:
             return State(0, {}, frozenset())
-        # A row for each bucket and version, with no data in it.
-        tags = frozenset(r.tag for r in rows.select("tag").distinct().collect() if r.tag)
-        number = rows.agg(F.max("version")).first()[0] or 0
-        live = rows.where(F.col("version") == number).collect()
-        if any(r.buckets != self.buckets for r in live):
-            raise ValueError(f"{self.path} has another number of buckets")
-        return State(number, {r.bucket: (r.run, r.rows) for r in live if r.bucket is not None}, tags)
+        # A row for each bucket, with no data in it.
+        last = rows.groupBy("version").agg(F.collect_list(F.struct("bucket", "run", "rows", "buckets", "tags")).alias("rows")).orderBy(F.desc("version")).limit(1).collect()
+        if not last:
+            return State(0, {}, frozenset())
+        (head,) = [r for r in last[0].rows if r.bucket is None]
+        if head.buckets != self.buckets:
+            raise ValueError(f"{self.path} has {head.buckets} buckets")
+        return State(last[0].version, {r.bucket: (r.run, r.rows) for r in last[0].rows if r.bucket is not None}, frozenset(head.tags))
 
     def bucket(self) -> Column:
         return F.pmod(F.hash(*self.key), F.lit(self.buckets))
@@ -78,10 +79,10 @@ def read(table: Buckets, numbers: set[int] | None = None, state: State | None =
     return table.spark.read.schema(table.kind).parquet(*paths)
 
 
-def _publish(table: Buckets, number: int, files: dict[int, tuple[str, int]], tag: str | None) -> None:
-    rows = [(b, run, n, table.buckets, tag) for b, (run, n) in files.items()] or [(None, None, 0, table.buckets, tag)]
-    made = table.spark.createDataFrame(rows, "bucket int, run string, rows long, buckets int, tag string").coalesce(1)
-    made.write.mode("error").json(f"{table.path}/manifest/version={number}")
+def _publish(table: Buckets, state: State) -> State:
+    rows = [(None, None, None, table.buckets, sorted(state.tags)), *((b, run, n, None, None) for b, (run, n) in state.files.items())]
+    table.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("error").json(f"{table.path}/manifest/version={state.number}")
+    return state
 
 
 def _touched(table: Buckets, keys: DataFrame) -> set[int]:
@@ -115,8 +116,7 @@ def change(table: Buckets, rows: DataFrame | None = None, keys: DataFrame | None
         # Counted from the files' own footers. Where every row went there are no files, hence the schema.
         counts = table.spark.read.schema(f"{table.kind}, bucket int").parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
         files |= {r.bucket: (run, r.n) for r in counts.collect()}
-    _publish(table, state.number + 1, files, tag)
-    return table.state()
+    return _publish(table, State(state.number + 1, files, state.tags | {tag} if tag is not None else state.tags))
 
 
 def create(spark: SparkSession, path: str, rows: DataFrame, key: tuple[str, ...], buckets: int = BUCKETS) -> Buckets:

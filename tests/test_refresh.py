@@ -42,13 +42,13 @@ def test_a_change_with_a_tag_is_made_once_and_dead_files_do_not_count(spark):
     first = buckets.change(table, new, spark.createDataFrame([(2,)], "k long"), tag="one")
     assert rows_of(table) == [(1, "z")]
     buckets.change(table, spark.createDataFrame([(9, "q", None)], KIND), tag="one")
-    assert table.state() == first and rows_of(table) == [(1, "z")]
+    assert table.state() == first and first.tags == {"one"} and rows_of(table) == [(1, "z")]
     buckets.change(table, keys=new.select("k"))
     assert rows_of(table) == [] and table.state().rows == 0
     with pytest.raises(ValueError):
         buckets.create(spark, table.path, new, ("k",))
     with pytest.raises(Exception):
-        buckets._publish(table, table.state().number, {}, None)
+        buckets._publish(table, table.state())
 
 
 def test_template_counts_equal_a_recount(spark):
@@ -172,4 +172,3 @@ def test_seeded_postings_are_indexed_by_the_first_run(spark):
     said = refresh.refresh(store, "r", [("a", feed(spark, [posting(2, "More.")]))], status, NOW, V.HashEmbedder(8))
     assert said["saved"] == 1 and said["reparsed"] == 3 and said["index"]["cut"] == 2
     assert {r.source_job_id: r.id for r in buckets.read(store.listings).collect()} == {"p1": 7, "synthetic-1": 8, "p2": 9}
-    assert refresh.refresh(store, "none", [], status, NOW, V.HashEmbedder(8))["index"]["cut"] == 0
