@@ -137,9 +137,23 @@ def read_answer(answer: str, n: int) -> Reading:
     return Reading(plain, numbers, tuple(x for x in numbers if not 1 <= x <= n), plain.strip().strip(".").upper() == P.ABSTAIN)
 
 
+# Fixed value: how a source is shown to a model.
+SOURCE_FORM = "[%d] %s at %s — %s\n%s"
+# End of fixed values.
+SOURCE_FIELDS = ("title", "company", "section", "body")
+
+
 def source_block(sources: Column) -> Column:
-    """'[1] title at company, section' and the body, for each source."""
-    return F.array_join(F.transform(sources, lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s["title"], F.lit(" at "), s["company"], F.lit(" — "), s["section"], F.lit("\n"), s["body"])), "\n\n")
+    """'[1] title at company, section' and the body, for each source; one that lacks a field is left out."""
+
+    def shown(s, i):
+        fields = [s[name] for name in SOURCE_FIELDS]
+        known = fields[0].isNotNull()
+        for f in fields[1:]:
+            known = known & f.isNotNull()
+        return F.when(known, F.format_string(SOURCE_FORM, i + 1, *fields))
+
+    return F.array_join(F.transform(sources, shown), "\n\n")
 
 
 def numbered_sources(sources: Column, numbers: Column) -> Column:
