@@ -131,7 +131,7 @@ def _indexed(store: Store, at: str, run: str, embedder, changed: DataFrame, now:
     stale = missing.unionByName(changed.where(listing.not_synthetic()).select("id")).unionByName(templates.crossed(store.templates, crossing)).distinct()
     stale, _ = storage.once(spark, f"{at}/stale", lambda: stale)
     cut = postings.join(stale, "id", "left_semi")
-    chunks, _ = storage.once(spark, f"{at}/chunks", lambda: chunking.chunked(cut, templates.names(store.templates, cut, least=least)))
+    chunks, _ = storage.once(spark, f"{at}/chunks", lambda: chunking.chunked(cut, templates.own(store.templates, stale, least)))
     todo, _ = storage.once(spark, f"{at}/todo", lambda: index.stale(index.hashes(chunks, embedder.name), buckets.read(store.vectors)))
 
     def embedded():

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import text as T
 from . import buckets, chunking
 from .buckets import Buckets
 
@@ -30,21 +29,9 @@ class Templates:
     unescape: bool = True
 
 
-def digest(key: Column) -> Column:
-    return F.unhex(F.md5(key.cast("binary")))
-
-
-def long_paragraphs(text: Column, separator: str, unescape: bool) -> Column:
-    body = T.unescape(text) if unescape else text
-    return F.filter(T.paragraphs(body, separator), lambda p: T.word_count(p) >= chunking.TEMPLATE_WORDS)
-
-
 def paragraphs(postings: DataFrame, text_col: str, separator: str = "\n\n", unescape: bool = True) -> DataFrame:
-    """id, key: each posting's distinct paragraphs of 12 words and more."""
-    long = long_paragraphs(F.col(text_col), separator, unescape)
-    found = postings.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.explode(F.transform(long, T.paragraph_key)).alias("key"))
-    # Rows of one id count as one posting.
-    return found.select("id", digest(F.col("key")).alias("key")).distinct()
+    """id, key: the digests of each posting's distinct paragraphs of 12 words and more. Rows of one id count as one posting."""
+    return chunking.long_paragraphs(postings.where("id IS NOT NULL"), "id", text_col, separator, unescape).distinct()
 
 
 def opened(spark: SparkSession, path: str, separator: str = "\n\n", unescape: bool = True, number: int = buckets.BUCKETS) -> Templates:
@@ -84,11 +71,9 @@ def counted(kept: Templates, least: int = chunking.TEMPLATE_POSTINGS) -> DataFra
     return buckets.read(kept.counts).where(F.col("n") >= least)
 
 
-def names(kept: Templates, postings: DataFrame, text_col: str = "description", least: int = chunking.TEMPLATE_POSTINGS) -> DataFrame:
-    """key: the templates among the paragraphs of these postings, in their normal form, as passages are cut with."""
-    long = long_paragraphs(F.col(text_col), kept.separator, kept.unescape)
-    said = postings.select(F.explode(F.transform(long, T.paragraph_key)).alias("said")).distinct().withColumn("key", digest(F.col("said")))
-    return said.join(counted(kept, least), "key", "left_semi").select(F.col("said").alias("key"))
+def own(kept: Templates, ids: DataFrame, least: int = chunking.TEMPLATE_POSTINGS) -> DataFrame:
+    """id, key: the templates among the paragraphs of the postings of `ids`, as passages are cut with; no text is read."""
+    return buckets.read(kept.held).join(ids.select("id"), "id", "left_semi").join(counted(kept, least), "key", "left_semi").select("id", "key")
 
 
 def crossed(kept: Templates, crossing: DataFrame) -> DataFrame:
