@@ -1,9 +1,10 @@
 """Toxicity: a logistic classifier over hashed words and beginnings of words, whose scores don't
 depend on which group a text names.
 
-For each labelled text that holds an identity term, the term is swapped for every other term of its set, and the squared
-change of the score is penalised. Terms that the labelled texts lack are held down by the same penalty on putting the term
-into a text. A neutral mention of a group thus moves the score little, even if the labels say otherwise.
+Every labelled text that holds an identity term is swapped: all places of the term get another term of its set, once for each
+other one, and the mean square of what that does to the text's score, over these texts, is added to the loss. Terms that no
+labelled text holds have no swapped texts; what their features (shared with other words) add to a text is held down instead. A
+neutral mention of a group thus moves the score little, even if the labels say otherwise.
 
 The fit takes up to about `fit_rows` labelled rows (those with the smallest hashed ids); each is read whole. A fifth of them set the threshold instead of the weights. The model is
 one weight per bucket, broadcast at a fixed size; scoring runs in numpy over batches.
@@ -35,8 +36,10 @@ STEMS = (4, 6)
 #: A bucket needs so many labelled texts to get a weight.
 LEAST_TEXTS = 3
 COUNTERFACTUAL = 1.0
+#: At that weight, a mean square change of scores of 1 costs as much as a mean log loss of half this.
+SWAP_COST = 20.0
 
-#: Sets of terms that may stand for one another.
+#: Sets of terms that may stand for one another, in English, German, French and Spanish.
 IDENTITY_SETS = (
     ("women", "men", "girls", "boys", "woman", "man"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -45,6 +48,18 @@ IDENTITY_SETS = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "citizens", "foreigners", "locals"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hinduisten", "buddhisten", "atheisten"),
+    ("einwanderer", "flüchtlinge", "bürger", "ausländer"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "citoyens", "étrangers"),
+    ("homosexuels", "hétérosexuels", "lesbiennes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "ciudadanos", "extranjeros"),
+    ("homosexuales", "heterosexuales", "lesbianas"),
 )
 
 
@@ -55,11 +70,11 @@ class Model:
     fitted: bool = True
 
     def scores(self, sums: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(sums + self.bias, -30, 30))) if self.fitted else np.zeros(len(sums))
+        return _sigmoid(sums + self.bias) if self.fitted else np.zeros(len(sums))
 
 
-def _features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct buckets of words, and how many come before each text."""
+def _word_buckets(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of buckets for each word (its own, then those of its beginnings), the words' hashes, and how many words come before each text."""
     data = X.LOWER[data]
     begins, ends, before = X.words(data, at, X.MARKS)
     prefix = X.prefix_hash(data)
@@ -67,21 +82,66 @@ def _features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarra
     for stem in STEMS:
         cut = X.span_hash(prefix, begins, np.minimum(begins + stem, ends)) + np.uint64(stem)
         found.append(np.where(ends - begins > stem, cut, found[0]))
-    hashes = np.stack(found, axis=1).ravel() if len(begins) else np.zeros(0, np.uint64)
-    return X.distinct_in_documents((hashes % np.uint64(buckets)).astype(np.int64), before * len(found))
+    return (np.stack(found, axis=1) % np.uint64(buckets)).astype(np.int64), found[0], before
+
 
+def _features(data: np.ndarray, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct buckets of words, and how many come before each text."""
+    found, _, before = _word_buckets(data, at, buckets)
+    return X.distinct_in_documents(found.ravel(), before * found.shape[1])
 
-def _term_buckets(term: str, buckets: int) -> np.ndarray:
-    return _features(*X.utf8(pa.array([term])), buckets)[0]
 
+def _terms(sets, buckets: int) -> list[tuple[int, np.uint64, np.ndarray]]:
+    """(set, hash, buckets) of every term, in order."""
+    out = []
+    for s, terms in enumerate(sets):
+        for term in terms:
+            rows, hashes, _ = _word_buckets(*X.utf8(pa.array([term])), buckets)
+            if len(hashes) != 1:
+                raise ValueError(f"an identity term is one word: {term}")
+            out.append((s, hashes[0], np.unique(rows)))
+    return out
 
-def _word_bucket(word: str, buckets: int) -> int:
-    data = X.LOWER[np.frombuffer(word.encode(), np.uint8)]
-    return int(X.span_hash(X.prefix_hash(data), np.array([0]), np.array([len(data)]))[0] % np.uint64(buckets))
+
+def _swaps(data: np.ndarray, at: np.ndarray, buckets: int, terms) -> list[list[int]]:
+    """For each text, its swaps one after the other: the term's number, how many buckets come and go, these buckets.
+
+    A swap puts another term of the set at every place of a term; its buckets are those of the text so made.
+    """
+    rows, hashes, before = _word_buckets(data, at, buckets)
+    named = np.array([h for _, h, _ in terms], np.uint64)
+    hit = np.isin(hashes, named)
+    out: list[list[int]] = [[] for _ in before[1:]]
+    for text in np.unique(np.searchsorted(before, np.flatnonzero(hit), "right") - 1):
+        own, said = rows[before[text] : before[text + 1]], hashes[before[text] : before[text + 1]]
+        whole = np.unique(own)
+        for i, (group, name, _) in enumerate(terms):
+            if not (places := said == name).any():
+                continue
+            rest = np.unique(own[~places])
+            for j, (other, _, new) in enumerate(terms):
+                if other == group and j != i:
+                    made = np.union1d(rest, new)
+                    come, go = np.setdiff1d(made, whole), np.setdiff1d(whole, made)
+                    out[text] += [i, len(come), len(go), *come.tolist(), *go.tolist()]
+    return out
 
 
-def _train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, sets, ridge: float, counterfactual: float, steps: int) -> Model:
-    """Accelerated gradient descent on log loss (both labels weighing the same) + ridge + squared score changes under swaps.
+def _unpacked(packed) -> list[tuple[int, list[int], list[int]]]:
+    out, at, packed = [], 0, [int(v) for v in packed]
+    while at < len(packed):
+        i, come, go = packed[at : at + 3]
+        out.append((i, packed[at + 3 : at + 3 + come], packed[at + 3 + come : at + 3 + come + go]))
+        at += 3 + come + go
+    return out
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _train(rows: list[np.ndarray], labels: np.ndarray, swapped: list, buckets: int, sets, ridge: float, counterfactual: float, steps: int) -> Model:
+    """Accelerated gradient descent on log loss (both labels weighing the same) + ridge + squared changes of scores by swaps.
 
     Features count by the inverse fourth root of how common they are, so that rare words weigh more.
     """
@@ -102,34 +162,30 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, sets, ridge
     value = scale[flat]
     share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
 
-    # A change of text by terms changes all their features, stems too: +1 for what comes, -1 for what goes.
-    changes: list[tuple[float, list[int], list[int]]] = []
-    for terms in sets:
-        spots = [[int(p) for p in place[_term_buckets(t, buckets)] if p >= 0] for t in terms]
-        for i, mine in enumerate(spots):
-            if not mine:
-                continue
-            changes.append((counterfactual, mine, []))  # the term put into a text that lacks it
-            texts = have[_word_bucket(terms[i], buckets)]
-            # swapped for every other one, in as many texts as hold it
-            changes += [(counterfactual * texts / n, mine, other) for j, other in enumerate(spots) if j != i and texts]
-    weight = np.array([c[0] for c in changes])
-    row = np.array([r for r, (_, plus, minus) in enumerate(changes) for _ in plus + minus], np.int64)
-    spot = np.array([i for _, plus, minus in changes for i in plus + minus], np.int64)
-    sign = np.array([s for _, plus, minus in changes for s in [1.0] * len(plus) + [-1.0] * len(minus)])
+    # One row a swap: which text, its share (texts count alike, and so do the swaps of one), +1 for a bucket that comes, -1 for one that goes.
+    swaps = [(text, 1 / len(some), *swap) for text, packed in enumerate(swapped) if (some := _unpacked(packed)) for swap in some]
+    of_text = np.array([s[0] for s in swaps], np.int64)
+    part = counterfactual * SWAP_COST * np.array([s[1] for s in swaps]) / max(len(np.unique(of_text)), 1)
+    row, spot, sign = _sparse([(s[3], s[4]) for s in swaps], place)
+    # Terms without a text: what one adds to a text's sum.
+    held = {s[2] for s in swaps}
+    lone_row, lone_spot, _ = _sparse([(b.tolist(), []) for i, (_, _, b) in enumerate(_terms(sets, buckets)) if i not in held], place)
+    lone = int(lone_row.max()) + 1 if len(lone_row) else 0
 
     def loss(w, bias):
         z = np.bincount(owner, w[flat] * value, n) + bias
-        change = np.bincount(row, sign * (w * scale)[spot], len(changes)) if len(changes) else weight
-        return share @ (np.logaddexp(0, z) - labels * z) + ridge / 2 * (w @ w) + (weight * change) @ change / 2, z, change
+        added = np.bincount(lone_row, (w * scale)[lone_spot], lone)
+        p, q = _sigmoid(z[of_text]), _sigmoid(z[of_text] + np.bincount(row, sign * (w * scale)[spot], len(swaps)))
+        moved = part @ (q - p) ** 2 if len(swaps) else 0.0
+        return share @ (np.logaddexp(0, z) - labels * z) + ridge / 2 * (w @ w) + moved / 2 + counterfactual * (added @ added) / 2, z, added, p, q
 
     w, bias, ahead, ahead_bias, t, curve = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0, 1.0
     for _ in range(steps):
-        now, z, change = loss(ahead, ahead_bias)
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * share
+        now, z, added, p, q = loss(ahead, ahead_bias)
+        pull = part * (q - p)
+        error = (_sigmoid(z) - labels) * share + np.bincount(of_text, pull * (q * (1 - q) - p * (1 - p)), n)
         slope = np.bincount(flat, error[owner] * value, d) + ridge * ahead
-        if len(changes):
-            slope += scale * np.bincount(spot, sign * (weight * change)[row], d)
+        slope += scale * np.bincount(spot, sign * (pull * q * (1 - q))[row], d) + scale * np.bincount(lone_spot, counterfactual * added[lone_row], d)
         slope_bias = error.sum()
         for _ in range(30):
             new, new_bias = ahead - slope / curve, ahead_bias - slope_bias / curve
@@ -144,6 +200,12 @@ def _train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, sets, ridge
     return Model(weights, float(bias))
 
 
+def _sparse(changes: list[tuple[list[int], list[int]]], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and sign of every bucket that comes or goes and has a weight."""
+    cells = [(r, place[b], mark) for r, both in enumerate(changes) for some, mark in zip(both, (1.0, -1.0)) for b in some if place[b] >= 0]
+    return np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64), np.array([c[2] for c in cells], np.float64)
+
+
 def _calibrated(model: Model, rows: list[np.ndarray], labels: np.ndarray) -> Model:
     """The model with its bias moved so that a score of 0.5 parts rows it wasn't trained on with the best F1 measure."""
     if not model.fitted or not labels.sum():
@@ -167,20 +229,25 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     known = known.groupBy(id_col).agg(F.max(label_col).alias(label_col)).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
     rows = columns(df, **{id_col: "long", text_col: "string"}).join(F.broadcast(known), id_col).select(id_col, text_col, label_col)
 
+    terms = _terms(sets, buckets)
+
     def work(batches):
         for batch in batches:
             for piece in X.pieces(batch, text_col):
-                values, ends = _features(*X.utf8(piece.column(1)), buckets)
+                data, at = X.utf8(piece.column(1))
+                values, ends = _features(data, at, buckets)
                 packed = [values[b:e].astype(np.int32).tobytes() for b, e in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(packed, pa.binary())], [id_col, label_col, "buckets"])
+                swaps = [np.array(some, np.int32).tobytes() for some in _swaps(data, at, buckets, terms)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(packed, pa.binary()), pa.array(swaps, pa.binary())], [id_col, label_col, "buckets", "swaps"])
 
-    found = rows.mapInArrow(work, schema(f"{id_col} long, {label_col} int, buckets binary")).collect()
-    found = sorted((zlib.crc32(str(r[0]).encode()[::-1]), r[0], bytes(r[2]), float(r[1] > 0)) for r in found)
-    features, marks = [np.frombuffer(r[2], np.int32) for r in found], np.array([r[3] for r in found])
+    found = rows.mapInArrow(work, schema(f"{id_col} long, {label_col} int, buckets binary, swaps binary")).collect()
+    found = sorted((zlib.crc32(str(r[0]).encode()[::-1]), r[0], bytes(r[2]), float(r[1] > 0), bytes(r[3])) for r in found)
+    features, marks, swapped = [np.frombuffer(r[2], np.int32) for r in found], np.array([r[3] for r in found]), [np.frombuffer(r[4], np.int32) for r in found]
     aside = np.arange(len(found)) % 5 == 4
     if len(np.unique(marks[~aside])) < 2:
-        return _train(features, marks, buckets, sets, ridge, counterfactual, steps)
-    model = _train([f for f, a in zip(features, aside) if not a], marks[~aside], buckets, sets, ridge, counterfactual, steps)
+        return _train(features, marks, swapped, buckets, sets, ridge, counterfactual, steps)
+    learnt = np.flatnonzero(~aside)
+    model = _train([features[i] for i in learnt], marks[learnt], [swapped[i] for i in learnt], buckets, sets, ridge, counterfactual, steps)
     return _calibrated(model, [f for f, a in zip(features, aside) if a], marks[aside])
 
 
