@@ -8,7 +8,7 @@ while another one is unfinished.
     templates  kept paragraph counts                            runs              the stages of each run
 
 Only postings that are new, read anew, without a vector, or that hold a paragraph that became or ceased to be a template are cut
-into passages; of these only the ones whose content hash differs are embedded.
+into passages; of these only the ones whose content hash differs are embedded, in batches that are each written once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import schemas, storage
 from ..functions import vectors as V
 from ..sources import liveness
-from . import buckets, chunking, index, ingest, listing, templates
+from . import buckets, chunking, embedding, index, ingest, listing, templates
 
 #: Takes the stored ids (source_job_id), gives staged postings and whether the feed's quota is used up.
 Fetch = Callable[[DataFrame], tuple[DataFrame, bool]]
@@ -135,7 +135,8 @@ def _indexed(store: Store, at: str, run: str, embedder, changed: DataFrame, now:
     todo, _ = storage.once(spark, f"{at}/todo", lambda: index.stale(index.hashes(chunks, embedder.name), buckets.read(store.vectors)))
 
     def embedded():
-        own = chunks.join(todo.select("job_id"), "job_id", "left_semi").withColumn("embedding", V.embed(embedder)(F.col("content")))
+        own = chunks.join(todo.select("job_id"), "job_id", "left_semi")
+        own = embedding.attached(own, embedder, f"{at}/embedding")
         return own.withColumn("id", chunking.passage_id(F.col("job_id"), F.col("chunk_index")))
 
     fresh, _ = storage.once(spark, f"{at}/embedded", embedded)

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrove import schemas
+from tallygrove import schemas, storage
 from tallygrove.functions import vectors as V
 from tallygrove.operators import chunking, flows, index, ingest, limits, listing, metrics, retrieval
 from tallygrove.operators.listing import Filters
@@ -124,6 +126,41 @@ def test_search_feed(spark):
     assert sorted(r.job_id for r in search.wanted(df).collect()) == ["a1", "b1"]
 
 
+def scarce(query, page):
+    """The quota is used up by the third page of "first"; each page that is asked for leaves a file."""
+    Path(os.environ["ASKED_PAGES"], f"{query}-{page}").touch()
+    if query == "first" and page == 3:
+        return 429, {"message": "You have exceeded the monthly QUOTA"}
+    return 200, {"data": [{"job_id": f"{query}{page}", "job_title": "Software Engineer", "job_apply_link": "http://x"}]}
+
+
+def test_quota_of_one_query_stops_the_others(spark, tmp_path):
+    os.environ["ASKED_PAGES"] = str(tmp_path)
+    module = f"{__name__}:scarce"
+    known = spark.createDataFrame([("old9",), ("third1",), (None,)], "source_job_id string")
+    quota, ids = search.Quota(storage.new_path(spark, "quota")), search.StoredIds(search.stored_ids(known))
+    assert not quota.met() and ids.intersection(["third1", None, "x"]) == {"third1"} and ids.intersection([]) == set()
+    one = search.pages(scarce, "first", ids, 9, stopped=quota.met)
+    assert [r["job_id"] for r in one[0]] == ["first1", "first2"] and one[1]
+    quota.note()
+    assert quota.met() and search.pages(scarce, "second", ids, 9, stopped=quota.met) == ([], False)
+    assert search.pages(scarce, "third", ids, 9) == ([], False)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["first-1", "first-2", "first-3", "third-1"]
+    # As Spark reads it: the first query meets the quota in its task, what it had is kept, and the source says so.
+    os.environ.pop("ASKED_PAGES")
+    fetch = search.fetched(spark, "tests.test_engine:quota_client", ["first", "third"], "feed")
+    rows, met = fetch(known)
+    assert met and sorted(r.source_job_id for r in rows.collect()) == ["first1", "first2"]
+    rows, met = search.fetched(spark, "tests.test_engine:quota_client", ["second"], "feed", 2)(known.limit(0))
+    assert not met and sorted((r.source_job_id, r.source) for r in rows.collect()) == [("second1", "feed"), ("second2", "feed")]
+
+
+def quota_client(query, page):
+    if query == "first" and page == 3:
+        return 429, {"message": "quota"}
+    return 200, {"data": [{"job_id": f"{query}{page}", "job_title": "Software Engineer", "job_apply_link": "http://x"}]}
+
+
 def probe(method, url):
     if url.endswith("boom"):
         raise OSError
