@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import extract as X
 from ..functions.patterns import CLIP
 
@@ -83,6 +84,8 @@ def with_ids(new: DataFrame, highest: int, order: list[str]) -> DataFrame:
     """Ids after the highest one in a stable order. Ranks are taken within ranges and offset, not over one partition."""
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # Written: run twice, adaptive execution merges the ranges of wide rows and of their counts differently, and samples them anew.
+    ranged = storage.written(ranged, "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn("id", F.col("_before") + F.col("_i") + highest).drop("_p", "_i", "_before")

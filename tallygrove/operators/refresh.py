@@ -113,8 +113,6 @@ def _new_listings(store: Store, live: DataFrame, now: dt.datetime) -> DataFrame:
     stored = buckets.read(store.listings)
     order = F.struct("_source", F.xxhash64(*[c for c in live.columns if c != "_source"]))
     new = ingest.insert_if_absent(live.withColumn("_arrival", order), stored, "_arrival").drop("_arrival", "_source")
-    # Ids come from two looks at the same rows, so these are written first.
-    new = storage.written(new, "new")
     new = ingest.with_ids(new, stored.agg(F.max("id")).first()[0] or 0, ["source_job_id"])
     new = new.withColumns({c: ingest.iso_timestamp(F.col(c)) for c in ("posted_at", "expires_at")})
     new = ingest.clipped(new.withColumns({"scraped_at": F.lit(now).cast("timestamp"), "ai_summary": F.lit(None).cast("string")}))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrove import storage
 from tallygrove.functions import vectors as V
-from tallygrove.operators import buckets, index, refresh, templates
+from tallygrove.operators import buckets, index, ingest, refresh, templates
 
 NOW = dt.datetime(2024, 5, 1)
 KIND = "k long, v string, tags array<string>"
@@ -172,3 +172,10 @@ def test_seeded_postings_are_indexed_by_the_first_run(spark):
     said = refresh.refresh(store, "r", [("a", feed(spark, [posting(2, "More.")]))], status, NOW, V.HashEmbedder(8))
     assert said["saved"] == 1 and said["reparsed"] == 3 and said["index"]["cut"] == 2
     assert {r.source_job_id: r.id for r in buckets.read(store.listings).collect()} == {"p1": 7, "synthetic-1": 8, "p2": 9}
+
+
+def test_new_ids_reach_wide_rows_of_every_range(spark):
+    # Wide rows and their counts are ranges of different sizes, which adaptive execution merges differently.
+    wide = spark.range(8000).select(F.format_string("%05d", "id").alias("k"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "").alias("text"))
+    out = storage.written(ingest.with_ids(wide, 10, ["k"]), "numbered")
+    assert sorted((r.k, r.id) for r in out.collect()) == [(f"{i:05d}", 11 + i) for i in range(8000)]
