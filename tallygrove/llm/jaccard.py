@@ -11,7 +11,9 @@ over all documents), then by hash. Fragments cut that order by hash range.
    other pairs follow, dealt in blocks of `BLOCK` classes by `BLOCK`, once these are verified. `join` takes all of them that
    size and position allow, so its links are whole, and a group of near copies costs the square of its size, as its links do.
    `cluster` asks for components alone: it merges the links found and pairs only classes of different components, so there a
-   group costs its size; the links it leaves out lie within a component and change none.
+   group costs its size; the links it leaves out lie within a component and change none. Each set has a signature, the parity of
+   its shingles in at least two bits for each: two signatures differ in no more bits than their sets in shingles, so where a pair
+   in a crowd meets, what can't be similar enough goes at once, before its sets are moved.
 2. Verification. The sets of the classes in pairs are cut into the fragments of the order, partial overlaps are counted
    fragment by fragment, and summed per pair; the sum decides.
 
@@ -48,6 +50,8 @@ LEAST_FRAGMENTS = 32
 SEGMENTS = 4
 CROWD = 32
 BLOCK = 512
+#: 64-bit numbers of a signature at most: 8 kB, for sets of 32,768 shingles and more.
+MOST_LONGS = 1 << 10
 _U = np.uint64
 
 
@@ -69,9 +73,24 @@ def _digests(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def _signatures(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Of each set, the parity of the shingles that fall on each bit of a power of two of 64-bit numbers, two bits a shingle at least;
+    none for an empty set."""
+    n = np.diff(ends)
+    longs = np.where(n > 0, 1 << np.ceil(np.log2(np.clip(n / 32, 1, MOST_LONGS))).astype(np.int64), 0)
+    at = np.r_[0, np.cumsum(longs)]
+    owner = np.repeat(np.arange(len(n)), n)
+    # Which number, then which of its bits: so the halves of a signature put together by xor are the signature of half its length.
+    place = (X.mix(values) & _U(64 * MOST_LONGS - 1)).astype(np.int64)
+    place = 64 * (at[owner] + (place >> 6 & longs[owner] - 1)) + (place & 63)
+    odd = np.zeros(64 * at[-1], np.uint8)
+    np.add.at(odd, place, np.uint8(1))  # modulo 256, which leaves the parity
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.packbits(odd & 1).view(np.int64)))
+
+
 def _scan(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The rows' set sizes and digests, and the parts of the count sketch."""
-    kind = schema("id long, n long, class long, other long, part int, counts binary")
+    """The rows' set sizes, digests and signatures, and the parts of the count sketch."""
+    kind = schema("id long, n long, class long, other long, bits array<long>, part int, counts binary")
 
     def work(batches):
         holding("jaccard", X.forget)
@@ -85,15 +104,15 @@ def _scan(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                     np.add.at(counts, (values % _U(SKETCH)).astype(np.int64), np.uint32(1))
                 one, two = _digests(values, ends)
                 n = piece.num_rows
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends)), pa.array(one), pa.array(two), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], kind.names)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends)), pa.array(one), pa.array(two), _signatures(values, ends), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], kind.names)
         if some:
             packed = [zstandard.compress(part.tobytes(), 1) for part in np.split(counts, SKETCH_PARTS)]
             none, task = pa.nulls(SKETCH_PARTS, pa.int64()), pa.array([TaskContext.get().partitionId()] * SKETCH_PARTS, pa.int64())
             # The task's number stands in for a size.
-            yield pa.RecordBatch.from_arrays([none, task, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], kind.names)
+            yield pa.RecordBatch.from_arrays([none, task, none, none, pa.nulls(SKETCH_PARTS, pa.list_(pa.int64())), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], kind.names)
 
     table = written(df.mapInArrow(work, kind), "sets")
-    return table.where("part IS NULL").select("id", "n", "class", "other"), table.where("part IS NOT NULL").select("part", F.col("n").cast("int").alias("at"), F.col("counts").alias("data"))
+    return table.where("part IS NULL").select("id", "n", "class", "other", "bits"), table.where("part IS NOT NULL").select("part", F.col("n").cast("int").alias("at"), F.col("counts").alias("data"))
 
 
 def _levels(parts: DataFrame, total: int) -> np.ndarray:
@@ -311,8 +330,13 @@ def _crowd_pairs(one: DataFrame, two: DataFrame, keys: list[str], percent: int,
     """Pairs a < b of classes that share a crowded shingle and meet the condition, as far as size and position allow."""
     two = two.select(*keys, *(F.col(c).alias(f"{c}_b") for c in two.columns if c not in keys))
     least = f"ceil({percent} * (size + size_b) / (100 + {percent}))"
+    # The longer of two signatures is folded to the length of the other; sizes that far apart are out already, all others are folded once.
+    folded = "IF(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (x, y) -> x ^ y), {x})"
+    one_bits, two_bits = folded.format(x="bits", y="bits_b"), folded.format(x="bits_b", y="bits")
+    apart = f"aggregate(zip_with({one_bits}, {two_bits}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
     near = f"class < class_b AND ({condition}) AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b) AND size - position >= {least} AND size_b - position_b >= {least}"
-    return one.join(two, keys).where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+    # What two similar sets share is `least` and more, so they differ in at most this many shingles.
+    return one.join(two, keys).where(near).where(f"{apart} <= size + size_b - 2 * {least}").select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def _links(df: DataFrame, k: int, percent: int, crowd: int, fragment_shingles: int, whole: bool) -> tuple[DataFrame, DataFrame]:
@@ -336,12 +360,14 @@ def _links(df: DataFrame, k: int, percent: int, crowd: int, fragment_shingles: i
     if crowded.isEmpty():
         return members, links
     named = crowded.select(F.col("a").alias("shingle"), F.col("b").alias("class"), F.col("n").alias("size"), F.col("firsts").alias("position"))
+    signed = members.select("class", "bits").join(crowds.select(F.col("b").alias("class")), "class", "left_semi").groupBy("class").agg(F.first("bits").alias("bits"))
+    named = named.join(signed, "class")
     if whole:
         more = _crowd_pairs(*_dealt(named), ["shingle", "x", "y"], percent, "true")
     else:
         labels = components(links)
         named = named.join(labels, named["class"] == labels["node"], "left").withColumn("label", F.coalesce("label", "class"))
-        named = written(named.select("shingle", "class", "size", "position", "label"), "crowds")
+        named = written(named.select("shingle", "class", "size", "position", "bits", "label"), "crowds")
         mixed = named.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
         named = named.join(mixed, "shingle", "left_semi")
         more = _crowd_pairs(named, named, ["shingle"], percent, "label != label_b")

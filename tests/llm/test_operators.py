@@ -165,6 +165,38 @@ def test_near_duplicates_every_link(spark, crowd, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(df, crowd=crowd).collect()} == plainly.near_components(list(enumerate(docs)))
 
 
+def test_unlike_texts_of_a_crowd_are_told_apart_by_signatures(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    common = rng.choices(words, k=14)
+    docs = [rng.choices(words, k=60) for _ in range(80)]
+    docs = [d[:30] + common + d[30:] for d in docs]
+    docs += [docs[i][:-1] + ["other"] for i in range(0, 80, 20)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "_levels", lambda parts, total: np.zeros(jaccard.SKETCH, np.uint8))
+    moved, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda df, pairs, *a: moved.append(pairs.count()) or verified(df, pairs, *a))
+    links = jaccard.join(df, crowd=8)[1].count()
+    # The four links, and a few pairs with a crowd's head; none of the others.
+    assert links == 4 and len(moved) <= 2 and sum(moved) < 160
+    got = {r.doc_id: r.component_id for r in jaccard.cluster(df, crowd=8).collect()}
+    assert got == {i: i if i < 80 else (i - 80) * 20 for i in range(84)}
+
+
+def test_signatures_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 31, 32, 33, 64, 90, 2000, 40000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: n * 4 // 5], rng.integers(0, 1 << 63, n // 3 + 1).astype(np.uint64)])
+        one, two = (np.array(jaccard._signatures(x, np.array([0, len(x)]))[0].as_py(), np.int64) for x in (a, b))
+        one, two = sorted((one, two), key=len)
+        while len(two) > len(one):
+            two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+        apart = bin(int.from_bytes((one ^ two).tobytes(), "little")).count("1")
+        assert apart <= len(np.setxor1d(a, b))
+
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
