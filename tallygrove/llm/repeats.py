@@ -10,7 +10,7 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
    with here.
 2. Suffix array of the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
    than one phrase the phrases' bytes (each phrase once, where it is first) go to fragments, and each fragment orders the
-   suffixes that begin its strings to a depth of 50 bytes by doubling: ranks of 8 bytes, of 16, of 32, of 50. Neighbours of
+   suffixes that begin its strings, but for strings whose hash no other one has, to a depth of 50 bytes by doubling: ranks of 8 bytes, of 16, of 32, of 50. Neighbours of
    one rank are equal strings, byte by byte; the smallest id of each rank stands for it.
 3. Combination. The parse tells where each phrase stands; the ranks' smallest ids go from the phrases to the documents, by id
    and digest of the text, and covered bytes are removed.
@@ -48,6 +48,8 @@ LEAST_FRAGMENTS = 32
 #: A segment's arrays take about a hundred times its bytes.
 SEGMENT_BYTES = 1 << 19
 SEEN_BITS = 17
+#: Slots of the strings' hashes in a fragment at most.
+SLOT_BITS = 23
 _PLACE_BITS = 24
 _U = np.uint64
 _32, _48 = _U((1 << 32) - 1), _U((1 << 48) - 1)
@@ -201,6 +203,14 @@ def _runs(owner: np.ndarray, begin: np.ndarray, strings: np.ndarray) -> tuple[np
     return owner[at], begin[at], np.add.reduceat(strings, at) if len(at) else strings
 
 
+def _shared(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Places in starts whose string may begin at another one too. Equal strings have one hash, so those whose hash's slot holds no
+    other are like none; they needn't be ordered."""
+    bits = min(SLOT_BITS, len(starts).bit_length() + 3)
+    slot = (X.mix(X.span_hash(X.prefix_hash(data), starts, starts + length)) >> _U(64 - bits)).astype(np.int64)
+    return np.flatnonzero(np.bincount(slot, minlength=1 << bits)[slot] > 1)
+
+
 def _ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The rank of each string of this length that begins at starts, by doubling: the order of the suffixes to that depth."""
     size = 1
@@ -325,6 +335,10 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
         at = np.cumsum(strings + length - 1) - (strings + length - 1)
         owner = np.repeat(np.arange(len(ids)), strings)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+        some = _shared(data, at[owner] + inner, length)
+        owner, inner = owner[some], inner[some]
+        if not len(owner):
+            return pa.table({name: pa.array([], pa.int64()) for name in ("id", "digest", "place", "n")})
         ranks = _ranks(data, at[owner] + inner, length)
         least = np.full(int(ranks.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, ranks, ids[owner])
