@@ -394,3 +394,12 @@ def test_pipeline_against_plain_stages(spark, data):
     last = corpus_pipeline.encoding(spark, fourth, data)
     kept = {r.doc_id: r.text for r in fourth.collect()}
     assert {r.doc_id: r.text_sha256 for r in last.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+
+
+def test_only_strings_that_may_be_equal_are_ordered():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 4000).astype(np.uint8)
+    data[3000:3100] = data[500:600]
+    starts = np.arange(len(data) - 49)
+    kept = set(repeats._shared(data, starts, 50).tolist())
+    assert {*range(500, 551), *range(3000, 3051)} <= kept and len(kept) < 1000
