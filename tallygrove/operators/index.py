@@ -38,7 +38,7 @@ def build(listings: DataFrame, embedder, old: Index | None = None, synthetic: bo
     """
     postings = listings if synthetic else listings.where(listing.not_synthetic())
     # Each is read several times below: written, so that passages are cut once and the embedder sees each passage once.
-    chunks = storage.written(chunking.chunked(postings, chunking.own_templates(postings, least)), "chunks")
+    chunks = storage.written(chunking.cut(postings, least), "chunks")
     marks = hashes(chunks, embedder.name)
     todo = marks if old is None else stale(marks, old.vectors, force)
     fresh = storage.written(chunks.join(todo.select("job_id"), "job_id", "left_semi").withColumn("embedding", V.embed(embedder)(F.col("content"))), "embedded")
