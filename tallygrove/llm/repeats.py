@@ -7,7 +7,7 @@ passages are parsed alike wherever they stand, and phrases overlap just so much
 1. Dictionary. Phrases go, packed, to fragments by a hash of their triggers. Equal phrases fall together with the smallest
    id that has them: in any later document all their strings go. What a task itself sees to be later than another document of
    its own goes no further, so a passage that many documents share is a row or a few for each task. Repetitive text is done
-   with here.
+   with here. A task deals what it holds of many segments at once.
 2. Suffix array of the dictionary. Strings of different phrases can be equal only if their triggers are. For triggers with more
    than one phrase the phrases' bytes (each phrase once, where it is first) go to fragments, and each fragment orders the
    suffixes that begin its strings, but for strings whose hash no other one has, to a depth of 50 bytes by doubling: ranks of 8 bytes, of 16, of 32, of 50. Neighbours of
@@ -28,6 +28,7 @@ bytes; other columns are left behind; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,12 @@ BLOOM = 1 << 27
 #: Bytes of text whose phrases make a fragment of the dictionary, and of phrases that make one of the suffix array.
 FRAGMENT_BYTES, ORDERED_BYTES = 8 << 20, 1 << 20
 LEAST_FRAGMENTS = 32
-#: A segment's arrays take about a hundred times its bytes.
-SEGMENT_BYTES = 1 << 19
+#: A segment's arrays take about a hundred times its bytes; of this size most of them stay in a core's own cache, so tasks side by
+#: side don't wait for memory.
+SEGMENT_BYTES = 1 << 16
+#: Phrases, and bytes of phrases, that a task holds before it deals them to fragments. A row for each fragment and segment would
+#: make rows grow with the square of the input.
+HELD_PHRASES, HELD_BYTES = 1 << 19, 16 << 20
 SEEN_BITS = 17
 #: Slots of the strings' hashes in a fragment at most.
 SLOT_BITS = 23
@@ -120,9 +125,16 @@ def _fragment(hashes: np.ndarray, fragments: int) -> np.ndarray:
     return ((X.mix(hashes) >> _U(32)) * _U(fragments) >> _U(32)).astype(np.int64)
 
 
+_compressor = zstandard.ZstdCompressor(level=1)  # one for all rows: to make one takes longer than to use it
+
+
+def _pressed(data: bytes) -> bytes:
+    return _compressor.compress(data)
+
+
 def _small(numbers: np.ndarray) -> bytes:
     """Numbers that differ little from one to the next, packed."""
-    return zstandard.compress(np.diff(numbers, prepend=0).astype("<i8").tobytes(), 1)
+    return _pressed(np.diff(numbers, prepend=0).astype("<i8").tobytes())
 
 
 def _numbers(column) -> np.ndarray:
@@ -195,6 +207,46 @@ class _Seen:
         return out
 
 
+class _Held:
+    """Phrases of many segments: their documents as places in one list of ids and digests, and columns of any kind."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.batch, self.docs, self.known, self.parts, self.size = None, [], 0, [], 0
+
+    def add(self, size: int, ids: np.ndarray, digests: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> bool:
+        """Whether it is time to take them."""
+        if ids is not self.batch:
+            self.known += len(self.batch) if self.batch is not None else 0
+            self.batch = ids
+            self.docs.append((ids.copy(), digests.copy()))  # copies, so that no batch's text is kept
+        self.parts.append((owner + self.known, *columns))
+        self.size += size
+        return self.size >= self.most
+
+    def take(self) -> tuple:
+        """ids, digests, owner and the columns of all that is held, which is let go."""
+        out = *(np.concatenate(x) for x in zip(*self.docs)), *(np.concatenate(x) for x in zip(*self.parts))
+        self.clear()
+        return out
+
+
+def _dealt(where: np.ndarray, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each fragment that has phrases, and their places."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(fragments + 1))
+    for f in np.flatnonzero(np.diff(cuts)):
+        yield int(f), order[cuts[f] : cuts[f + 1]]
+
+
+def _in_batches(rows: Iterator[tuple], most: int = 512) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, most)):
+        yield _packed(some)
+
+
 def _runs(owner: np.ndarray, begin: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strings of a document that follow one another as one run."""
     new = np.ones(len(owner), bool)
@@ -256,22 +308,31 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
     def parse(batches):
         holding("repeats", X.forget)
         seen = _Seen()
+        known, held = _Held(HELD_PHRASES // 8), _Held(HELD_PHRASES)
+
+        def passed():  # any fragment will do: these are only passed on
+            ids, digests, owner, begin, strings = known.take()
+            yield _row(int(ids[owner[0]]) % fragments, owner, ids, digests, begin, strings)
+
+        def dealt():
+            ids, digests, owner, trigger, phrase, begin, strings = held.take()
+            for f, i in _dealt(_fragment(trigger & _48, fragments), fragments):
+                yield _row(f, owner[i], ids, digests, begin[i], strings[i], trigger[i], phrase[i])
+
         for ids, digests, (trigger, phrase, owner, begin, strings), _, _ in phrases(batches):
             if not len(trigger):
                 continue
             later = seen.later(trigger, phrase, ids[owner])
-            rows = []
-            if later.any():  # any fragment will do: these are only passed on
+            if later.any():
                 own, first, many = _runs(owner[later], begin[later], strings[later])
-                rows.append((_row(int(ids[own[0]]) % fragments, own, ids, digests, first, many)))
-            trigger, phrase, owner, begin, strings = (x[~later] for x in (trigger, phrase, owner, begin, strings))
-            where = _fragment(trigger & _48, fragments)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(fragments + 1))
-            for f in np.flatnonzero(np.diff(cuts)):
-                i = order[cuts[f] : cuts[f + 1]]
-                rows.append(_row(int(f), owner[i], ids, digests, begin[i], strings[i], trigger[i], phrase[i]))
-            yield _packed(rows)
+                if known.add(len(own), ids, digests, own, first, many):
+                    yield from _in_batches(passed())
+            if not later.all() and held.add(len(later) - later.sum(), ids, digests, *(x[~later] for x in (owner, trigger, phrase, begin, strings))):
+                yield from _in_batches(dealt())
+        if known.size:
+            yield from _in_batches(passed())
+        if held.size:
+            yield from _in_batches(dealt())
 
     found_kind = schema("kind int, id long, digest long, place long, n long")
 
@@ -313,19 +374,25 @@ def repeated(df: DataFrame, id_col: str, text_col: str, length: int, segment: in
 
     def dictionary_bytes(batches):
         holding("repeats", X.forget)
+        held = _Held(HELD_BYTES)
+
+        def dealt():
+            ids, digests, owner, where, begin, strings, texts = held.take()
+            for f, i in _dealt(where, ordered):
+                yield _row(f, owner[i], ids, digests, begin[i], strings[i], text=_pressed(b"".join(texts[i].tolist())))
+
         for ids, digests, (trigger, phrase, owner, begin, strings), data, at in phrases(batches):
-            keep = in_bloom(shared.value, bits, _key(trigger, phrase, ids[owner]))
-            where = _fragment(trigger[keep] & _48, ordered)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(ordered + 1))
-            owner, begin, strings, at = (x[keep][order] for x in (owner, begin, strings, at))
-            rows = []
-            for f in np.flatnonzero(np.diff(cuts)):
-                i = slice(cuts[f], cuts[f + 1])
-                text = b"".join([data[a : a + n].tobytes() for a, n in zip(at[i], strings[i] + length - 1)])
-                rows.append(_row(int(f), owner[i], ids, digests, begin[i], strings[i], text=zstandard.compress(text, 1)))
-            if rows:
-                yield _packed(rows)
+            keep = np.flatnonzero(in_bloom(shared.value, bits, _key(trigger, phrase, ids[owner])))
+            if not len(keep):
+                continue
+            owner, begin, strings, at = (x[keep] for x in (owner, begin, strings, at))
+            ends, raw = at + strings + length - 1, data.tobytes()
+            texts = np.empty(len(keep), object)
+            texts[:] = [raw[a:e] for a, e in zip(at.tolist(), ends.tolist())]
+            if held.add(int((ends - at).sum()), ids, digests, owner, _fragment(trigger[keep] & _48, ordered), begin, strings, texts):
+                yield from _in_batches(dealt())
+        if held.size:
+            yield from _in_batches(dealt())
 
     def order(table: pa.Table) -> pa.Table:
         trim()

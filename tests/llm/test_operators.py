@@ -403,3 +403,32 @@ def test_only_strings_that_may_be_equal_are_ordered():
     starts = np.arange(len(data) - 49)
     kept = set(repeats._shared(data, starts, 50).tolist())
     assert {*range(500, 551), *range(3000, 3051)} <= kept and len(kept) < 1000
+
+
+def test_phrases_are_dealt_of_many_segments_at_once():
+    """Rows for fragments are as many as fragments, not as fragments and segments."""
+    held, rng = repeats._Held(40 * 50), np.random.default_rng(3)
+    full, every = [], []
+    for i in range(40):
+        if i % 4 == 0:  # several segments of one batch
+            ids, digests = rng.integers(0, 1 << 40, 30), rng.integers(0, 1 << 40, 30)
+        owner, where, begin = np.sort(rng.integers(0, 30, 50)), rng.integers(0, 8, 50), rng.integers(0, 1000, 50)
+        every += list(zip(where.tolist(), ids[owner].tolist(), digests[owner].tolist(), begin.tolist()))
+        full.append(held.add(50, ids, digests, owner, where, begin))
+    assert full == [False] * 39 + [True]
+    ids, digests, owner, where, begin = held.take()
+    rows = [repeats._row(f, owner[i], ids, digests, begin[i], begin[i]) for f, i in repeats._dealt(where, 8)]
+    assert len(rows) == 8 and not held.size
+    got = []
+    for row in rows:
+        table = pa.Table.from_batches([repeats._packed([row])])
+        got += list(zip([row[0]] * table.num_rows * len(repeats._numbers(table.column("begins"))), repeats._unpacked(table, "docs").tolist(), repeats._unpacked(table, "digests").tolist(), repeats._numbers(table.column("begins")).tolist()))
+    assert sorted(got) == sorted(every)
+
+
+def test_repeated_strings_dealt_in_several_turns(spark, data, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD_PHRASES", 2000)
+    monkeypatch.setattr(repeats, "HELD_BYTES", 20000)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeats.remove(docs, segment=4096).collect()}
+    assert got == plainly.repeats(texts(spark, data))
